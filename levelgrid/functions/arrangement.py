@@ -10,6 +10,7 @@ from levelgrid.functions import geometry as g
 from levelgrid.functions import tiles
 from levelgrid.functions.graph import rank_cycles
 from levelgrid.session import settle
+from levelgrid.functions.geometry import sq
 
 ENDS = ["x1", "y1", "x2", "y2"]
 GRID = 6  # decimals of a metre: every node lies on a micrometre
@@ -66,7 +67,7 @@ def split_at(segments: DataFrame, cuts: DataFrame, keys: list[str], shortest: fl
     marks = marks.join(base, [*keys, "seg"]).withColumn("_t", g.foot_param(g.xy("x", "y"), a, b))
     w = W.partitionBy(*keys, "seg").orderBy("_t", "x", "y")
     chain = marks.withColumns({"_nx": F.lead("x").over(w), "_ny": F.lead("y").over(w)}).filter("_nx is not null")
-    gap = F.sqrt((F.col("_nx") - F.col("x")) ** 2 + (F.col("_ny") - F.col("y")) ** 2)
+    gap = F.sqrt(sq(F.col("_nx") - F.col("x")) + sq(F.col("_ny") - F.col("y")))
     return chain.filter(gap > shortest).select(
         *keys, "seg", *extra, F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("_nx").alias("x2"), F.col("_ny").alias("y2")
     )

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from levelgrid.functions import geometry as g
 from levelgrid.session import settle
+from levelgrid.functions.geometry import sq
 
 TILE = ["_tx", "_ty"]
 
@@ -113,7 +114,7 @@ def eps_pairs(df: DataFrame, keys: list[str], coords: list[str], radius: float,
         {f"_c{i}": F.col(f"_k{i}") + F.col(f"_o.d{i}") for i in range(len(coords))}
     )
     same = reduce(lambda a, b: a & b, [F.col(f"_o.d{i}") == 0 for i in range(len(coords))])
-    gap2 = reduce(lambda a, b: a + b, [(F.col(f"_{c}u") - F.col(f"_{c}v")) ** 2 for c in coords])
+    gap2 = reduce(lambda a, b: a + b, [sq(F.col(f"_{c}u") - F.col(f"_{c}v")) for c in coords])
     gap = F.sqrt(gap2)
     close = (gap < radius) if strict else (gap <= radius)
     pairs = here.join(spread, [*keys, *[f"_c{i}" for i in range(len(coords))]])
@@ -130,7 +131,7 @@ def nearest_within(
     for i, c in enumerate(coords):
         near = near.withColumn(f"_c{i}", F.explode(F.sequence(cell(f"_r{c}", size) - 1, cell(f"_r{c}", size) + 1)))
     mine = left.select(*keys, "id", *coords).withColumns({f"_c{i}": cell(c, size) for i, c in enumerate(coords)})
-    gap = F.sqrt(reduce(lambda a, b: a + b, [(F.col(c) - F.col(f"_r{c}")) ** 2 for c in coords]))
+    gap = F.sqrt(reduce(lambda a, b: a + b, [sq(F.col(c) - F.col(f"_r{c}")) for c in coords]))
     found = mine.join(near, [*keys, *[f"_c{i}" for i in range(len(coords))]]).withColumn("gap", gap)
     found = found.filter((F.col("gap") < radius) if strict else (F.col("gap") <= radius))
     best = found.groupBy(*keys, "id").agg(F.min(F.struct("gap", "_rid")).alias("_b"))
@@ -157,7 +158,7 @@ def knn(points: DataFrame, k: int, keys: list[str], radius: float, coords=("x",
         mine = todo
         for i, c in enumerate(coords):
             mine = mine.withColumn(f"_c{i}", F.explode(F.sequence(cell(c, radius) - 1, cell(c, radius) + 1)))
-        gap = F.sqrt(reduce(lambda a, b: a + b, [(F.col(c) - F.col(f"n{c}")) ** 2 for c in coords]))
+        gap = F.sqrt(reduce(lambda a, b: a + b, [sq(F.col(c) - F.col(f"n{c}")) for c in coords]))
         hits = mine.join(others, [*keys, *[f"_c{i}" for i in range(len(coords))]]).withColumn("gap", gap)
         hits = hits.filter(F.col("gap") <= radius)
         order = W.partitionBy(*keys, "id").orderBy("gap", "nid")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from levelgrid.operators.normalize import SCAN
 from levelgrid.session import attach
+from levelgrid.functions.geometry import sq
 
 
 def bake_transforms(points: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def sample_triangles(triangles: DataFrame, steps: DataFrame | None = None, keys=
             "nz": col("ex") * col("fy") - col("ey") * col("fx"),
         }
     )
-    size = lambda v: F.sqrt(F.col(f"{v}x") ** 2 + F.col(f"{v}y") ** 2 + F.col(f"{v}z") ** 2)
+    size = lambda v: F.sqrt(sq(F.col(f"{v}x")) + sq(F.col(f"{v}y")) + sq(F.col(f"{v}z")))
     t = t.withColumn("_len", size("n")).filter("_len >= 1e-10")
     longest = F.greatest(size("_e"), size("_f"), size("_h"))
     t = t.withColumn("_k", F.least(F.lit(400), F.greatest(F.lit(1), F.ceil(longest / F.col("step")))).cast("int"))

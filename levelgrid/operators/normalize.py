@@ -17,6 +17,7 @@ from levelgrid.functions import eigen
 from levelgrid.functions import tiles
 from levelgrid.functions.graph import connected_components
 from levelgrid.session import attach, settle
+from levelgrid.functions.geometry import sq
 
 # Detection tolerances in metres and degrees.
 VOXEL_MIN = 0.02
@@ -174,7 +175,7 @@ def coarse_planes(points: DataFrame, keys=SCAN, min_points: int = COARSE_MIN, ma
     """Planes of the 0.05 m cloud: bins of unit normal and offset, refitted by PCA."""
     keys = list(keys)
     coarse = voxel_mean(points, COARSE, keys)
-    length = F.sqrt(F.col("nx") ** 2 + F.col("ny") ** 2 + F.col("nz") ** 2)
+    length = F.sqrt(sq(F.col("nx")) + sq(F.col("ny")) + sq(F.col("nz")))
     coarse = coarse.withColumn("_len", length).filter("_len > 1e-8")
     coarse = coarse.withColumns({f"n{c}": F.col(f"n{c}") / F.col("_len") for c in "xyz"})
     step = math.sin(math.radians(PLANE_ANGLE))
@@ -249,7 +250,7 @@ def gravity(clusters: DataFrame, ext: DataFrame, up_axis: str = "auto", keys=SCA
 def orient_up(up: DataFrame, planes: DataFrame, keys=SCAN) -> DataFrame:
     """Sign of up: from the lower to the upper of the two largest level planes."""
     keys = list(keys)
-    length = F.greatest(F.sqrt(F.col("ux") ** 2 + F.col("uy") ** 2 + F.col("uz") ** 2), F.lit(1e-12))
+    length = F.greatest(F.sqrt(sq(F.col("ux")) + sq(F.col("uy")) + sq(F.col("uz"))), F.lit(1e-12))
     up = up.withColumns({f"u{c}": F.col(f"u{c}") / length for c in "xyz"})
     level = planes.join(up, keys).filter(
         F.abs(sum((F.col(f"n{c}") * F.col(f"u{c}") for c in "xyz"), F.lit(0.0))) >= COS15
@@ -275,30 +276,37 @@ ROT = [f"r{i}{j}" for i in range(3) for j in range(3)]
 
 def rotation_to_z(up: DataFrame) -> DataFrame:
     """Adds r00..r22, the least rotation that turns (ux, uy, uz) to +Z."""
-    length = F.greatest(F.sqrt(F.col("ux") ** 2 + F.col("uy") ** 2 + F.col("uz") ** 2), F.lit(1e-12))
-    x, y, c = F.col("ux") / length, F.col("uy") / length, F.col("uz") / length
-    k = 1.0 / (1.0 + c)
+    length = F.greatest(F.sqrt(sq(F.col("ux")) + sq(F.col("uy")) + sq(F.col("uz"))), F.lit(1e-12))
+    # Staged columns keep the expressions of the nine entries short.
+    out = up.withColumns({"_x": F.col("ux") / length, "_y": F.col("uy") / length, "_c": F.col("uz") / length})
+    x, y, c = F.col("_x"), F.col("_y"), F.col("_c")
+    use_x = F.abs(x) < 0.9
+    # Upside down: half a turn about a level axis.
+    out = out.withColumns(
+        {
+            "_k": 1.0 / (1.0 + c),
+            "_a0": F.when(use_x, 0.0).otherwise(-c),
+            "_a1": F.when(use_x, c).otherwise(F.lit(0.0)),
+            "_a2": F.when(use_x, -y).otherwise(x),
+        }
+    )
+    k = F.col("_k")
     free = [
         [1.0 - k * x * x, -k * x * y, -x],
         [-k * x * y, 1.0 - k * y * y, -y],
         [x, y, 1.0 - k * (x * x + y * y)],
     ]
-    # Upside down: half a turn about a level axis.
-    use_x = F.abs(x) < 0.9
-    ax = F.when(use_x, 0.0).otherwise(-c)
-    ay = F.when(use_x, c).otherwise(F.lit(0.0))
-    az = F.when(use_x, -y).otherwise(x)
-    al = F.sqrt(ax * ax + ay * ay + az * az)
-    a = [ax / al, ay / al, az / al]
+    out = out.withColumn("_l2", sq(F.col("_a0")) + sq(F.col("_a1")) + sq(F.col("_a2")))
     eye = [[1.0 if i == j else 0.0 for j in range(3)] for i in range(3)]
-    half = [[2.0 * a[i] * a[j] - eye[i][j] for j in range(3)] for i in range(3)]
-    return up.withColumns(
+    half = [[2.0 * F.col(f"_a{i}") * F.col(f"_a{j}") / F.col("_l2") - eye[i][j] for j in range(3)] for i in range(3)]
+    out = out.withColumns(
         {
             f"r{i}{j}": F.when(c > 0.999999, F.lit(eye[i][j])).when(c < -0.999999, half[i][j]).otherwise(free[i][j])
             for i in range(3)
             for j in range(3)
         }
     )
+    return out.drop("_x", "_y", "_c", "_k", "_a0", "_a1", "_a2", "_l2")
 
 
 def rotate_columns(names: tuple[str, str, str], shift: str | None = None) -> dict[str, Column]:
@@ -449,7 +457,7 @@ def storeys(floor_areas: DataFrame, ceiling_peaks: DataFrame, lowest: DataFrame,
     # Peaks per scan are bounded by the 2 % rule (at most fifty of each kind).
     paired = kept.join(ceilings, keys).filter((F.col("top") - F.col("height")).between(1.8, 8.0))
     found = settle(
-        paired.groupBy(*keys, F.col("height").alias("elevation")).agg(F.min("top").alias("top"))
+        paired.groupBy(*keys, F.col("height").alias("elevation"), "weight").agg(F.min("top").alias("top"))
         .select(*keys, "elevation", (F.col("top") - F.col("elevation")).alias("ceiling_height"))
     )
     strongest = kept.groupBy(*keys).agg(F.max_by("height", F.struct("weight", -F.col("height"))).alias("_f"))
@@ -548,7 +556,7 @@ def normalize(points: DataFrame, triangles: DataFrame | None = None, units: str
         cloud = settle(estimate_normals(cloud))
     planes = settle(coarse_planes(cloud, min_points=plane_min))
     box = settle(extents(cloud))
-    up = orient_up(gravity(cluster_normals(planes), box, up_axis), planes)
+    up = settle(orient_up(settle(gravity(cluster_normals(planes), box, up_axis)), planes))
     up = settle(rotation_to_z(up))
     cloud = apply_frame(cloud, up)
     turn = manhattan_angle(cloud).select("scan_id", "manhattan_deg")

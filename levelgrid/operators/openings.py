@@ -14,6 +14,7 @@ from levelgrid.functions.graph import connected_components
 from levelgrid.operators.normalize import SIN15
 from levelgrid.operators.surfaces import LEVEL
 from levelgrid.session import attach, settle
+from levelgrid.functions.geometry import sq
 
 # Raster cell and thresholds in metres, cells and degrees.
 CELL = 0.02
@@ -30,7 +31,7 @@ def wall_frames(walls: DataFrame, levels: DataFrame, keys=LEVEL, shortest: float
     """Walls long enough to hold openings, with raster size and storey heights."""
     keys = list(keys)
     w = walls.join(levels.select(*keys, "elevation", "ceiling_height"), keys)
-    length = F.sqrt((F.col("x2") - F.col("x1")) ** 2 + (F.col("y2") - F.col("y1")) ** 2)
+    length = F.sqrt(sq(F.col("x2") - F.col("x1")) + sq(F.col("y2") - F.col("y1")))
     w = w.withColumns({"length": length, "z0": F.col("elevation") + EDGE, "z1": F.col("elevation") + F.col("ceiling_height") - EDGE})
     w = w.filter((F.col("length") >= shortest) & (F.col("z1") > F.col("z0")))
     size = lambda v: F.greatest(F.lit(1), F.ceil(v / CELL)).cast("int")
@@ -282,7 +283,7 @@ def gap_passages(faces: DataFrame, keys=LEVEL) -> DataFrame:
     """
     keys = list(keys)
     f = faces.filter("not assumed")
-    f = f.withColumn("_len", F.sqrt((F.col("x2") - F.col("x1")) ** 2 + (F.col("y2") - F.col("y1")) ** 2)).filter("_len >= 0.4")
+    f = f.withColumn("_len", F.sqrt(sq(F.col("x2") - F.col("x1")) + sq(F.col("y2") - F.col("y1")))).filter("_len >= 0.4")
     f = f.select(*keys, "face", "x1", "y1", "x2", "y2", "thickness", "kind", "_len")
     # Only what lies along the line can be across the gap: pad the ends, not the sides.
     dx, dy = (F.col("x2") - F.col("x1")) / F.col("_len"), (F.col("y2") - F.col("y1")) / F.col("_len")
@@ -444,7 +445,7 @@ def column_ring(columns: DataFrame) -> DataFrame:
 
 def _stair_rows(sums: DataFrame, ring: DataFrame, keys: list[str], least_area: float, clamp: bool) -> DataFrame:
     out = sums.join(ring, keys).filter((F.size("hull") >= 3) & (g.ring_area(F.col("hull")) >= least_area))
-    length = F.greatest(F.sqrt(F.col("_dx") ** 2 + F.col("_dy") ** 2), F.lit(1e-8))
+    length = F.greatest(F.sqrt(sq(F.col("_dx")) + sq(F.col("_dy"))), F.lit(1e-8))
     rise = F.greatest(F.col("_z1") - F.col("_z0"), F.lit(0.0))
     low = F.col("_z0") - F.col("_e")
     out = out.select(
@@ -466,13 +467,13 @@ def detect_stairs_mesh(triangles: DataFrame, levels: DataFrame, keys=LEVEL) -> D
     nx = e("b", "y") * e("c", "z") - e("b", "z") * e("c", "y")
     ny = e("b", "z") * e("c", "x") - e("b", "x") * e("c", "z")
     nz = e("b", "x") * e("c", "y") - e("b", "y") * e("c", "x")
-    t = t.withColumns({"_nx": nx, "_ny": ny, "_nz": nz}).withColumn("_len", F.sqrt(F.col("_nx") ** 2 + F.col("_ny") ** 2 + F.col("_nz") ** 2)).filter("_len > 1e-8")
+    t = t.withColumns({"_nx": nx, "_ny": ny, "_nz": nz}).withColumn("_len", F.sqrt(sq(F.col("_nx")) + sq(F.col("_ny")) + sq(F.col("_nz")))).filter("_len > 1e-8")
     sign = F.when(F.col("_nz") < 0, -1.0).otherwise(F.lit(1.0))
     t = t.withColumns({f"_{n}": F.col(f"_{n}") * sign / F.col("_len") for n in ("nx", "ny", "nz")})
     angle = F.degrees(F.acos(F.least(F.lit(1.0), F.col("_nz"))))
     mid = (F.col("az") + F.col("bz") + F.col("cz")) / 3.0
     t = t.filter(angle.between(STAIR_LOW, STAIR_HIGH) & (mid >= F.col("_e") - 0.05) & (mid <= F.col("_e") + F.col("_c") + 0.05))
-    flat = F.sqrt(F.col("_nx") ** 2 + F.col("_ny") ** 2)
+    flat = F.sqrt(sq(F.col("_nx")) + sq(F.col("_ny")))
     w = F.col("_len") / 2.0
     sums = t.groupBy(*keys).agg(
         F.sum(w).alias("_a"), F.sum(-F.col("_nx") / flat * w).alias("_dx"), F.sum(-F.col("_ny") / flat * w).alias("_dy"),
@@ -491,7 +492,7 @@ def detect_stairs_points(level_points: DataFrame, levels: DataFrame, mesh_stairs
     sign = F.when(F.col("nz") < 0, -1.0).otherwise(F.lit(1.0))
     angle = F.degrees(F.acos(F.least(F.lit(1.0), F.abs("nz"))))
     p = p.filter(angle.between(STAIR_LOW, STAIR_HIGH) & (F.col("z") >= F.col("_e")) & (F.col("z") <= F.col("_e") + F.col("_c")))
-    flat = F.sqrt(F.col("nx") ** 2 + F.col("ny") ** 2)
+    flat = F.sqrt(sq(F.col("nx")) + sq(F.col("ny")))
     sums = p.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_k"), F.avg(-F.col("nx") * sign / flat).alias("_dx"), F.avg(-F.col("ny") * sign / flat).alias("_dy"),
         F.min("z").alias("_z0"), F.max("z").alias("_z1"), F.first("_e").alias("_e"),

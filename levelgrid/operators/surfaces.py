@@ -13,6 +13,7 @@ from levelgrid.functions import geometry as g
 from levelgrid.functions.graph import connected_components
 from levelgrid.operators.normalize import COS15, PLANE_ANGLE, PLANE_DIST, SIN15
 from levelgrid.session import attach, settle
+from levelgrid.functions.geometry import sq
 
 # Detection tolerances in metres, square metres, degrees and counts.
 SNAP_DEG = 8.0
@@ -324,7 +325,7 @@ def wall_kind(walls: DataFrame, floor: DataFrame, keys=LEVEL, id: str = "face")
     along = g.dot(g.sub(p, a), d) / (length * length)
     margin = F.col("thickness") / 2.0 + 0.05
     lines = walls.select(*keys, id, "x1", "y1", "x2", "y2", "thickness").filter("x1 <> x2 or y1 <> y2")
-    pad = F.greatest(F.lit(0.5), 0.05 * F.sqrt((F.col("x2") - F.col("x1")) ** 2 + (F.col("y2") - F.col("y1")) ** 2))
+    pad = F.greatest(F.lit(0.5), 0.05 * F.sqrt(sq(F.col("x2") - F.col("x1")) + sq(F.col("y2") - F.col("y1"))))
     tiled = tiles.tile_segment(lines, a, b, pad, 1.0)
     near = tiles.tile_points(floor.select(*keys, "x", "y"), "x", "y", 1.0).join(tiled, [*keys, *tiles.TILE])
     near = near.filter(along.between(-0.05, 1.05) & (F.abs(signed) > margin) & (F.abs(signed) < 0.5))

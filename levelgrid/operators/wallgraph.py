@@ -12,6 +12,7 @@ from levelgrid.functions import tiles
 from levelgrid.functions.graph import connected_components
 from levelgrid.operators.surfaces import LEVEL, MIN_WALL
 from levelgrid.session import attach, settle
+from levelgrid.functions.geometry import sq
 
 # Join tolerances in metres and the least room in square metres.
 END_SNAP = 0.05
@@ -25,7 +26,7 @@ ENDS = arr.ENDS
 
 
 def _length() -> Column:
-    return F.sqrt((F.col("x2") - F.col("x1")) ** 2 + (F.col("y2") - F.col("y1")) ** 2)
+    return F.sqrt(sq(F.col("x2") - F.col("x1")) + sq(F.col("y2") - F.col("y1")))
 
 
 def end_points(segments: DataFrame, keys: list[str], seg: str = "seg") -> DataFrame:
@@ -153,7 +154,7 @@ def cell_evidence(cells: DataFrame, points: DataFrame, keys=LEVEL) -> DataFrame:
 def cell_adjacency(labelled: DataFrame, cells: DataFrame, keys=LEVEL) -> DataFrame:
     """(keys, cell, other, shared): common boundary of at least 0.05 m; other NULL is outside."""
     keys = list(keys)
-    length = F.sqrt((F.col("id.x2") - F.col("id.x1")) ** 2 + (F.col("id.y2") - F.col("id.y1")) ** 2)
+    length = F.sqrt(sq(F.col("id.x2") - F.col("id.x1")) + sq(F.col("id.y2") - F.col("id.y1")))
     sides = labelled.select(F.col("cycle").alias("cell"), F.col("other"), length.alias("len"))
     known = cells.select(*keys, "cell")
     far = cells.select(F.col("cell").alias("other"), F.lit(1).alias("_in"))
@@ -289,7 +290,8 @@ def to_graph(segments: DataFrame, keys=LEVEL) -> tuple[DataFrame, DataFrame]:
     """(vertices, walls): millimetre vertices numbered by (x, y), walls by their ends."""
     keys = list(keys)
     mm = lambda c: F.bround(c, 3) + F.lit(0.0)
-    s = settle(segments.withColumns({c: mm(c) for c in ENDS}).filter("x1 <> x2 or y1 <> y2"))
+    s = segments.select(*keys, "seg", "thickness", "kind", "confidence", *[mm(c).alias(c) for c in ENDS])
+    s = settle(s.filter("x1 <> x2 or y1 <> y2"))
     points = end_points(s, keys).select(*keys, "x", "y").distinct()
     order = W.partitionBy(*keys).orderBy("x", "y")
     vertices = settle(points.withColumn("vertex_id", F.concat(F.lit("v"), F.row_number().over(order))))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from levelgrid.plans import schemas
+from levelgrid.functions.geometry import sq
 
 PLAN = ["plan_id", "level_id"]
 
@@ -117,7 +118,7 @@ def assemble_plans(drafts: PlanTables, names: DataFrame, issues: DataFrame | Non
     `issues` has plan_id, id, severity, code, message, level_id, element_id.
     """
     clamp = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(c)))
-    length = F.sqrt(F.col("direction.x") ** 2 + F.col("direction.y") ** 2)
+    length = F.sqrt(sq(F.col("direction.x")) + sq(F.col("direction.y")))
     stairs = drafts.stairs.withColumns(
         {
             "direction": F.when(length < 1e-8, F.struct(F.lit(0.0).alias("x"), F.lit(1.0).alias("y"))).otherwise(

@@ -5,17 +5,13 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
 POINT = "struct<x:double,y:double>"
 REF = "struct<type:string,id:string,edge:string>"
 
-POINTS = _struct("scan_id string, point_id bigint, x double, y double, z double, nx double, ny double, nz double, r smallint, g smallint, b smallint")
-TRIANGLES = _struct("scan_id string, face_id bigint, " + ", ".join(f"{c}{d} double" for c in "abc" for d in "xyz"))
-NODES = _struct("scan_id string, node_id string, m array<double>")
-SCAN_META = _struct("scan_id string, unit_scale double, source_format string")
+_POINTS = ("scan_id string, point_id bigint, x double, y double, z double, nx double, ny double, nz double, r smallint, g smallint, b smallint")
+_TRIANGLES = ("scan_id string, face_id bigint, " + ", ".join(f"{c}{d} double" for c in "abc" for d in "xyz"))
+_NODES = ("scan_id string, node_id string, m array<double>")
+_SCAN_META = ("scan_id string, unit_scale double, source_format string")
 
 LEVEL = (
     "struct<id:string,name:string,elevation:double,ceilingHeight:double,"
@@ -32,15 +28,15 @@ LEVEL = (
     "suppressedAutoDimensions:array<string>>"
 )
 ISSUE = "struct<id:string,severity:string,code:string,message:string,levelId:string,elementId:string>"
-PLAN = _struct(
+_PLAN = (
     "schemaVersion int, units string, revision int,"
     "project struct<name:string,address:string,northAngleDeg:double>,"
     f"levels array<{LEVEL}>,"
     "sheet struct<paper:string,orientation:string,scale:int,titleBlock:struct<company:string,project:string,address:string,drawnBy:string,date:string,sheetTitle:string,sheetNumber:string,revisionNote:string>>,"
     f"detection struct<source:struct<filename:string,format:string,unitScaleToMeters:double,upAxis:string,manhattanAngleDeg:double,linked:boolean>,issues:array<{ISSUE}>>"
 )
-MANIFEST = _struct("file string, source string, kind string, notes string, levels int, references array<struct<name:string,lengthM:double,toleranceM:double>>")
-PROJECT = _struct("id string, name string, createdAt string, sourceFileName string, linkedPath string, fileId string, versionId string")
+_MANIFEST = ("file string, source string, kind string, notes string, levels int, references array<struct<name:string,lengthM:double,toleranceM:double>>")
+_PROJECT = ("id string, name string, createdAt string, sourceFileName string, linkedPath string, fileId string, versionId string")
 
 # The document's enumerations and patterns.
 ID_PATTERN = "^[A-Za-z][A-Za-z0-9_-]{0,31}$"
@@ -70,7 +66,17 @@ AXES = ["x", "y", "z"]
 SEVERITIES = ["info", "warning", "error"]
 
 
-def empty_rows(name: str) -> T.StructType:
-    """Element type of a list field of a level."""
-    level = PLAN["levels"].dataType.elementType
-    return level[name].dataType.elementType
+
+_DDL = {"POINTS": _POINTS, "TRIANGLES": _TRIANGLES, "NODES": _NODES, "SCAN_META": _SCAN_META, "PLAN": _PLAN, "MANIFEST": _MANIFEST, "PROJECT": _PROJECT}
+
+
+def __getattr__(name: str) -> T.StructType:
+    """Struct types by name, parsed when first asked for (parsing needs a session)."""
+    if name not in _DDL:
+        raise AttributeError(name)
+    return T.StructType.fromDDL(_DDL[name])
+
+
+def with_corrupt(name: str, column: str = "_bad") -> T.StructType:
+    """A schema with a column for the text of rows that do not parse."""
+    return T.StructType([*__getattr__(name).fields, T.StructField(column, T.StringType())])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from levelgrid.plans import schemas
 from levelgrid.plans.documents import ELEMENTS, PLAN, PlanTables
 from levelgrid.plans.rooms import wall_lines
+from levelgrid.functions.geometry import sq
 
 
 def _row(df: DataFrame, id_col, rule: str) -> DataFrame:
@@ -62,7 +63,7 @@ def dimension_refs(dimensions: DataFrame) -> DataFrame:
 
 def check_openings(t: PlanTables) -> DataFrame:
     """Head above sill, head under the ceiling, width under the wall's length."""
-    lines = wall_lines(t.vertices, t.walls).select(*PLAN, "wall_id", F.sqrt((F.col("x2") - F.col("x1")) ** 2 + (F.col("y2") - F.col("y1")) ** 2).alias("length"))
+    lines = wall_lines(t.vertices, t.walls).select(*PLAN, "wall_id", F.sqrt(sq(F.col("x2") - F.col("x1")) + sq(F.col("y2") - F.col("y1"))).alias("length"))
     o = t.openings.join(t.levels.select(*PLAN, "ceiling_height"), PLAN).join(lines, [*PLAN, "wall_id"])
     rules = F.array_compact(
         F.array(
@@ -75,7 +76,7 @@ def check_openings(t: PlanTables) -> DataFrame:
 
 
 def check_stairs(t: PlanTables) -> DataFrame:
-    length = F.sqrt(F.col("direction.x") ** 2 + F.col("direction.y") ** 2)
+    length = F.sqrt(sq(F.col("direction.x")) + sq(F.col("direction.y")))
     rules = F.array_compact(
         F.array(
             F.when(F.abs(length - 1.0) > 1e-6, F.lit("direction_not_unit")),
