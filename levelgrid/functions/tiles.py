@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from levelgrid.functions import geometry as g
+from levelgrid.functions.graph import connected_components
 from levelgrid.session import settle
 from levelgrid.functions.geometry import sq
 
@@ -122,6 +124,22 @@ def eps_pairs(df: DataFrame, keys: list[str], coords: list[str], radius: float,
     return pairs.select(*keys, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), gap.alias("gap"))
 
 
+def eps_components(df: DataFrame, keys: list[str], coords: list[str], radius: float) -> DataFrame:
+    """(id, component): single linkage of rows at most `radius` apart.
+
+    Rows of one small cell are within the radius of each other by its size, so
+    a cell is one node and only the distinct links between cells reach the
+    closure: its size follows the occupied space, not the number of pairs.
+    """
+    size = radius / math.sqrt(len(coords)) * (1.0 - 1e-9)
+    node = F.struct(*keys, *[cell(c, size).alias(f"c_{c}") for c in coords])
+    named = settle(df.select(*keys, "id", *coords, node.alias("_node")))
+    tagged = named.select(*keys, F.struct("_node", "id").alias("id"), *coords)
+    links = eps_pairs(tagged, keys, coords, radius).select(F.col("u._node").alias("u"), F.col("v._node").alias("v")).filter("u <> v").distinct()
+    label = connected_components(links, named.select(F.col("_node").alias("id")).distinct())
+    return named.select("id", "_node").join(label.withColumnRenamed("id", "_node"), "_node").select("id", "component")
+
+
 def nearest_within(
     left: DataFrame, right: DataFrame, keys: list[str], coords: list[str], radius: float, right_id: str, strict=False
 ) -> DataFrame:

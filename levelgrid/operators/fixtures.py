@@ -10,7 +10,6 @@ from pyspark.sql import Window as W
 
 from levelgrid.functions import geometry as g
 from levelgrid.functions import hulls, tiles
-from levelgrid.functions.graph import connected_components
 from levelgrid.operators.openings import away_from_walls, column_ring
 from levelgrid.operators.surfaces import LEVEL
 from levelgrid.session import attach, settle
@@ -41,7 +40,7 @@ def clear_of_rings(points: DataFrame, rings: DataFrame, pad: float, keys: list[s
     tiled = tiles.tile_box(rings.select(*keys, "ring"), box["min_x"] - pad, box["min_y"] - pad, box["max_x"] + pad, box["max_y"] + pad, 1.0).alias("s")
     left = tiles.tile_points(points, "x", "y", 1.0).alias("p")
     p = g.xy("p.x", "p.y")
-    on = g.point_in_ring(p, F.col("s.ring")) | (g.distance_to_ring(p, F.col("s.ring")) <= pad)
+    on = g.point_in_ring(p, F.col("s.ring")) | (g.distance_to_ring(p, F.col("s.ring")) <= pad + 1e-9)
     for k in [*keys, *tiles.TILE]:
         on = on & (F.col(f"p.{k}") == F.col(f"s.{k}"))
     return left.join(tiled, on, "left_anti").drop(*tiles.TILE)
@@ -77,8 +76,7 @@ def cluster_points(points: DataFrame, eps: float = 0.15, keys=LEVEL, least: int
     """Thinned points with their single-linkage cluster; small clusters are dropped."""
     keys = list(keys)
     p = settle(points.withColumn("id", F.struct(*keys, "x", "y", "z")))
-    pairs = tiles.eps_pairs(p, keys, ["x", "y", "z"], eps)
-    label = connected_components(pairs.select("u", "v"), p.select("id"))
+    label = tiles.eps_components(p, keys, ["x", "y", "z"], eps)
     named = settle(p.join(label, "id").withColumnRenamed("component", "cluster").drop("id"))
     size = named.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("_n"), (F.max("x") - F.min("x")).alias("_sx"), (F.max("y") - F.min("y")).alias("_sy")

@@ -10,7 +10,6 @@ from pyspark.sql import Window as W
 
 from levelgrid.functions import geometry as g
 from levelgrid.functions import hulls, tiles
-from levelgrid.functions.graph import connected_components
 from levelgrid.operators.normalize import SIN15
 from levelgrid.operators.surfaces import LEVEL
 from levelgrid.session import attach, settle
@@ -64,11 +63,10 @@ def elevation_raster(projected: DataFrame, keys=LEVEL, least: int = 2) -> DataFr
     return cells.groupBy(*keys, "wall_id", "row", "col").agg(F.count(F.lit(1)).alias("points")).filter(F.col("points") >= least)
 
 
-def elevation_raster_mesh(triangles: DataFrame, frames: DataFrame, keys=LEVEL) -> DataFrame:
-    """Cells filled by the triangles that lie wholly inside a wall's band.
+def elevation_runs_mesh(triangles: DataFrame, frames: DataFrame, keys=LEVEL) -> DataFrame:
+    """Solid runs (row, c0, c1) of the triangles that lie wholly inside a wall's band.
 
-    `triangles` has keys, ax..cz. A triangle in the band has its corners near
-    the wall, so it meets the wall in the tile of its first corner.
+    `triangles` has keys, ax..cz. Each triangle is filled row by row as one run.
     """
     keys = list(keys)
     a, b = g.xy("x1", "y1"), g.xy("x2", "y2")
@@ -92,23 +90,44 @@ def elevation_raster_mesh(triangles: DataFrame, frames: DataFrame, keys=LEVEL) -
     px = {c: F.rint(u[c] / CELL) for c in "abc"}
     pz = {c: F.rint((F.col(f"{c}z") - F.col("z0")) / CELL) for c in "abc"}
     m = m.select(*keys, "wall_id", "cols", "rows", *[v.cast("int").alias(f"u{c}") for c, v in px.items()], *[v.cast("int").alias(f"v{c}") for c, v in pz.items()])
-    span = lambda n, top: F.sequence(
-        F.greatest(F.lit(0), F.least(*[F.col(f"{n}{c}") for c in "abc"])), F.greatest(F.lit(0), F.least(F.col(top) - 1, F.greatest(*[F.col(f"{n}{c}") for c in "abc"])))
-    )
-    near = (F.least("ua", "ub", "uc") < F.col("cols")) & (F.greatest("ua", "ub", "uc") >= 0) & (F.least("va", "vb", "vc") < F.col("rows")) & (F.greatest("va", "vb", "vc") >= 0)
-    m = m.filter(near).withColumn("col", F.explode(span("u", "cols"))).withColumn("row", F.explode(span("v", "rows")))
+    low, high = F.greatest(F.lit(0), F.least("va", "vb", "vc")), F.least(F.col("rows") - 1, F.greatest("va", "vb", "vc"))
+    m = m.filter(low <= high).withColumn("row", F.explode(F.sequence(low, high)))
+
+    def meets(p, q):
+        """Where the row's line meets an edge: its two ends when the edge is level."""
+        vp, vq, up, uq = (F.col(f"{n}{c}") for n in "vu" for c in (p, q))
+        on = (F.col("row") >= F.least(vp, vq)) & (F.col("row") <= F.greatest(vp, vq))
+        at = up + (uq - up) * (F.col("row") - vp) / F.nullif(vq - vp, F.lit(0))
+        return F.when(on & (vp != vq), at).when(on, F.least(up, uq)), F.when(on & (vp != vq), at).when(on, F.greatest(up, uq))
+
+    ends = [meets(p, q) for p, q in ("ab", "bc", "ca")]
+    c0 = F.greatest(F.lit(0), F.floor(F.least(*[e[0] for e in ends]) + 0.5)).cast("int")
+    c1 = F.least(F.col("cols") - 1, F.floor(F.greatest(*[e[1] for e in ends]) + 0.5)).cast("int")
+    return m.select(*keys, "wall_id", "row", c0.alias("c0"), c1.alias("c1")).filter("c0 <= c1")
+
+
+def elevation_raster_mesh(triangles: DataFrame, frames: DataFrame, keys=LEVEL) -> DataFrame:
+    """Solid cells of the triangles in each wall's band."""
+    keys = list(keys)
+    runs = elevation_runs_mesh(triangles, frames, keys)
+    return runs.select(*keys, "wall_id", "row", F.explode(F.sequence("c0", "c1")).alias("col")).distinct()
+
 
-    def turn(p, q):
-        return (F.col(f"u{q}") - F.col(f"u{p}")) * (F.col("row") - F.col(f"v{p}")) - (F.col(f"v{q}") - F.col(f"v{p}")) * (F.col("col") - F.col(f"u{p}"))
+def empty_cells(runs: DataFrame, dims: DataFrame, keys: list[str]) -> DataFrame:
+    """Empty cells (keys, row, col): the gaps between the solid runs (row, c0, c1) of every row.
 
-    s = [turn("a", "b"), turn("b", "c"), turn("c", "a")]
-    inside = (F.least(*s) >= 0) | (F.greatest(*s) <= 0)
-    # A triangle seen edge-on is the line between its corners.
-    flat = (F.col("ub") - F.col("ua")) * (F.col("vc") - F.col("va")) == (F.col("vb") - F.col("va")) * (F.col("uc") - F.col("ua"))
-    longest = F.greatest(*[F.greatest(F.abs(F.col(f"u{p}") - F.col(f"u{q}")), F.abs(F.col(f"v{p}") - F.col(f"v{q}"))) for p, q in ("ab", "bc", "ca")])
-    on_line = F.greatest(*[F.abs(v) for v in s]) * 2 <= longest
-    keep = F.when(flat, on_line).otherwise(inside)
-    return m.filter(keep).groupBy(*keys, "wall_id", "row", "col").agg(F.count(F.lit(1)).alias("points"))
+    Walls are mostly solid, so the holes are laid out and the solid cells are not.
+    """
+    keys = list(keys)
+    rows = dims.select(*keys, F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), F.col("cols").alias("c0"), F.col("cols").alias("c1"))
+    w = W.partitionBy(*keys, "row").orderBy("c0", "c1")
+    seen = F.coalesce(F.max("c1").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(-1))
+    gaps = runs.select(*keys, "row", "c0", "c1").unionByName(rows).withColumn("_s", seen + 1).filter(F.col("c0") > F.col("_s"))
+    return gaps.select(*keys, "row", F.explode(F.sequence(F.col("_s"), F.col("c0") - 1)).alias("col"))
+
+
+def cell_runs(cells: DataFrame, keys: list[str]) -> DataFrame:
+    return cells.select(*keys, "row", F.col("col").alias("c0"), F.col("col").alias("c1"))
 
 
 def dilate(cells: DataFrame, keys: list[str], offsets) -> DataFrame:
@@ -144,36 +163,28 @@ def morph_close(cells: DataFrame, dims: DataFrame, keys: list[str], offsets=CROS
     return votes.filter(F.col("_v") == need).select(*keys, "row", "col")
 
 
-def column_voids(solid: DataFrame, dims: DataFrame, keys: list[str], least: int = MIN_CELLS) -> DataFrame:
-    """(keys, col, z0, z1): first and last empty row of the columns with enough empty rows.
+def morph_open(empty: DataFrame, dims: DataFrame, keys: list[str], offsets=CROSS) -> DataFrame:
+    """What closing the solid cells leaves empty: erosion, then dilation, of the empty ones."""
+    keys = list(keys)
+    side = dims.select(*keys, "rows", "cols")
+    inside = (F.col("row") >= 0) & (F.col("row") < F.col("rows")) & (F.col("col") >= 0) & (F.col("col") < F.col("cols"))
+    steps = F.array(*[F.struct(F.lit(-dr).alias("r"), F.lit(-dc).alias("c")) for dr, dc in offsets])
+    votes = empty.select(*keys, F.explode(steps).alias("_s"), "row", "col")
+    votes = votes.select(*keys, (F.col("row") + F.col("_s.r")).alias("row"), (F.col("col") + F.col("_s.c")).alias("col"))
+    votes = attach(votes.groupBy(*keys, "row", "col").agg(F.count(F.lit(1)).alias("_v")), side, keys).filter(inside)
+    need = F.lit(0)
+    for dr, dc in offsets:
+        r, c = F.col("row") + dr, F.col("col") + dc
+        need = need + ((r >= 0) & (r < F.col("rows")) & (c >= 0) & (c < F.col("cols"))).cast("int")
+    core = votes.filter(F.col("_v") == need).select(*keys, "row", "col")
+    return attach(dilate(core, keys, offsets), side, keys).filter(inside).select(*keys, "row", "col")
+
 
-    Empty rows are counted as the complement of the solid ones, so the grid
-    itself is never laid out: the first gap before, between or after solid rows
-    gives z0, the last gives z1.
-    """
+def column_voids(empty: DataFrame, keys: list[str], least: int = MIN_CELLS) -> DataFrame:
+    """(keys, col, z0, z1): first and last empty row of the columns with enough empty rows."""
     keys = list(keys)
-    cols = dims.select(*keys, "rows", "cols").withColumn("col", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)))
-    w = W.partitionBy(*keys, "col").orderBy("row")
-    s = solid.select(*keys, "col", "row").withColumns({"_i": F.row_number().over(w) - 1})
-    per = s.groupBy(*keys, "col").agg(
-        F.count(F.lit(1)).alias("_n"),
-        # Length of the solid run that starts at row 0: rows equal to their rank.
-        F.count_if(F.col("row") == F.col("_i")).alias("_lead"),
-        F.max("row").alias("_max"),
-        F.sort_array(F.collect_list("row"), asc=False).alias("_down"),
-    )
-    out = cols.join(per, [*keys, "col"], "left")
-    down = F.coalesce("_down", F.array().cast("array<int>"))
-    # Length of the solid run that ends at the last row.
-    tail = F.size(F.filter(F.transform(down, lambda r, i: r + i), lambda v: v == F.col("rows") - 1))
-    out = out.withColumns(
-        {
-            "empty": F.col("rows") - F.coalesce("_n", F.lit(0)),
-            "z0": F.coalesce("_lead", F.lit(0)).cast("int"),
-            "z1": (F.col("rows") - 1 - tail).cast("int"),
-        }
-    )
-    return out.filter((F.col("empty") >= least) & (F.col("z1") - F.col("z0") + 1 >= least)).select(*keys, "col", "z0", "z1")
+    out = empty.groupBy(*keys, "col").agg(F.min("row").alias("z0"), F.max("row").alias("z1"), F.count(F.lit(1)).alias("_n"))
+    return out.filter((F.col("_n") >= least) & (F.col("z1") - F.col("z0") + 1 >= least)).select(*keys, "col", "z0", "z1")
 
 
 def group_voids(columns: DataFrame, keys: list[str], least: int = MIN_CELLS) -> DataFrame:
@@ -195,13 +206,13 @@ def group_voids(columns: DataFrame, keys: list[str], least: int = MIN_CELLS) ->
     return out.filter((F.col("columns") >= least) & (F.col("z1") > F.col("z0")))
 
 
-def void_metrics(groups: DataFrame, solid: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
+def void_metrics(groups: DataFrame, empty: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
     """Sill, head, width, centre and fill of every void narrower than its wall."""
     keys = list(keys)
     side = groups.select(*keys, "void", "c0", "c1", F.col("z0").alias("r0"), F.col("z1").alias("r1"))
-    # A void belongs to one wall, and a wall has few: solid cells meet them by wall and column.
+    # A void belongs to one wall, and a wall has few: empty cells meet them by wall and column.
     span = side.withColumn("col", F.explode(F.sequence("c0", "c1")))
-    hit = solid.join(span, [*keys, "col"]).filter(F.col("row").between(F.col("r0"), F.col("r1")))
+    hit = empty.join(span, [*keys, "col"]).filter(F.col("row").between(F.col("r0"), F.col("r1")))
     filled = hit.groupBy(*keys, "void").agg(F.count(F.lit(1)).alias("_f"))
     v = groups.join(filled, [*keys, "void"], "left").join(frames.select(*keys, "rows", "length", "ceiling_height"), keys)
     area = (F.col("c1") - F.col("c0") + 1) * (F.col("z1") - F.col("z0") + 1)
@@ -209,7 +220,7 @@ def void_metrics(groups: DataFrame, solid: DataFrame, frames: DataFrame, keys: l
     head = F.when(F.col("z1") >= F.col("rows") - 2, ceiling).otherwise(EDGE + (F.col("z1") + 1) * CELL)
     v = v.withColumns(
         {
-            "ratio": 1.0 - F.coalesce("_f", F.lit(0)) / area,
+            "ratio": F.coalesce("_f", F.lit(0)) / area,
             "width": (F.col("c1") - F.col("c0") + 1) * CELL,
             "center": F.least((F.col("c0") + F.col("c1") + 1) * CELL / 2.0, F.col("length")),
             "sill": F.when(F.col("z0") <= 1, 0.0).otherwise(EDGE + F.col("z0") * CELL),
@@ -267,12 +278,12 @@ def detect_openings(level_points: DataFrame, walls: DataFrame, levels: DataFrame
     wall = [*keys, "wall_id"]
     frames = settle(wall_frames(walls, levels, keys))
     if triangles is not None:
-        solid = elevation_raster_mesh(triangles, frames, keys)
+        runs = elevation_runs_mesh(triangles, frames, keys)
     else:
-        solid = elevation_raster(project_to_walls(level_points, frames, keys), keys)
-    closed = settle(morph_close(solid, frames, wall))
-    groups = settle(group_voids(column_voids(closed, frames, wall), wall))
-    return finish_openings(void_metrics(groups, closed, frames, wall), keys)
+        runs = cell_runs(elevation_raster(project_to_walls(level_points, frames, keys), keys), wall)
+    empty = settle(morph_open(empty_cells(runs, frames, wall), frames, wall))
+    groups = settle(group_voids(column_voids(empty, wall), wall))
+    return finish_openings(void_metrics(groups, empty, frames, wall), keys)
 
 
 def gap_passages(faces: DataFrame, keys=LEVEL) -> DataFrame:
@@ -422,16 +433,14 @@ def detect_columns(level_points: DataFrame, walls: DataFrame, levels: DataFrame,
     enough = cells.groupBy(*keys).agg(F.sum("n").alias("_p"), F.count(F.lit(1)).alias("_k")).filter("_p >= 20 and _k >= 8").select(*keys)
     cells = settle(cells.join(enough, keys, "left_semi"))
     # Points of a cell are at most 0.11 m apart, so a cell's mean stands for it.
-    pairs = tiles.eps_pairs(cells, keys, ["x", "y"], 0.18)
-    label = connected_components(pairs.select("u", "v"), cells.select("id"))
+    label = tiles.eps_components(cells, keys, ["x", "y"], 0.18)
     named = settle(cells.join(label, "id"))
     good = named.groupBy("component").agg(F.count(F.lit(1)).alias("_k"), (F.max("z1") - F.min("z0")).alias("_h")).filter("_k >= 6 and _h >= 1.2")
     named = named.join(good.select("component"), "component", "left_semi")
     rects = min_rotated_rect(named, [*keys, "component"])
     rects = settle(rects.filter((F.least("width", "depth") >= 0.15) & (F.greatest("width", "depth") <= 0.80)))
     spots = rects.withColumn("id", F.col("component"))
-    close = tiles.eps_pairs(spots, keys, ["x", "y"], 0.55)
-    group = connected_components(close.select("u", "v"), spots.select("id")).withColumnRenamed("component", "_g")
+    group = tiles.eps_components(spots, keys, ["x", "y"], 0.55).withColumnRenamed("component", "_g")
     merged = spots.join(group, "id").groupBy(*keys, "_g").agg(
         F.avg("x").alias("x"), F.avg("y").alias("y"), F.max("width").alias("width"), F.max("depth").alias("depth"), F.min_by("angle", "id").alias("rotation_deg")
     )
