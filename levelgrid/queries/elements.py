@@ -191,8 +191,9 @@ def host_wall(spark, sf):
 
 
 def _near_wall_sql(pad, along):
-    return f"""EXISTS (SELECT 1 FROM ({WALLS}) w WHERE w.plan_id = p.plan_id AND CASE WHEN w.y1 = w.y2 THEN p.x - w.x1 ELSE p.y - w.y1 END BETWEEN -{along} AND CASE WHEN w.y1 = w.y2 THEN w.x2 - w.x1 ELSE w.y2 - w.y1 END + {along}
-        AND CASE WHEN w.y1 = w.y2 THEN abs(p.y - w.y1) ELSE abs(p.x - w.x1) END <= w.thickness / 2.0 + {pad})"""
+    n = "sqrt((w.x2 - w.x1) * (w.x2 - w.x1) + (w.y2 - w.y1) * (w.y2 - w.y1))"
+    return f"""EXISTS (SELECT 1 FROM ({WALLS}) w WHERE w.plan_id = p.plan_id AND ((p.x - w.x1) * (w.x2 - w.x1) + (p.y - w.y1) * (w.y2 - w.y1)) / {n} BETWEEN -{along} AND {n} + {along}
+        AND abs((w.x2 - w.x1) * (p.y - w.y1) - (w.y2 - w.y1) * (p.x - w.x1)) / {n} <= w.thickness / 2.0 + {pad})"""
 
 
 @query("away_from_walls", f"SELECT p.plan_id, count(*) AS n FROM ({LI}) p WHERE NOT {_near_wall_sql('0.08', '0.08')} GROUP BY 1")
