@@ -43,11 +43,13 @@ def nearest_palette(pixels: DataFrame, palette: dict[str, tuple] | None = None,
     no join at all; the first of equal distances wins.
     """
     palette = PALETTE if palette is None else palette
-    d2 = lambda c: (F.col("r") - c[0]) ** 2 + (F.col("g") - c[1]) ** 2 + (F.col("b") - c[2]) ** 2
-    best = F.least(*[F.struct(d2(c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(palette.values())])
+    d2 = lambda c: g.sq(F.col("r") - c[0]) + g.sq(F.col("g") - c[1]) + g.sq(F.col("b") - c[2])
+    # Squared distance and position in one integer: the least one is the nearest, first on ties.
+    best = F.least(*[d2(c) * len(palette) + i for i, c in enumerate(palette.values())])
     names = F.array(*[F.lit(n) for n in palette])
-    out = pixels.withColumn("_b", best).withColumn("distance", F.sqrt(F.col("_b.d")))
-    return out.withColumn("name", F.when(F.col("distance") <= tolerance, F.get(names, F.col("_b.i")))).drop("_b")
+    out = pixels.withColumn("_b", best)
+    out = out.withColumn("distance", F.sqrt(F.floor(F.col("_b") / len(palette))))
+    return out.withColumn("name", F.when(F.col("distance") <= tolerance, F.get(names, F.col("_b") % len(palette)))).drop("_b")
 
 
 def nearest_centroid(vectors: DataFrame, centroids: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -84,7 +86,7 @@ def mask_components(named: DataFrame, dims: DataFrame, keys=IMAGE) -> DataFrame:
     keys = list(keys)
     from pyspark.sql import Window as W
 
-    cells = named.filter(~F.col("name").isin("outside", "floor")).select(*keys, F.col("name").alias("symbol"), "row", "col")
+    cells = settle(named.select(*keys, F.col("name").alias("symbol"), "row", "col")).filter(~F.col("symbol").isin("outside", "floor"))
     size = dims.select(*keys, F.col("height").alias("rows"), F.col("width").alias("cols"))
     per = cells.select(*keys, "symbol").distinct().join(size, keys)
     closed = morph_close(cells, per, [*keys, "symbol"], SQUARE)

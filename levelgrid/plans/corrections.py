@@ -426,7 +426,7 @@ def merge_walls(t: PlanTables, ops: DataFrame):
     s, e = g.xy("fx", "fy"), g.xy("ox", "oy")
     span = g.sub(e, s)
     at = F.least(F.lit(1.0), F.greatest(F.lit(0.0), g.dot(g.sub(c, s), span) / g.dot(span, span)))
-    o = o.withColumns({"offset": F.coalesce(at, "offset"), "wall_id": F.coalesce("to", "wall_id")}).select(*t.openings.columns)
+    o = o.withColumns({"offset": F.when(F.col("to").isNotNull(), at).otherwise(F.col("offset")), "wall_id": F.coalesce("to", "wall_id")}).select(*t.openings.columns)
     used = kept.select(*PLAN, F.explode(F.array("a", "b")).alias("vertex_id")).unionByName(t.separators.select(*PLAN, F.explode(F.array("a", "b")).alias("vertex_id"))).distinct()
     loose = hit.select(*PLAN, F.col("v").alias("vertex_id")).join(used, [*PLAN, "vertex_id"], "left_anti")
     vertices = t.vertices.join(loose, [*PLAN, "vertex_id"], "left_anti").select(*t.vertices.columns)

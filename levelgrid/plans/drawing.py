@@ -119,7 +119,9 @@ def content_bounds(t: PlanTables, hide_furniture: bool = False) -> DataFrame:
     pick = lambda e: F.max(F.when(F.col("end") == e, F.struct("x", "y")))
     dims = refs.groupBy(*PLAN, "element_id", "segment").agg(pick("a").alias("pa"), pick("b").alias("pb")).join(t.dimensions.select(*PLAN, F.col("dimension_id").alias("element_id"), "offset"), [*PLAN, "element_id"])
     a, b = g.pt("pa"), g.pt("pb")
-    n = g.mul(g.left(g.unit(g.sub(b, a))), F.col("offset"))
+    n = g.left(g.unit(g.sub(b, a)))
+    dims = settle(dims.withColumns({"_nx": n.x * F.col("offset"), "_ny": n.y * F.col("offset")}))
+    n = g.xy("_nx", "_ny")
     dims = dims.filter(g.dist(a, b) > 0).select(*PLAN, F.explode(F.array(g.point_struct(g.add(a, n)), g.point_struct(g.add(b, n)))).alias("p")).select(*PLAN, "p.x", "p.y")
     parts = [
         spread(wall_polygons(t.vertices, t.walls), "ring"), spread(opening_rect(t), "ring"), spread(column_ring(t.columns), "ring"), spread(t.stairs, "outline"),

@@ -58,7 +58,7 @@ def offset_along_wall(points: DataFrame, width: str = "width") -> DataFrame:
     t = g.foot_param(g.xy("x", "y"), g.xy("x1", "y1"), g.xy("x2", "y2"))
     length = g.dist(g.xy("x1", "y1"), g.xy("x2", "y2"))
     half = F.least(F.lit(0.49), F.col(width) / 2.0 / length)
-    return points.withColumn("offset", F.coalesce(F.least(1.0 - half, F.greatest(half, t)), F.lit(0.5)))
+    return points.withColumn("offset", F.when(t.isNull(), 0.5).otherwise(F.least(1.0 - half, F.greatest(half, t))))
 
 
 def resolve_refs(refs: DataFrame, t: PlanTables) -> DataFrame:

@@ -10,6 +10,7 @@ from levelgrid.functions import tiles
 from levelgrid.plans import schemas
 from levelgrid.plans.documents import PLAN, symbol_dim
 from levelgrid.plans.lookup import outside_items
+from levelgrid.session import settle
 
 # Picture step and reach of the camera in metres.
 SAMPLE = 0.02
@@ -112,7 +113,7 @@ def pixel_to_floor(df: DataFrame, nx: Column, ny: Column, out: str = "") -> Data
     df = df.withColumn(f"{e}t", t)
     t = F.col(f"{e}t")
     x, y = n("x") + t * (f("x") - n("x")), n("y") + t * (f("y") - n("y"))
-    far = F.sqrt((x - m("world", 0, 3)) ** 2 + (y - m("world", 1, 3)) ** 2)
+    far = F.sqrt(g.sq(x - m("world", 0, 3)) + g.sq(y - m("world", 1, 3)))
     ok = (t >= 0) & (far <= REACH)
     return df.withColumns({f"px{out}": F.when(ok, x), f"py{out}": F.when(ok, y)}).drop(f"{e}n", f"{e}f", f"{e}t")
 
@@ -160,7 +161,7 @@ def parse_fixture_replies(replies: DataFrame, cameras: DataFrame) -> tuple[DataF
     items = items.select(*PLAN, "shot_id", "i", "f.symbol", share("f.nx").alias("nx"), share("f.ny").alias("ny"), share("f.spanX").alias("span_x"), share("f.spanY").alias("span_y"), "f.back", F.expr("try_cast(f.confidence as double)").alias("_c"))
     sizes = F.broadcast(symbol_dim(replies.sparkSession))  # twelve fixed rows
     items = items.join(sizes.select("symbol", "role", "reply_width", "reply_depth"), "symbol")
-    posed = fixture_pose(items.join(camera_matrices(cameras), "shot_id"))
+    posed = settle(fixture_pose(settle(items.join(camera_matrices(cameras), "shot_id"))))
     sane = F.col("pose_w").between(0.15, 4.0) & F.col("pose_d").between(0.15, 4.0)
     posed = posed.withColumns(
         {

@@ -110,12 +110,12 @@ def clip_convex(spark, sf):
     return s.select("id", r6(g.ring_area(g.clip_convex(one, other))).alias("area"))
 
 
-@query("wall_polygons", f"""SELECT plan_id, wall_id, {r("len * t - (CASE WHEN dega = 3 THEN CASE WHEN la THEN t * t / 8 ELSE t * t / 4 END WHEN dega = 4 THEN t * t / 4 ELSE 0 END) - (CASE WHEN degb = 3 THEN CASE WHEN lb THEN t * t / 8 ELSE t * t / 4 END WHEN degb = 4 THEN t * t / 4 ELSE 0 END)", 'area')} FROM (
+@query("wall_polygons", f"""SELECT plan_id, wall_id, {r("len * t - (CASE WHEN dega = 3 THEN CASE WHEN la THEN t * t / 8 ELSE t * t / 4 END WHEN dega = 4 THEN t * t / 4 ELSE 0 END) - (CASE WHEN degb = 3 THEN CASE WHEN lb THEN t * t / 8 ELSE t * t / 4 END WHEN degb = 4 THEN t * t / 4 ELSE 0 END)", 'area', 9)} FROM (
     SELECT plan_id, concat('w', CAST(j * nx + i + 1 AS STRING)) AS wall_id, t, 5 AS len, i > 0 AS la, i + 1 < nx AS lb, CAST(i > 0 AS INT) + 1 + CAST(j > 0 AS INT) + CAST(j < ny AS INT) AS dega, 1 + CAST(i + 1 < nx AS INT) + CAST(j > 0 AS INT) + CAST(j < ny AS INT) AS degb FROM ({D['grid_h']}) h
     UNION ALL SELECT plan_id, concat('w', CAST(nx * (ny + 1) + j * (nx + 1) + i + 1 AS STRING)), t, 4, j > 0, j + 1 < ny, CAST(j > 0 AS INT) + 1 + CAST(i > 0 AS INT) + CAST(i < nx AS INT), 1 + CAST(j + 1 < ny AS INT) + CAST(i > 0 AS INT) + CAST(i < nx AS INT) FROM ({D['grid_u']}) u) q""")
 def wall_polygons(spark, sf):
     t = plan_tables(spark, sf)
-    return R.wall_polygons(t.vertices, t.walls).select("plan_id", "wall_id", r6(F.abs(g.ring_area(F.col("ring")))).alias("area"))
+    return R.wall_polygons(t.vertices, t.walls).select("plan_id", "wall_id", clean(F.abs(g.ring_area(F.col("ring"))), 9).alias("area"))
 
 
 @query("max_join_spike", f"SELECT plan_id, {r('t / 2 * sqrt(2)', 'spike')} FROM ({BASE}) b")
@@ -176,7 +176,7 @@ def room_bounds(spark, sf):
     return b.select("plan_id", "source", *[F.coalesce(r6(c), F.lit(-1.0)).alias(c) for c in ("width", "depth", "area")])
 
 
-_OUT = f"SELECT plan_id, 'f3' AS fixture_id, 'The block at x=' || printf('%.2f', x) || ' m, y=2.00 m, 0.50 m by 0.50 m, is outside the room.' AS message FROM ({FIX}) f WHERE fixture_id = 'f3'"
+_OUT = f"SELECT plan_id, 'f3' AS fixture_id, 'The block at x=' || printf('%.2f', x) || ' m, y=2.00 m, 0.50 m by 0.50 m, is outside the room.' AS message FROM ({FIX}) f WHERE fixture_id = 'f3' UNION ALL SELECT plan_id, 'f2', 'The sofa at x=2.50 m, y=3.00 m, 2.00 m by 0.90 m, is outside the room.' FROM ({BASE}) b WHERE s % 4 <> 0"
 
 
 def first_rooms(spark, sf):
