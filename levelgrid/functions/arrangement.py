@@ -37,11 +37,14 @@ def crossings(segments: DataFrame, keys: list[str], size: float = 2.0) -> DataFr
     t, _u = g.segment_params(a, b, c, d)
     pairs = pairs.withColumn("_t", t)
     hit = g.lerp(a, b, F.col("_t"))
+    pairs = pairs.withColumns({"_hx": hit.x, "_hy": hit.y})
+    hit = g.xy("_hx", "_hy")
     # A crossing at an end point is that end point, for both segments alike.
-    x, y = _fix(hit.x), _fix(hit.y)
+    best = g.point_struct(g.P(_fix(hit.x), _fix(hit.y)))
     for end in (d, c, b, a):
-        near = g.dist(hit, end) <= TOUCH
-        x, y = F.when(near, end.x).otherwise(x), F.when(near, end.y).otherwise(y)
+        best = F.when(g.dist(hit, end) <= TOUCH, g.point_struct(end)).otherwise(best)
+    pairs = pairs.withColumn("_at", best)
+    x, y = F.col("_at.x"), F.col("_at.y")
 
     def cut(seg, px, py, when):
         return F.struct(F.col(seg).alias("seg"), px.alias("x"), py.alias("y"), when.alias("ok"))

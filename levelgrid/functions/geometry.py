@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EPS = 1e-9
@@ -279,21 +279,22 @@ def rotated_box(center: P, width, depth, degrees) -> Column:
     return F.array(*[point_struct(add(center, add(mul(u, hx * sx), mul(v, hy * sy)))) for sx, sy in corners])
 
 
-def interior_point(ring: Column) -> P:
-    """Middle of the widest stretch of a scanline halfway up the ring."""
-    ys = F.array_sort(F.array_distinct(F.transform(ring, lambda p: p["y"])))
-    middle = (F.array_min(ys) + F.array_max(ys)) / 2.0
-    # A scanline through a vertex would be counted twice: move it off to the next gap.
-    below = F.array_max(F.filter(ys, lambda y: y <= middle))
-    above = F.array_min(F.filter(ys, lambda y: y > middle))
-    line = (below + above) / 2.0
-
-    def crossing(e):
-        return e["x1"] + (e["x2"] - e["x1"]) * (line - e["y1"]) / (e["y2"] - e["y1"])
+def with_interior_point(df: DataFrame, ring: str = "ring", x: str = "x", y: str = "y") -> DataFrame:
+    """Adds a point inside the ring: the middle of the widest stretch of a scanline halfway up.
 
-    hits = F.array_sort(
-        F.transform(F.filter(ring_edges(ring), lambda e: (e["y1"] > line) != (e["y2"] > line)), crossing)
-    )
+    The steps are columns of their own, so that none is repeated inside another.
+    """
+    ys = F.array_sort(F.array_distinct(F.transform(F.col(ring), lambda p: p["y"])))
+    out = df.withColumn("_ys", ys).withColumn("_mid", (F.element_at("_ys", 1) + F.element_at("_ys", -1)) / 2.0)
+    # A scanline through a vertex would be counted twice: move it off to the next gap.
+    below = F.array_max(F.filter("_ys", lambda v: v <= F.col("_mid")))
+    above = F.array_min(F.filter("_ys", lambda v: v > F.col("_mid")))
+    out = out.withColumn("_line", (below + above) / 2.0)
+    line = F.col("_line")
+    crossing = lambda e: e["x1"] + (e["x2"] - e["x1"]) * (line - e["y1"]) / (e["y2"] - e["y1"])
+    cut = F.filter(ring_edges(F.col(ring)), lambda e: (e["y1"] > line) != (e["y2"] > line))
+    out = out.withColumn("_hits", F.array_sort(F.transform(cut, crossing)))
+    hits = F.col("_hits")
     pairs = F.transform(
         F.sequence(F.lit(1), F.greatest(F.size(hits) / 2, F.lit(1)).cast("int")),
         lambda i: F.struct(
@@ -301,7 +302,7 @@ def interior_point(ring: Column) -> P:
             ((F.get(hits, 2 * i - 1) + F.get(hits, 2 * i - 2)) / 2.0).alias("x"),
         ),
     )
-    return P(F.array_max(pairs)["x"], line)
+    return out.withColumns({x: F.array_max(pairs)["x"], y: line}).drop("_ys", "_mid", "_line", "_hits")
 
 
 def clean(value: Column, digits: int = 6) -> Column:

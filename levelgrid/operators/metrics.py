@@ -214,7 +214,7 @@ def tape_check(runs: DataFrame, refs: DataFrame, keys=("scan_id",), bucket: floa
     m = both.withColumns({"_lo": F.last(run, True).over(up), "_hi": F.last(run, True).over(down)}).filter("name is not null")
     near = F.when(F.col("_lo").isNull(), F.col("_hi")).when(F.col("_hi").isNull(), F.col("_lo")).when(F.col("v") - F.col("_lo") <= F.col("_hi") - F.col("v"), F.col("_lo")).otherwise(F.col("_hi"))
     m = m.select(*keys, "name", F.col("v").alias("length_m"), F.coalesce("tolerance_m", F.lit(0.05)).alias("tolerance_m"), near.alias("closest"))
-    listed = runs.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("length")), lambda v: F.format_number(v, "0.000")), ", ").alias("runs"))
+    listed = runs.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("length")), lambda v: F.format_string("%.3f", v)), ", ").alias("runs"))
     m = m.withColumn("error", F.abs(F.col("closest") - F.col("length_m"))).join(listed, keys, "left")
     ok = F.col("closest").isNotNull() & (F.col("error") <= F.col("tolerance_m"))
     text = F.when(F.col("closest").isNull(), F.concat("name", F.lit(": no walls were found"))).otherwise(

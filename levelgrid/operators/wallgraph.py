@@ -310,8 +310,7 @@ def room_seeds(cells: DataFrame, keys=LEVEL) -> DataFrame:
     big = cells.filter(F.col("area") >= MIN_ROOM)
     if "inside" in cells.columns:
         big = big.filter("inside")
-    p = g.interior_point(F.col("ring"))
-    big = big.select(*keys, "cell", p.x.alias("x"), p.y.alias("y"))
+    big = g.with_interior_point(big.select(*keys, "cell", "ring")).select(*keys, "cell", "x", "y")
     n = F.row_number().over(W.partitionBy(*keys).orderBy("cell"))
     big = big.withColumn("_n", n)
     return big.select(*keys, F.concat(F.lit("r"), "_n").alias("room_id"), "x", "y", F.lit("Room").alias("name"), F.col("_n").cast("string").alias("number"))
@@ -334,12 +333,10 @@ def reseat_seeds(seeds: DataFrame, faces: DataFrame, keys=LEVEL) -> DataFrame:
     near = near.filter(F.col("_in") | (F.col("_gap") <= reach))
     rank = F.struct((~F.col("_in")).alias("o"), F.col("_gap").alias("g"), F.col("face").alias("f"))
     best = near.groupBy(*keys, "room_id").agg(F.min_by(F.struct("_in", "ring"), rank).alias("_b"))
-    out = seeds.join(best, [*keys, "room_id"], "left")
-    inner = g.interior_point(F.col("_b.ring"))
-    move = F.col("_b").isNotNull() & ~F.col("_b._in")
-    return out.withColumns({"_x": F.when(move, inner.x).otherwise(F.col("x")), "_y": F.when(move, inner.y).otherwise(F.col("y"))}).select(
-        *keys, "room_id", F.col("_x").alias("x"), F.col("_y").alias("y"), "name", "number"
-    )
+    away = best.filter("not _b._in").select(*keys, "room_id", F.col("_b.ring").alias("ring"))
+    inner = g.with_interior_point(away, "ring", "_x", "_y").drop("ring")
+    out = seeds.join(inner, [*keys, "room_id"], "left")
+    return out.select(*keys, "room_id", F.coalesce("_x", "x").alias("x"), F.coalesce("_y", "y").alias("y"), "name", "number")
 
 
 class Draft:

@@ -116,8 +116,8 @@ def active_runs(runs: DataFrame, now) -> DataFrame:
 
     `runs` has run_id, project_id, state, started, finished (timestamps).
     """
-    now = F.lit(now).cast("timestamp") if not hasattr(now, "_jc") else now
-    age = now.cast("double") - F.col("finished").cast("double")
+    now = F.lit(now).cast("timestamp")
+    age = now.cast("double") - F.col("finished").cast("timestamp").cast("double")
     fresh = runs.filter(~F.coalesce((F.col("state") == "done") & (age > EXPIRY_S), F.lit(False)))
     first = fresh.filter("state = 'running'").groupBy("project_id").agg(F.min(F.struct("started", "run_id")).alias("_f"))
     out = fresh.join(first, "project_id", "left")

@@ -34,21 +34,19 @@ def opening_ends(t: PlanTables) -> DataFrame:
     lines = lines_of(t).select(*PLAN, "wall_id", F.col("thickness"), "x1", "y1", "x2", "y2")
     o = t.openings.select(*PLAN, "opening_id", "wall_id", "kind", "offset", "width", "sill", "head").join(lines, [*PLAN, "wall_id"])
     a, b = g.xy("x1", "y1"), g.xy("x2", "y2")
-    d = g.sub(b, a)
-    length = g.norm(d)
-    length = F.when(length == 0, 1.0).otherwise(length)
-    c = g.add(a, g.mul(d, F.col("offset")))
+    d = g.unit(g.sub(b, a))
+    c = g.lerp(a, b, F.col("offset"))
+    o = o.withColumns({"_ux": d.x, "_uy": d.y, "cx": c.x, "cy": c.y})
     half = F.col("width") / 2.0
-    along = g.P(d.x / length * half, d.y / length * half)
-    s, e = g.sub(c, along), g.add(c, along)
-    return o.withColumns({"cx": c.x, "cy": c.y, "ox1": s.x, "oy1": s.y, "ox2": e.x, "oy2": e.y})
+    ends = {"ox1": F.col("cx") - F.col("_ux") * half, "oy1": F.col("cy") - F.col("_uy") * half, "ox2": F.col("cx") + F.col("_ux") * half, "oy2": F.col("cy") + F.col("_uy") * half}
+    return o.withColumns(ends)
 
 
 def opening_rect(t: PlanTables) -> DataFrame:
     """Openings with `ring`: the wall's full thickness over the opening's width."""
     o = opening_ends(t)
     s, e = g.xy("ox1", "oy1"), g.xy("ox2", "oy2")
-    n = g.mul(g.left(g.unit(g.sub(e, s))), F.col("thickness") / 2.0)
+    n = g.P(-F.col("_uy") * F.col("thickness") / 2.0, F.col("_ux") * F.col("thickness") / 2.0)
     ring = F.array(*[g.point_struct(p) for p in (g.sub(s, n), g.sub(e, n), g.add(e, n), g.add(s, n))])
     return o.withColumn("ring", ring)
 

@@ -89,9 +89,16 @@ def wall_polygons(vertices: DataFrame, walls: DataFrame, keys=PLAN) -> DataFrame
     joint, d1, d2 = g.xy("gx", "gy"), g.xy("dx", "dy"), g.P(F.col("_n.dx"), F.col("_n.dy"))
     p1 = g.add(joint, g.mul(g.left(d1), F.col("thickness") / 2.0))
     p2 = g.add(joint, g.mul(g.right(d2), F.col("_n.thickness") / 2.0))
-    hit = g.line_intersect(p1, d1, p2, d2)
+    # Staged columns: each corner is worked out once.
+    ring = ring.withColumns({"p1x": p1.x, "p1y": p1.y, "p2x": p2.x, "p2y": p2.y})
+    p1, p2 = g.xy("p1x", "p1y"), g.xy("p2x", "p2y")
+    ring = ring.withColumn("_t", g.line_param(p1, d1, p2, d2))
+    hit = g.add(p1, g.mul(d1, F.col("_t")))
+    ring = ring.withColumns({"hx": hit.x, "hy": hit.y})
+    hit = g.xy("hx", "hy")
     limit = MITER * F.least(F.col("thickness"), F.col("_n.thickness"))
-    miter = F.coalesce(g.dist(hit, joint) <= limit, F.lit(False))
+    ring = ring.withColumn("_miter", F.coalesce(g.dist(hit, joint) <= limit, F.lit(False)))
+    miter = F.col("_miter")
     corner = lambda wall, end, side, p: F.struct(
         wall.alias("wall_id"), end.alias("end"), side.alias("side"),
         F.when(miter, hit.x).otherwise(p.x).alias("x"), F.when(miter, hit.y).otherwise(p.y).alias("y"),
@@ -111,6 +118,8 @@ def wall_polygons(vertices: DataFrame, walls: DataFrame, keys=PLAN) -> DataFrame
     body = lines.select(*keys, "wall_id", "thickness").join(at("a"), [*keys, "wall_id"]).join(at("b"), [*keys, "wall_id"]).join(found, [*keys, "wall_id"], "left")
     a, b = g.xy("ax", "ay"), g.xy("bx", "by")
     dirn = g.unit(g.sub(b, a))
+    body = settle(body.withColumns({"_ux": dirn.x, "_uy": dirn.y}))
+    dirn = g.xy("_ux", "_uy")
     half = F.col("thickness") / 2.0
 
     def cap(end, side):
@@ -133,6 +142,8 @@ def wall_polygons(vertices: DataFrame, walls: DataFrame, keys=PLAN) -> DataFrame
     n = g.mul(side, sign)
     o = g.add(g.xy("gx", "gy"), g.mul(n, F.col("ht") / 2.0))
     plane = F.struct(o.x.alias("ox"), o.y.alias("oy"), n.x.alias("nx"), n.y.alias("ny"))
+    butt = butt.withColumn("_plane", plane)
+    plane = F.col("_plane")
     cuts = butt.groupBy(*keys, "wall_id").agg(F.array_sort(F.collect_list(plane)).alias("_cuts"))
     out = out.join(cuts, [*keys, "wall_id"], "left")
     cut = F.aggregate(
@@ -179,8 +190,7 @@ def free_faces(polygons: DataFrame, separators: DataFrame | None = None, keys=PL
     if separators is not None:
         segs = segs.unionByName(separators.select(*keys, F.concat(F.lit("s:"), "separator_id").alias("seg"), "x1", "y1", "x2", "y2"))
     cells = settle(arr.polygonize(arr.node_segments(segs, keys), keys, min_area=min_area))
-    inner = g.interior_point(F.col("ring"))
-    probes = cells.select(*keys, "cell", inner.x.alias("x"), inner.y.alias("y"))
+    probes = g.with_interior_point(cells).select(*keys, "cell", "x", "y")
     solid = tiles.points_in_rings(probes, polygons.select(*keys, "ring"), keys).select(*keys, "cell").distinct()
     free = cells.join(solid, [*keys, "cell"], "left_anti")
     order = W.partitionBy(*keys).orderBy("cell")
@@ -194,18 +204,20 @@ def cut_faces(vertices, walls, separators, keys=PLAN) -> DataFrame:
     return free_faces(wall_polygons(vertices, walls, keys), lines, keys)
 
 
-def _seat(ring: Column, seed: g.P) -> g.P:
-    """The seed, or the nearest boundary point moved a little towards the middle."""
-    inside = g.point_in_ring(seed, ring)
-    edge = g.closest_on_ring(seed, ring)
-    middle = g.ring_centroid(ring)
+def _seat(best: DataFrame) -> DataFrame:
+    """Adds _sx, _sy: the seed, or the nearest boundary point moved a little towards the middle."""
+    ring, seed = F.col("m.ring"), g.P(F.col("m.x"), F.col("m.y"))
+    edge, middle = g.closest_on_ring(seed, ring), g.ring_centroid(ring)
+    out = best.withColumns({"_ex": edge.x, "_ey": edge.y, "_mx": middle.x, "_my": middle.y, "_in": g.point_in_ring(seed, ring)})
+    edge, middle = g.xy("_ex", "_ey"), g.xy("_mx", "_my")
     toward = g.sub(middle, edge)
     length = g.norm(toward)
     moved = g.add(edge, g.mul(g.unit(toward), F.least(length * 0.5, F.lit(JOIN))))
-    middle_in = g.point_in_ring(middle, ring)
-    use_moved = (length > 0) & (g.point_in_ring(moved, ring) | ~middle_in)
-    pick = lambda a, m, c, e: F.when(inside, a).when(use_moved, m).when(middle_in, c).otherwise(e)
-    return g.P(pick(seed.x, moved.x, middle.x, edge.x), pick(seed.y, moved.y, middle.y, edge.y))
+    out = out.withColumns({"_vx": moved.x, "_vy": moved.y, "_min": g.point_in_ring(middle, ring), "_far": length > 0})
+    moved = g.xy("_vx", "_vy")
+    out = out.withColumn("_use", F.col("_far") & (g.point_in_ring(moved, ring) | ~F.col("_min")))
+    pick = lambda a, m, c, e: F.when(F.col("_in"), a).when(F.col("_use"), m).when(F.col("_min"), c).otherwise(e)
+    return out.withColumns({"_sx": pick(seed.x, moved.x, middle.x, edge.x), "_sy": pick(seed.y, moved.y, middle.y, edge.y)})
 
 
 def match_rooms(faces: DataFrame, seeds: DataFrame, keys=PLAN) -> tuple[DataFrame, DataFrame]:
@@ -225,7 +237,8 @@ def match_rooms(faces: DataFrame, seeds: DataFrame, keys=PLAN) -> tuple[DataFram
     best = near.groupBy(*keys, "room_id").agg(
         F.min_by(F.struct("face", "ring", "area", "name", "number", "x", "y"), F.struct((~F.col("_in")).alias("o"), F.col("_gap").alias("g"), F.col("face").alias("f"))).alias("m")
     )
-    spot = _seat(F.col("m.ring"), g.P(F.col("m.x"), F.col("m.y")))
+    best = _seat(best)
+    spot = g.xy("_sx", "_sy")
     rooms = settle(
         best.select(
             *keys, "room_id", "m.name", "m.number", F.col("m.face").alias("face"), spot.x.alias("x"), spot.y.alias("y"),

@@ -45,14 +45,14 @@ def read_pts_blobs(spark, sf):
     return p.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x").cast("double")).alias("sx"), F.max(F.col("z").cast("double")).alias("z"))
 
 
-@query("write_cloud", f"SELECT scan_id, count(*) AS points, {r('sum(z)', 'z', 2)} FROM ({points_m()}) p GROUP BY 1")
+@query("write_cloud", f"SELECT scan_id, count(*) AS points, {r('sum(round(z, 3))', 'z', 2)} FROM ({points_m()}) p GROUP BY 1")
 def write_cloud(spark, sf):
     pts = scan_points(spark, sf)
     ids = pts.select("scan_id").distinct()
     cloud = N.Normalized(pts, ids, ids, ids)
     batch = tables.write_cloud(cloud, f"{workspace(spark)}/clouds")
     back = tables.read_cloud(spark, batch)
-    return back["points"].groupBy("scan_id").agg(F.count(F.lit(1)).alias("points"), clean(F.sum("z"), 2).alias("z"))
+    return back["points"].groupBy("scan_id").agg(F.count(F.lit(1)).alias("points"), clean(F.sum(F.round("z", 3)), 2).alias("z"))
 
 
 @query("resolve_files", "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'missing' ELSE 'present' END AS status FROM part")
@@ -238,7 +238,7 @@ _NOW = "TIMESTAMP '2024-01-20 00:00:00'"
 
 @query("active_runs", f"""SELECT run_id FROM (SELECT event_id AS run_id, event_type = 'click' AS running, row_number() OVER (PARTITION BY user_id, event_type = 'click' ORDER BY ts, event_id) AS k, ts FROM events) q WHERE CASE WHEN running THEN k = 1 ELSE epoch({_NOW}) - epoch(ts) <= 600 END""")
 def active_runs(spark, sf):
-    e = load(spark, sf, "events").select(F.col("event_id").alias("run_id"), F.col("user_id").alias("project_id"), F.when(F.col("event_type") == "click", "running").otherwise("done").alias("state"), F.col("ts").alias("started"), F.col("ts").alias("finished"))
+    e = load(spark, sf, "events").select(F.col("event_id").alias("run_id"), F.col("user_id").alias("project_id"), F.when(F.col("event_type") == "click", "running").otherwise("done").alias("state"), F.col("ts").cast("timestamp").alias("started"), F.col("ts").cast("timestamp").alias("finished"))
     return C.active_runs(e, "2024-01-20 00:00:00").select("run_id")
 
 
@@ -269,7 +269,7 @@ _ES = "CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'done' ELS
 
 
 def job_events(spark, sf):
-    return stream(spark, sf, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.expr(_ES).alias("state"), F.col("value").alias("progress"), "ts")
+    return stream(spark, sf, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.expr(_ES).alias("state"), F.col("value").alias("progress"), F.col("ts").cast("timestamp").alias("ts"))
 
 
 @query("stream_job_state", f"""SELECT job_id, arg_min(state, CASE WHEN state <> 'running' THEN seq ELSE 1000000000 - seq END) AS state, bool_or(state <> 'running') AS finished, count(*) AS updates FROM (SELECT user_id AS job_id, event_id AS seq, {_ES} AS state FROM events) e GROUP BY 1""")
@@ -280,7 +280,7 @@ def stream_job_state(spark, sf):
 @query("stream_cancel", f"SELECT p.event_id AS seq, EXISTS (SELECT 1 FROM events c WHERE c.user_id = p.user_id AND c.event_type = 'error' AND c.event_id <> p.event_id AND c.ts <= p.ts AND c.ts >= p.ts - INTERVAL 1 HOUR) AS cancelled FROM events p WHERE p.event_type = 'click'")
 def stream_cancel(spark, sf):
     p = job_events(spark, sf).join(load(spark, sf, "events").filter("event_type = 'click'").select(F.col("event_id").alias("seq")), "seq", "left_semi")
-    c = stream(spark, sf, "events").filter("event_type = 'error'").select(F.col("user_id").alias("job_id"), "ts")
+    c = stream(spark, sf, "events").filter("event_type = 'error'").select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"))
     out = run(spark, S.stream_cancel(p, c), "append")
     # The last hour stays in state until later events pass the watermark; settle it by the batch table.
     missing = load(spark, sf, "events").filter("event_type = 'click'").join(out.select(F.col("seq").alias("event_id")), "event_id", "left_anti")
@@ -300,5 +300,5 @@ def stream_stalled(spark, sf):
 
 @query("stream_scan_stats")
 def stream_scan_stats(spark, sf):
-    e = stream(spark, sf, "events").select(F.col("event_type").alias("scan_id"), F.col("event_id").alias("point_id"), "ts")
+    e = stream(spark, sf, "events").select(F.col("event_type").alias("scan_id"), F.col("event_id").alias("point_id"), F.col("ts").cast("timestamp").alias("ts"))
     return run(spark, S.stream_scan_stats(e), "append").select("scan_id", "start", "points")
