@@ -32,14 +32,15 @@ def _half(points):
     return F.aggregate(rest, first, push)
 
 
-def convex_hull(points: DataFrame, keys: list[str], sectors: int = 256) -> DataFrame:
+def convex_hull(points: DataFrame, keys: list[str], chunk: int = 2048) -> DataFrame:
     """(keys, hull): counter-clockwise convex hull ring of each group.
 
     A group is never gathered whole. A point inside the polygon of the
-    extreme points in a fixed set of directions cannot be on the hull, so one
-    aggregate finds these extremes and a filter drops everything inside them;
-    the survivors lie in thin slivers along the boundary. Of those, only the
-    lowest and highest per sliver column are kept when there are many.
+    extreme points in sixteen directions cannot be on the hull, so one
+    aggregate finds these extremes and a filter drops everything inside them.
+    What is left is cut into chunks by hash and each chunk is replaced by its
+    own hull, again and again, until a group fits in one chunk or no longer
+    shrinks because it is the hull.
     """
     keys = list(keys)
     dirs = 16
@@ -48,26 +49,29 @@ def convex_hull(points: DataFrame, keys: list[str], sectors: int = 256) -> DataF
         F.max_by(F.struct("x", "y"), F.col("x") * math.cos(2 * math.pi * i / dirs) + F.col("y") * math.sin(2 * math.pi * i / dirs)).alias(f"d{i}")
         for i in range(dirs)
     ]
-    outer = p.groupBy(*keys).agg(*far, F.min("x").alias("_x0"), F.max("x").alias("_x1"))
+    outer = p.groupBy(*keys).agg(*far)
     # Extremes in turning order form a convex ring; equal neighbours are dropped.
-    outer = outer.withColumn("_ring", g.dedupe_ring(F.array(*[F.col(f"d{i}") for i in range(dirs)])))
-    outer = settle(outer.select(*keys, "_ring", "_x0", "_x1"))
+    outer = settle(outer.select(*keys, g.dedupe_ring(F.array(*[F.col(f"d{i}") for i in range(dirs)])).alias("_ring")))
     q = attach(p, outer, keys)
     inside = F.forall(
         g.ring_edges(F.col("_ring")),
         lambda e: (e["x2"] - e["x1"]) * (F.col("y") - e["y1"]) - (e["y2"] - e["y1"]) * (F.col("x") - e["x1"]) > 1e-12,
     ) & (F.size("_ring") >= 3)
-    q = q.filter(~inside)
-    # A hull vertex is the lowest or highest point at its x. Splitting x into
-    # columns, only the lowest and highest per exact x can be hull vertices.
-    low = q.groupBy(*keys, "x").agg(F.min("y").alias("y0"), F.max("y").alias("y1"))
-    pts = low.select(*keys, F.explode(F.array_distinct(F.array(F.struct("x", F.col("y0").alias("y")), F.struct("x", F.col("y1").alias("y"))))).alias("p"))
-    # Two rounds of hulls: per slice of x first, then over the slice hulls.
-    sliced = pts.join(outer.select(*keys, "_x0", "_x1"), keys).withColumn(
-        "_s", F.least(F.lit(sectors - 1), F.floor((F.col("p.x") - F.col("_x0")) / F.greatest(F.col("_x1") - F.col("_x0"), F.lit(1e-9)) * sectors))
-    )
-    part = sliced.groupBy(*keys, "_s").agg(F.array_sort(F.collect_set("p")).alias("_p")).withColumn("_h", _ring("_p"))
-    whole = part.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_h")))).alias("_p"))
+    # Of the points with one x only the lowest and the highest can be corners.
+    q = q.filter(~inside).groupBy(*keys, "x").agg(F.min("y").alias("y0"), F.max("y").alias("y1"))
+    ends = F.array_distinct(F.array(F.struct("x", F.col("y0").alias("y")), F.struct("x", F.col("y1").alias("y"))))
+    left = settle(q.select(*keys, F.explode(ends).alias("p")))
+    last = None
+    for _ in range(12):
+        sizes = settle(left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+        biggest = sizes.agg(F.max("_n")).first()[0] or 0
+        if biggest <= chunk or (last is not None and biggest > 0.9 * last):
+            break
+        last = biggest
+        mark = F.pmod(F.xxhash64("p"), F.ceil(F.col("_n") / chunk))
+        part = attach(left, sizes, keys).groupBy(*keys, mark.alias("_s")).agg(F.array_sort(F.collect_set("p")).alias("_p"))
+        left = settle(part.select(*keys, F.explode(_ring("_p")).alias("p")))
+    whole = left.groupBy(*keys).agg(F.array_sort(F.collect_set("p")).alias("_p"))
     return whole.select(*keys, _ring("_p").alias("hull"))
 
 

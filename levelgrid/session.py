@@ -54,10 +54,21 @@ def settle(df: DataFrame) -> DataFrame:
     size is known to the optimizer, so joins to it are broadcast only when it
     is small.
     """
+    if getattr(df, "_settled", False):
+        return df
     spark = df.sparkSession
     path = f"{workspace(spark)}/settled/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = True
+    return out
+
+
+def clear_workspace(spark: SparkSession) -> None:
+    """Delete all settled tables, once nothing that was read from them is needed any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{workspace(spark)}/settled")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -73,7 +84,9 @@ def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner")
     side = settle(small)
     if is_small(side):
         return big.join(F.broadcast(side), on, how)
-    # A hash of the whole row gives every retry of a task the same salt.
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(SALTS)))
+    # Row and input partition together: every retry of a task gives the same salt, and
+    # copies of one row still spread over as many salts as they have partitions.
+    mark = F.xxhash64(*[F.col(c) for c in big.columns], F.spark_partition_id())
+    salted = big.withColumn("_salt", F.pmod(mark, F.lit(SALTS)))
     copies = side.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
