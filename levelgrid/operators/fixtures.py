@@ -6,10 +6,10 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from levelgrid.functions import geometry as g
 from levelgrid.functions import hulls, tiles
+from levelgrid.functions.numbering import number_rows
 from levelgrid.operators.openings import away_from_walls, column_ring
 from levelgrid.operators.surfaces import LEVEL
 from levelgrid.session import attach, settle
@@ -160,8 +160,8 @@ def detect_fixtures(level_points: DataFrame, levels: DataFrame, walls: DataFrame
     boxes = settle(rect.join(tall, [*keys, "cluster"]).withColumns({"edge_w": F.col("width"), "edge_d": F.col("depth")}))
     named = near_wall(classify_boxes(boxes, keys=[*keys, "cluster"]), walls, keys).filter("width > 0 and depth > 0")
     straight = F.abs(F.col("width") - F.col("edge_w")) <= F.abs(F.col("width") - F.col("edge_d"))
-    number = F.row_number().over(W.partitionBy(*keys).orderBy("cluster"))
+    named = number_rows(named, keys, ["cluster"], "_n")
     return named.select(
-        *keys, F.concat(F.lit("f"), number).alias("fixture_id"), "symbol", "x", "y",
+        *keys, F.concat(F.lit("f"), "_n").alias("fixture_id"), "symbol", "x", "y",
         F.when(straight, F.col("angle")).otherwise(F.col("angle") + 90.0).alias("rotation_deg"), "width", "depth", "confidence", "role",
     )

@@ -200,22 +200,28 @@ def run_lengths(walls: DataFrame, keys=LEVEL) -> DataFrame:
 def tape_check(runs: DataFrame, refs: DataFrame, keys=("scan_id",), bucket: float = 0.5) -> DataFrame:
     """References (name, length_m, tolerance_m) with their nearest run and whether they hold.
 
-    The nearest run is the nearer of the two neighbours in length order, found
-    by one window over runs and references together.
+    Runs are summed up per length bucket. A reference looks into its own
+    bucket and at the ends of the nearest filled buckets on both sides, so no
+    key's runs are sorted or gathered.
     """
     keys = list(keys)
-    both = refs.select(*keys, F.col("name"), "tolerance_m", F.col("length_m").alias("v")).unionByName(
-        runs.select(*keys, F.lit(None).cast("string").alias("name"), F.lit(None).cast("double").alias("tolerance_m"), F.col("length").alias("v"))
-    )
-    run = F.when(F.col("name").isNull(), F.col("v"))
-    # Runs come first on equal lengths on the way up, and last on the way down.
-    up = W.partitionBy(*keys).orderBy("v", F.col("name").asc_nulls_first())
-    down = W.partitionBy(*keys).orderBy(F.col("v").desc(), F.col("name").asc_nulls_first())
-    m = both.withColumns({"_lo": F.last(run, True).over(up), "_hi": F.last(run, True).over(down)}).filter("name is not null")
-    near = F.when(F.col("_lo").isNull(), F.col("_hi")).when(F.col("_hi").isNull(), F.col("_lo")).when(F.col("v") - F.col("_lo") <= F.col("_hi") - F.col("v"), F.col("_lo")).otherwise(F.col("_hi"))
+    runs = runs.select(*keys, "length", F.floor(F.col("length") / bucket).alias("_b"))
+    refs = refs.select(*keys, "name", "tolerance_m", F.col("length_m").alias("v"), F.floor(F.col("length_m") / bucket).alias("_b"))
+    filled = runs.groupBy(*keys, "_b").agg(F.min("length").alias("_min"), F.max("length").alias("_max"))
+    spots = settle(refs.select(*keys, "_b").distinct().join(filled, [*keys, "_b"], "full"))
+    up = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    down = W.partitionBy(*keys).orderBy("_b").rowsBetween(1, W.unboundedFollowing)
+    sides = spots.select(*keys, "_b", F.last("_max", True).over(up).alias("_lo"), F.first("_min", True).over(down).alias("_hi"))
+    gap = lambda c: F.struct(F.abs(F.col(c) - F.col("v")).alias("g"), F.col(c).alias("l"))
+    own = refs.join(runs, [*keys, "_b"]).groupBy(*keys, "name").agg(F.min(gap("length")).alias("_own"))
+    m = refs.join(sides, [*keys, "_b"], "left").join(own, [*keys, "name"], "left")
+    near = F.array_min(F.array_compact(F.array("_own", *[F.when(F.col(c).isNotNull(), gap(c)) for c in ("_lo", "_hi")])))["l"]
     m = m.select(*keys, "name", F.col("v").alias("length_m"), F.coalesce("tolerance_m", F.lit(0.05)).alias("tolerance_m"), near.alias("closest"))
-    listed = runs.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("length")), lambda v: F.format_string("%.3f", v)), ", ").alias("runs"))
-    m = m.withColumn("error", F.abs(F.col("closest") - F.col("length_m"))).join(listed, keys, "left")
+    m = settle(m.withColumn("error", F.abs(F.col("closest") - F.col("length_m"))))
+    # Only the message of a failed reference lists its runs.
+    failed = m.filter(F.col("closest").isNull() | (F.col("error") > F.col("tolerance_m"))).select(*keys).distinct()
+    listed = runs.join(failed, keys, "left_semi").groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("length")), lambda v: F.format_string("%.3f", v)), ", ").alias("runs"))
+    m = m.join(listed, keys, "left")
     ok = F.col("closest").isNotNull() & (F.col("error") <= F.col("tolerance_m"))
     text = F.when(F.col("closest").isNull(), F.concat("name", F.lit(": no walls were found"))).otherwise(
         F.format_string("%s: closest wall %.3f m, expected %.3f m ± %.3f m. Runs: %s", "name", "closest", "length_m", "tolerance_m", "runs")

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from levelgrid.functions import geometry as g
 from levelgrid.functions import hulls, tiles
+from levelgrid.functions.numbering import number_rows
 from levelgrid.operators.normalize import SIN15
 from levelgrid.operators.surfaces import LEVEL
 from levelgrid.session import attach, settle
@@ -258,9 +259,9 @@ def finish_openings(voids: DataFrame, keys=LEVEL) -> DataFrame:
             "confidence": F.when(F.col("low_confidence"), 0.45).otherwise(F.lit(0.9)),
         }
     ).filter("head > sill")
-    number = F.row_number().over(W.partitionBy(*keys).orderBy("wall_id", "void"))
+    v = number_rows(v, keys, ["wall_id", "void"], "_n")
     return v.select(
-        *keys, F.concat(F.lit("o"), number).alias("opening_id"), "wall_id", "kind", "offset", "width", "sill", "head",
+        *keys, F.concat(F.lit("o"), "_n").alias("opening_id"), "wall_id", "kind", "offset", "width", "sill", "head",
         "swing", "swing_side", "confidence", "low_confidence",
     )
 
@@ -375,8 +376,7 @@ def host_wall(gaps: DataFrame, walls: DataFrame, vertices: DataFrame, keys=LEVEL
     spots = spots.join(welded, [*keys, "id"], "left").drop("gap")
     most = vertices.groupBy(*keys).agg(F.max(F.expr("try_cast(substring(vertex_id, 2) as int)")).alias("_m"))
     fresh = spots.filter("vertex_id is null").select(*keys, F.bround("x", 3).alias("x"), F.bround("y", 3).alias("y")).distinct()
-    order = W.partitionBy(*keys).orderBy("x", "y")
-    fresh = fresh.withColumn("_n", F.row_number().over(order)).join(most, keys, "left")
+    fresh = number_rows(fresh, keys, ["x", "y"], "_n").join(most, keys, "left")
     fresh = settle(fresh.select(*keys, F.concat(F.lit("v"), F.coalesce("_m", F.lit(0)) + F.col("_n")).alias("vertex_id"), "x", "y"))
     all_v = vertices.select(*keys, "vertex_id", "x", "y").unionByName(fresh)
     named = spots.select(*keys, "id", F.bround("x", 3).alias("x"), F.bround("y", 3).alias("y"), "vertex_id").join(
@@ -385,9 +385,8 @@ def host_wall(gaps: DataFrame, walls: DataFrame, vertices: DataFrame, keys=LEVEL
     pick = lambda end, c: F.max(F.when(F.col("id.end") == end, F.col(c)))
     pairs = named.groupBy(*keys, F.col("id.gap").alias("gap")).agg(*[pick(e, c).alias(n) for e, c, n in (("a", "vertex_id", "a"), ("b", "vertex_id", "b"), ("a", "x", "ax"), ("a", "y", "ay"), ("b", "x", "bx"), ("b", "y", "by"))])
     top = walls.groupBy(*keys).agg(F.max(F.expr("try_cast(substring(wall_id, 2) as int)")).alias("_m"))
-    made = new.join(pairs.filter("a <> b"), [*keys, "gap"]).join(top, keys, "left")
-    number = F.coalesce("_m", F.lit(0)) + F.row_number().over(W.partitionBy(*keys).orderBy("x1", "y1", "x2", "y2"))
-    made = settle(made.withColumn("wall_id", F.concat(F.lit("w"), number)))
+    made = number_rows(new.join(pairs.filter("a <> b"), [*keys, "gap"]), keys, ["x1", "y1", "x2", "y2", "gap"], "_n").join(top, keys, "left")
+    made = settle(made.withColumn("wall_id", F.concat(F.lit("w"), F.coalesce("_m", F.lit(0)) + F.col("_n"))))
     kind = F.when(F.col("kind").isin("exterior", "interior", "partition", "assumed"), F.col("kind")).otherwise("exterior")
     new_walls = made.select(*keys, "wall_id", "a", "b", "thickness", kind.alias("kind"), F.lit(0.8).alias("confidence"), F.col("ax").alias("x1"), F.col("ay").alias("y1"), F.col("bx").alias("x2"), F.col("by").alias("y2"))
     old = found.filter("h is not null").select(*keys, "gap", "x1", "y1", "x2", "y2", "thickness", "kind", "x", "y", "width", F.col("h.wall_id").alias("wall_id"), F.col("h.wx1").alias("ax"), F.col("h.wy1").alias("ay"), F.col("h.wx2").alias("bx"), F.col("h.wy2").alias("by"))
@@ -444,8 +443,8 @@ def detect_columns(level_points: DataFrame, walls: DataFrame, levels: DataFrame,
     merged = spots.join(group, "id").groupBy(*keys, "_g").agg(
         F.avg("x").alias("x"), F.avg("y").alias("y"), F.max("width").alias("width"), F.max("depth").alias("depth"), F.min_by("angle", "id").alias("rotation_deg")
     )
-    number = F.row_number().over(W.partitionBy(*keys).orderBy("_g"))
-    return merged.select(*keys, F.concat(F.lit("c"), number).alias("column_id"), "x", "y", "width", "depth", "rotation_deg")
+    merged = number_rows(merged, keys, ["_g"], "_n")
+    return merged.select(*keys, F.concat(F.lit("c"), "_n").alias("column_id"), "x", "y", "width", "depth", "rotation_deg")
 
 
 def column_ring(columns: DataFrame) -> DataFrame:
@@ -518,8 +517,9 @@ def attach_structure(draft, level_points: DataFrame, faces: DataFrame, level_tri
     walls = settle(draft.walls.unionByName(new_walls))
     vertices = settle(draft.vertices.select(*keys, "vertex_id", "x", "y").unionByName(new_vertices))
     count = openings.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hosted = number_rows(hosted, keys, ["gap"], "_k")
     more = hosted.join(count, keys, "left").join(draft.levels.select(*keys, "ceiling_height"), keys)
-    number = F.coalesce("_n", F.lit(0)) + F.row_number().over(W.partitionBy(*keys).orderBy("gap"))
+    number = F.coalesce("_n", F.lit(0)) + F.col("_k")
     more = more.select(
         *keys, F.concat(F.lit("o"), number).alias("opening_id"), "wall_id", F.lit("passage").alias("kind"), "offset", "width",
         F.lit(0.0).alias("sill"), F.col("ceiling_height").alias("head"), F.lit("none").alias("swing"), F.lit("positive").alias("swing_side"),

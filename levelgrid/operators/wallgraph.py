@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from levelgrid.functions import arrangement as arr
 from levelgrid.functions import geometry as g
 from levelgrid.functions import tiles
 from levelgrid.functions.graph import connected_components
+from levelgrid.functions.numbering import number_rows
 from levelgrid.operators.surfaces import LEVEL, MIN_WALL
 from levelgrid.session import attach, settle
 from levelgrid.functions.geometry import sq
@@ -293,14 +293,14 @@ def to_graph(segments: DataFrame, keys=LEVEL) -> tuple[DataFrame, DataFrame]:
     s = segments.select(*keys, "seg", "thickness", "kind", "confidence", *[mm(c).alias(c) for c in ENDS])
     s = settle(s.filter("x1 <> x2 or y1 <> y2"))
     points = end_points(s, keys).select(*keys, "x", "y").distinct()
-    order = W.partitionBy(*keys).orderBy("x", "y")
-    vertices = settle(points.withColumn("vertex_id", F.concat(F.lit("v"), F.row_number().over(order))))
+    points = number_rows(points, keys, ["x", "y"], "_n")
+    vertices = settle(points.select(*keys, "x", "y", F.concat(F.lit("v"), "_n").alias("vertex_id")))
     at = lambda x, y, name: vertices.select(*keys, F.col("x").alias(x), F.col("y").alias(y), F.col("vertex_id").alias(name))
     walls = s.join(at("x1", "y1", "a"), [*keys, "x1", "y1"]).join(at("x2", "y2", "b"), [*keys, "x2", "y2"])
     kinds = ("exterior", "interior", "partition", "assumed")
     kind = F.when(F.col("kind").isin(*kinds), F.col("kind")).otherwise("interior")
-    number = F.row_number().over(W.partitionBy(*keys).orderBy("x1", "y1", "x2", "y2", "seg"))
-    walls = walls.withColumns({"kind": kind, "wall_id": F.concat(F.lit("w"), number)})
+    walls = number_rows(walls.withColumn("kind", kind), keys, [*ENDS, "seg"], "_n")
+    walls = walls.withColumn("wall_id", F.concat(F.lit("w"), "_n"))
     return vertices, walls.select(*keys, "wall_id", "a", "b", "thickness", "kind", "confidence", *ENDS)
 
 
@@ -311,8 +311,7 @@ def room_seeds(cells: DataFrame, keys=LEVEL) -> DataFrame:
     if "inside" in cells.columns:
         big = big.filter("inside")
     big = g.with_interior_point(big.select(*keys, "cell", "ring")).select(*keys, "cell", "x", "y")
-    n = F.row_number().over(W.partitionBy(*keys).orderBy("cell"))
-    big = big.withColumn("_n", n)
+    big = number_rows(big, keys, ["cell"], "_n")
     return big.select(*keys, F.concat(F.lit("r"), "_n").alias("room_id"), "x", "y", F.lit("Room").alias("name"), F.col("_n").cast("string").alias("number"))
 
 

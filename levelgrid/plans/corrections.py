@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from levelgrid.functions import geometry as g
 from levelgrid.functions import tiles
 from levelgrid.functions.graph import connected_components
+from levelgrid.functions.numbering import number_rows
 from levelgrid.plans.documents import ELEMENTS, PLAN, PlanTables
 from levelgrid.plans.lookup import _frames, _measured, _sides, lines_of, resolve_refs
 from levelgrid.plans.validate import all_ids, finite
@@ -369,13 +370,13 @@ def allocate_ids(t: PlanTables, wanted: DataFrame) -> DataFrame:
     size = wanted.groupBy(*PLAN, "prefix").agg(F.max("n").alias("_k")).join(taken.groupBy(*PLAN, "prefix").agg(F.count(F.lit(1)).alias("_u")), [*PLAN, "prefix"], "left")
     free = size.withColumn("i", F.explode(F.sequence(F.lit(1), F.least(F.lit(9999), (F.col("_k") + F.coalesce("_u", F.lit(0))).cast("int")))))
     free = free.join(taken, [*PLAN, "prefix", "i"], "left_anti")
+    # At most 9999 numbers per prefix.
     free = free.withColumn("n", F.row_number().over(W.partitionBy(*PLAN, "prefix").orderBy("i")))
     return wanted.join(free.select(*PLAN, "prefix", "n", F.concat("prefix", F.col("i").cast("string")).alias("id")), [*PLAN, "prefix", "n"], "left")
 
 
 def _numbered(df: DataFrame, prefix: str, *order) -> DataFrame:
-    w = W.partitionBy(*PLAN).orderBy(*order)
-    return df.withColumns({"prefix": F.lit(prefix), "n": F.row_number().over(w)})
+    return number_rows(df, PLAN, list(order), "n").withColumn("prefix", F.lit(prefix))
 
 
 def _with_ids(t: PlanTables, df: DataFrame, prefix: str, name: str, *order) -> DataFrame:
@@ -587,7 +588,7 @@ def apply_ops(t: PlanTables, ops: DataFrame) -> tuple[PlanTables, DataFrame]:
     rounds is the longest op list, not the number of ops.
     """
     parsed = ops.withColumn("_a", F.from_json("args", ARGS)).select(*PLAN, "seq", "op", "_a.*")
-    parsed = settle(parsed.withColumn("_k", F.row_number().over(W.partitionBy("plan_id").orderBy("seq"))))
+    parsed = settle(number_rows(parsed, ["plan_id"], ["seq"], "_k"))
     target = F.when(F.col("op") == "set_room_name", F.col("roomId")).when(F.col("op") == "set_opening", F.col("openingId")).otherwise(F.col("wallId"))
     parsed = parsed.withColumn("target", target)
     known = ["set_wall_thickness", "move_wall", "set_opening", "set_room_name"]

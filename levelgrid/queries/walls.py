@@ -414,3 +414,17 @@ def rank_cycles(spark, sf):
     whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     nxt = F.coalesce(F.lead("o_orderkey").over(w), F.first("o_orderkey").over(whole))
     return graph.rank_cycles(o.select(F.col("o_orderkey").alias("id"), nxt.alias("nxt"))).select("id", "cycle", "behind")
+
+
+# Matrices with one coupled pair of axes, whose least eigenvalue has a short closed form.
+_EIG = """SELECT p_partkey AS id, CAST(5 + p_size AS DOUBLE) AS a, CAST(3 + p_partkey % 17 AS DOUBLE) AS b, CAST(1 + p_partkey % 23 AS DOUBLE) AS c, CAST(p_partkey % 7 AS DOUBLE) / CAST(4 AS DOUBLE) AS d FROM {part}"""
+
+
+@query("smallest_eigen", f"SELECT id, {r('least(c, (a + b) / 2 - sqrt((a - b) * (a - b) / 4 + d * d))', 'eig', 5)}, 1.0::DOUBLE AS length FROM ({_EIG.format(part='part')}) m")
+def smallest_eigen(spark, sf):
+    from levelgrid.functions.eigen import with_smallest_eigen
+
+    zero = F.lit(0.0)
+    m = sql(spark, sf, _EIG).withColumns({"cxx": F.col("a"), "cyy": F.col("b"), "czz": F.col("c"), "cxy": F.col("d"), "cxz": zero, "cyz": zero})
+    e = with_smallest_eigen(m)
+    return e.select("id", clean(F.col("eig"), 5).alias("eig"), clean(F.sqrt(g.sq(F.col("ex")) + g.sq(F.col("ey")) + g.sq(F.col("ez"))), 5).alias("length"))

@@ -110,10 +110,9 @@ def resolve_files(manifest: DataFrame, files: DataFrame) -> DataFrame:
     `files` has column file (names that exist).
     """
     m = manifest.join(files.select("file").distinct().withColumn("_here", F.lit(1)), "file", "left")
-    anything = m.agg(F.coalesce(F.max("_here"), F.lit(0)).alias("_any"))
-    m = m.join(F.broadcast(anything))  # one row
-    status = F.when(F.col("_any") == 0, "set_skipped").when(F.col("_here").isNull(), "missing").otherwise("present")
-    return m.withColumn("status", status).drop("_here", "_any")
+    if m.filter("_here = 1").isEmpty():
+        return m.withColumn("status", F.lit("set_skipped")).drop("_here")
+    return m.withColumn("status", F.when(F.col("_here").isNull(), "missing").otherwise("present")).drop("_here")
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
