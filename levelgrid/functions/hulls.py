@@ -94,7 +94,8 @@ def rotated_rectangle(hulls: DataFrame, keys: list[str], hull: str = "hull") ->
     h = hulls.withColumn("_e", F.explode(g.ring_edges(F.col(hull))))
     dx, dy = F.col("_e.x2") - F.col("_e.x1"), F.col("_e.y2") - F.col("_e.y1")
     length = F.sqrt(dx * dx + dy * dy)
-    h = h.withColumns({"_ux": dx / length, "_uy": dy / length}).filter(length > 0)
+    size = F.nullif(length, F.lit(0.0))
+    h = h.filter(length > 0).withColumns({"_ux": dx / size, "_uy": dy / size})
     us = F.transform(F.col(hull), lambda p: p["x"] * F.col("_ux") + p["y"] * F.col("_uy"))
     vs = F.transform(F.col(hull), lambda p: p["y"] * F.col("_ux") - p["x"] * F.col("_uy"))
     h = h.withColumns({"_u0": F.array_min(us), "_u1": F.array_max(us), "_v0": F.array_min(vs), "_v1": F.array_max(vs)})

@@ -284,7 +284,7 @@ def rotation_to_z(up: DataFrame) -> DataFrame:
     # Upside down: half a turn about a level axis.
     out = out.withColumns(
         {
-            "_k": 1.0 / (1.0 + c),
+            "_k": 1.0 / F.nullif(1.0 + c, F.lit(0.0)),
             "_a0": F.when(use_x, 0.0).otherwise(-c),
             "_a1": F.when(use_x, c).otherwise(F.lit(0.0)),
             "_a2": F.when(use_x, -y).otherwise(x),
@@ -298,7 +298,7 @@ def rotation_to_z(up: DataFrame) -> DataFrame:
     ]
     out = out.withColumn("_l2", sq(F.col("_a0")) + sq(F.col("_a1")) + sq(F.col("_a2")))
     eye = [[1.0 if i == j else 0.0 for j in range(3)] for i in range(3)]
-    half = [[2.0 * F.col(f"_a{i}") * F.col(f"_a{j}") / F.col("_l2") - eye[i][j] for j in range(3)] for i in range(3)]
+    half = [[2.0 * F.col(f"_a{i}") * F.col(f"_a{j}") / F.nullif(F.col("_l2"), F.lit(0.0)) - eye[i][j] for j in range(3)] for i in range(3)]
     out = out.withColumns(
         {
             f"r{i}{j}": F.when(c > 0.999999, F.lit(eye[i][j])).when(c < -0.999999, half[i][j]).otherwise(free[i][j])

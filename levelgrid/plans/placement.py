@@ -74,7 +74,7 @@ def invert4(m: list[Column]) -> list[Column]:
         [a(1, 0) * c[4] - a(1, 1) * c[2] + a(1, 3) * c[0], -a(0, 0) * c[4] + a(0, 1) * c[2] - a(0, 3) * c[0], a(3, 0) * s[4] - a(3, 1) * s[2] + a(3, 3) * s[0], -a(2, 0) * s[4] + a(2, 1) * s[2] - a(2, 3) * s[0]],
         [-a(1, 0) * c[3] + a(1, 1) * c[1] - a(1, 2) * c[0], a(0, 0) * c[3] - a(0, 1) * c[1] + a(0, 2) * c[0], -a(3, 0) * s[3] + a(3, 1) * s[1] - a(3, 2) * s[0], a(2, 0) * s[3] - a(2, 1) * s[1] + a(2, 2) * s[0]],
     ]
-    return [adj[r][col] / det for col in range(4) for r in range(4)]
+    return [adj[r][col] / F.nullif(det, F.lit(0.0)) for col in range(4) for r in range(4)]
 
 
 def camera_matrices(cameras: DataFrame) -> DataFrame:
@@ -97,14 +97,14 @@ def pixel_to_floor(df: DataFrame, nx: Column, ny: Column, out: str = "") -> Data
     def point(z, tag):
         v = [nx * 2.0 - 1.0, 1.0 - ny * 2.0, F.lit(z), F.lit(1.0)]
         eye = [sum((m("inv", r, c) * v[c] for c in range(4)), F.lit(0.0)) for r in range(4)]
-        return F.struct(*[(eye[i] / eye[3]).alias("xyz"[i]) for i in range(3)]).alias(f"{e}{tag}")
+        return F.struct(*[(eye[i] / F.nullif(eye[3], F.lit(0.0))).alias("xyz"[i]) for i in range(3)]).alias(f"{e}{tag}")
 
     df = df.withColumns({f"{e}n": point(-1.0, "n"), f"{e}f": point(1.0, "f")})
 
     def world(tag):
         v = [F.col(f"{e}{tag}.x"), F.col(f"{e}{tag}.y"), F.col(f"{e}{tag}.z"), F.lit(1.0)]
         w = [sum((m("world", r, c) * v[c] for c in range(4)), F.lit(0.0)) for r in range(4)]
-        return F.struct(*[(w[i] / w[3]).alias("xyz"[i]) for i in range(3)])
+        return F.struct(*[(w[i] / F.nullif(w[3], F.lit(0.0))).alias("xyz"[i]) for i in range(3)])
 
     df = df.withColumns({f"{e}n": world("n"), f"{e}f": world("f")})
     n, f = (lambda a: F.col(f"{e}n.{a}")), (lambda a: F.col(f"{e}f.{a}"))
