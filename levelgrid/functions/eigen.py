@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from levelgrid.session import attach
+
 MOMENTS = ["n", "sx", "sy", "sz", "sxx", "sxy", "sxz", "syy", "syz", "szz"]
 
 
@@ -31,15 +33,26 @@ def add_moments() -> list[Column]:
     return [F.sum(m).alias(m) for m in MOMENTS]
 
 
+def with_origin(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ox, oy, oz, a whole-metre point near the middle of each key's rows, and x_, y_, z_ measured from it.
+
+    Squares of map coordinates leave no digits for the millimetres of a plane; squares of these do.
+    """
+    middle = points.groupBy(*keys).agg(*[F.floor(F.avg(c)).cast("double").alias(f"o{c}") for c in "xyz"])
+    out = attach(points, middle, list(keys))
+    return out.withColumns({f"{c}_": F.col(c) - F.col(f"o{c}") for c in "xyz"})
+
+
+def local_moments() -> list[Column]:
+    """Moment sums measured from the rows' origin, with the origin itself (one per group)."""
+    return [*moment_sums("x_", "y_", "z_"), *[F.first(f"o{c}").alias(f"o{c}") for c in "xyz"]]
+
+
 def with_scatter(df: DataFrame) -> DataFrame:
-    """Centre and centred scatter (cxx..czz) from the moment sums."""
-    out = df.withColumns({"mx": F.col("sx") / F.col("n"), "my": F.col("sy") / F.col("n"), "mz": F.col("sz") / F.col("n")})
-    return out.withColumns(
-        {
-            f"c{a}{b}": F.col(f"s{a}{b}") - F.col("n") * F.col(f"m{a}") * F.col(f"m{b}")
-            for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")
-        }
-    )
+    """Centre and centred scatter (cxx..czz) from the moment sums, which may have an origin (ox, oy, oz)."""
+    mean = {c: F.col(f"s{c}") / F.col("n") for c in "xyz"}
+    out = df.withColumns({f"c{a}{b}": F.col(f"s{a}{b}") - F.col("n") * mean[a] * mean[b] for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")})
+    return out.withColumns({f"m{c}": mean[c] + F.col(f"o{c}") if f"o{c}" in df.columns else mean[c] for c in "xyz"})
 
 
 def with_smallest_eigen(df: DataFrame) -> DataFrame:

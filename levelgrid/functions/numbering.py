@@ -27,3 +27,20 @@ def number_rows(df: DataFrame, keys: list[str], order: list, name: str) -> DataF
     local = F.row_number().over(W.partitionBy(*keys, "_range").orderBy(*cols))
     out = attach(ranged.withColumn("_local", local), before, [*keys, "_range"])
     return out.withColumn(name, (F.col("_local") + F.col("_before")).cast("int")).drop("_local", "_before", "_range", *cols)
+
+
+def running(df: DataFrame, keys: list[str], order: str, value: str, name: str, ahead: bool = False) -> DataFrame:
+    """Adds `name`: the largest `value` of the rows before within `keys`, or the least of those after (`ahead`).
+
+    Cut into ranges as above: each range folds its own rows, and takes what the ranges before (or after) it hold.
+    """
+    keys = list(keys)
+    fold, best = (F.min, F.least) if ahead else (F.max, F.greatest)
+    turned = lambda c: F.desc_nulls_last(c) if ahead else F.asc_nulls_first(c)
+    ranged = settle(df.repartitionByRange(*keys, order).withColumn("_range", F.spark_partition_id()))
+    each = ranged.groupBy(*keys, "_range").agg(fold(value).alias("_v"))
+    w = W.partitionBy(*keys).orderBy(turned("_range")).rowsBetween(W.unboundedPreceding, -1)
+    other = each.select(*keys, "_range", fold("_v").over(w).alias("_other"))
+    local = fold(value).over(W.partitionBy(*keys, "_range").orderBy(turned(order)).rowsBetween(W.unboundedPreceding, -1))
+    out = attach(ranged.withColumn("_local", local), other, [*keys, "_range"])
+    return out.withColumn(name, best("_local", "_other")).drop("_local", "_other", "_range")

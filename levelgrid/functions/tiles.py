@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from levelgrid.functions import geometry as g
 from levelgrid.functions.graph import connected_components
-from levelgrid.session import settle
+from levelgrid.session import attach, settle
 from levelgrid.functions.geometry import sq
 
 TILE = ["_tx", "_ty"]
@@ -156,7 +156,7 @@ def nearest_within(
     return best.select(*keys, "id", F.col("_b._rid").alias(right_id), F.col("_b.gap").alias("gap"))
 
 
-def knn(points: DataFrame, k: int, keys: list[str], radius: float, coords=("x", "y", "z"), max_rounds=24) -> DataFrame:
+def knn(points: DataFrame, k: int, keys: list[str], radius: float, coords=("x", "y", "z")) -> DataFrame:
     """The k nearest rows of each row (itself included) within its keys.
 
     Rows (keys, id, coords) meet the rows of the 27 cells around them; a row
@@ -166,11 +166,11 @@ def knn(points: DataFrame, k: int, keys: list[str], radius: float, coords=("x",
     coords = list(coords)
     base = settle(points.select(*keys, "id", *coords))
     totals = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
-    todo = settle(base.join(totals, keys).withColumn("_want", F.least(F.lit(k), F.col("_total"))).drop("_total"))
+    todo = settle(attach(base, totals, keys).withColumn("_want", F.least(F.lit(k), F.col("_total"))).drop("_total"))
     done = None
-    for _ in range(max_rounds):
-        if todo.isEmpty():
-            break
+    while not todo.isEmpty():
+        if not math.isfinite(radius):
+            raise ValueError("rows without finite coordinates have no neighbours")
         others = base.select(*keys, F.col("id").alias("nid"), *[F.col(c).alias(f"n{c}") for c in coords])
         others = others.withColumns({f"_c{i}": cell(f"n{c}", radius) for i, c in enumerate(coords)})
         mine = todo

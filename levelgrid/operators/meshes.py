@@ -70,7 +70,7 @@ def sample_triangles(triangles: DataFrame, steps: DataFrame | None = None, keys=
     size = lambda v: F.sqrt(sq(F.col(f"{v}x")) + sq(F.col(f"{v}y")) + sq(F.col(f"{v}z")))
     t = t.withColumn("_len", size("n")).filter("_len >= 1e-10")
     longest = F.greatest(size("_e"), size("_f"), size("_h"))
-    t = t.withColumn("_k", F.least(F.lit(400), F.greatest(F.lit(1), F.ceil(longest / F.col("step")))).cast("int"))
+    t = t.withColumn("_k", F.greatest(F.lit(1), F.ceil(longest / F.col("step"))).cast("int"))
     t = t.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_k"))))
     t = t.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("_k") - F.col("i"))))
     u, v = F.col("i") / F.col("_k"), F.col("j") / F.col("_k")

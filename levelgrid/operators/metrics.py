@@ -84,7 +84,7 @@ def ring_pairs(pred: DataFrame, truth: DataFrame, cell: float, keys: list[str])
     return exact.unionByName(grid).filter("iou > 0")
 
 
-def _greedy(pairs: DataFrame, keys: list[str], best: Column, max_rounds: int = 1000) -> DataFrame:
+def _greedy(pairs: DataFrame, keys: list[str], best: Column) -> DataFrame:
     """One-to-one matches of (keys, t, p): truth in order of id, each taking its best unused row.
 
     In every round a truth row whose candidates are wanted by no earlier open
@@ -93,9 +93,7 @@ def _greedy(pairs: DataFrame, keys: list[str], best: Column, max_rounds: int = 1
     """
     open_ = settle(pairs)
     done = None
-    for _ in range(max_rounds):
-        if open_.isEmpty():
-            break
+    while not open_.isEmpty():
         choice = open_.groupBy(*keys, "t").agg(F.min_by("p", best).alias("p"))
         first = open_.groupBy(*keys, "p").agg(F.min("t").alias("_first"))
         # A truth row is decided when it is the earliest open one at every row it could take.

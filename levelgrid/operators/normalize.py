@@ -27,7 +27,6 @@ PLANE_DIST = 0.02
 PLANE_ANGLE = 8.0
 COARSE = 0.05
 COARSE_MIN = 500
-COARSE_MAX_PLANES = 400
 BIN = 0.05
 
 SIN15 = math.sin(math.radians(15.0))
@@ -171,7 +170,7 @@ def estimate_normals(points: DataFrame, k: int = 30, keys=SCAN, radius: float =
     return out.drop("ex", "ey", "ez", "_count", "m_x", "m_y", "m_z").withColumnRenamed("eig", "curvature")
 
 
-def coarse_planes(points: DataFrame, keys=SCAN, min_points: int = COARSE_MIN, max_planes: int = COARSE_MAX_PLANES) -> DataFrame:
+def coarse_planes(points: DataFrame, keys=SCAN, min_points: int = COARSE_MIN) -> DataFrame:
     """Planes of the 0.05 m cloud: bins of unit normal and offset, refitted by PCA."""
     keys = list(keys)
     coarse = voxel_mean(points, COARSE, keys)
@@ -186,12 +185,12 @@ def coarse_planes(points: DataFrame, keys=SCAN, min_points: int = COARSE_MIN, ma
             "bo": F.rint(offset / PLANE_DIST).cast("int"),
         }
     )
-    bins = coarse.groupBy(*keys, "bx", "by", "bz", "bo").agg(
-        *eigen.moment_sums(), *[F.avg(f"n{c}").alias(f"h{c}") for c in "xyz"]
+    bins = eigen.with_origin(coarse, keys).groupBy(*keys, "bx", "by", "bz", "bo").agg(
+        *eigen.local_moments(), *[F.avg(f"n{c}").alias(f"h{c}") for c in "xyz"]
     )
     bins = bins.filter(F.col("n") >= min_points)
     order = W.partitionBy(*keys).orderBy("bx", "by", "bz", "bo")
-    bins = bins.withColumn("plane", F.row_number().over(order)).filter(F.col("plane") <= max_planes)
+    bins = bins.withColumn("plane", F.row_number().over(order))
     fit = eigen.with_smallest_eigen(bins)
     agree = F.col("ex") * F.col("hx") + F.col("ey") * F.col("hy") + F.col("ez") * F.col("hz")
     sign = F.when(agree < 0, -1.0).otherwise(F.lit(1.0))
@@ -374,14 +373,13 @@ def height_peaks(points: DataFrame, column: str = "z", keys=SCAN) -> DataFrame:
         .otherwise(i)
     )
     hist = binned.groupBy(*keys, i.alias("bin")).agg(F.count(F.lit(1)).alias("h"))
-    # Empty bins next to a full one matter to the smoother; farther ones never peak.
-    dense = lim.filter("bins > 0").withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bins") - 1)))
-    dense = dense.join(hist, [*keys, "bin"], "left").withColumn("h", F.coalesce("h", F.lit(0)).cast("long"))
-    w = W.partitionBy(*keys).orderBy("bin")
+    # Only occupied bins can peak. Their neighbours' counts come from windows over bin numbers, so an outlier
+    # far up or down adds one bin and not all those between.
+    full = hist.join(lim.filter("bins > 0"), keys).filter("bin >= 0 and bin < bins")
     zero = F.lit(0).cast("long")
-    dense = dense.withColumns({"hl": F.lag("h").over(w), "hr": F.lead("h").over(w)})
-    dense = dense.withColumn("s", F.coalesce("hl", zero) + F.col("h") + F.coalesce("hr", zero))
-    dense = dense.withColumns({"sl": F.lag("s").over(w), "sr": F.lead("s").over(w)})
+    near = lambda a, b: F.sum("h").over(W.partitionBy(*keys).orderBy("bin").rangeBetween(a, b))
+    full = full.withColumns({"hl": F.coalesce(near(-1, -1), zero), "hr": F.coalesce(near(1, 1), zero), "s": near(-1, 1), "sl": near(-2, 0), "sr": near(0, 2)})
+    full = full.withColumns({"sl": F.when(F.col("bin") > 0, F.col("sl")), "sr": F.when(F.col("bin") < F.col("bins") - 1, F.col("sr"))})
     heavy = F.col("h") >= 0.02 * F.col("total")
     smooth_peak = (
         (F.col("s") >= F.coalesce("sl", F.lit(-1))) & (F.col("s") >= F.coalesce("sr", F.lit(-1)))
@@ -397,7 +395,7 @@ def height_peaks(points: DataFrame, column: str = "z", keys=SCAN) -> DataFrame:
     weighted = (
         F.coalesce("hl", zero) * centre(-1) + F.col("h") * centre(0) + F.coalesce("hr", zero) * centre(1)
     ) / F.col("s")
-    peaks = dense.filter(F.when(short, raw_peak).otherwise(smooth_peak))
+    peaks = full.filter(F.when(short, raw_peak).otherwise(smooth_peak))
     return peaks.select(*keys, F.when(short, centre(0)).otherwise(weighted).alias("height"), F.col("h").alias("weight"))
 
 

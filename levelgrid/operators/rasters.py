@@ -9,13 +9,12 @@ from pyspark.sql import Window as W
 from levelgrid.operators.normalize import SCAN
 from levelgrid.session import attach, settle
 
-# Raster pixel, margin, section height and half band, image side limits.
+# Raster pixel, margin, section height and half band, least image side.
 PIXEL = 0.02
 MARGIN = 1.0
 SECTION = 1.20
 SECTION_BAND = 0.15
 SIDE_MIN = 32
-SIDE_MAX = 4096
 
 LEVEL = ["scan_id", "level_index"]
 
@@ -34,7 +33,7 @@ def raster_frames(level_points: DataFrame, levels: DataFrame, keys=LEVEL) -> Dat
             "max_y": F.coalesce("y1", zero) + MARGIN,
         }
     ).drop("x0", "y0", "x1", "y1")
-    side = lambda a, b: F.least(F.lit(SIDE_MAX), F.greatest(F.lit(SIDE_MIN), F.ceil((F.col(b) - F.col(a)) / PIXEL))).cast("int")
+    side = lambda a, b: F.greatest(F.lit(SIDE_MIN), F.ceil((F.col(b) - F.col(a)) / PIXEL)).cast("int")
     return out.withColumns({"width": side("min_x", "max_x"), "height": side("min_y", "max_y")})
 
 
@@ -62,20 +61,14 @@ def section_raster(level_points: DataFrame, frames: DataFrame, keys=LEVEL) -> Da
     return _raster(cut, frames, list(keys))
 
 
-def stride_sample(points: DataFrame, cap: int = 500_000, id: str = "point_id", keys=SCAN, exact: bool = False) -> DataFrame:
-    """Every ceil(n / cap)-th point of a scan.
+def stride_sample(points: DataFrame, cap: int = 500_000, id: str = "point_id", keys=SCAN) -> DataFrame:
+    """Every ceil(n / cap)-th point of a scan in order of id, at most `cap` of them.
 
-    By default a point is chosen by the hash of its id, which needs no order:
-    about n / step points, independent of partitioning. `exact` numbers the
-    points by id (range-partitioned, so no task holds a whole scan) and keeps
-    every step-th of the first `cap` * step.
+    Points are numbered within buckets of the id, so no task holds a whole scan.
     """
     keys = list(keys)
     count = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     count = count.withColumn("_step", F.greatest(F.lit(1), F.ceil(F.col("_n") / cap)).cast("long"))
-    if not exact:
-        out = attach(points, count.select(*keys, "_step"), keys)
-        return out.filter(F.pmod(F.xxhash64(id), F.col("_step")) == 0).drop("_step")
     # Number within buckets of the id, then add the rows of the buckets before.
     bucketed = points.withColumn("_b", F.floor(F.col(id) / F.lit(1 << 16)))
     sizes = bucketed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))

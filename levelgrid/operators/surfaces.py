@@ -140,7 +140,7 @@ def _measure(points: DataFrame, normals: DataFrame, keys: list[str]) -> DataFram
 def fit_planes(points: DataFrame, keys=LEVEL, snap: bool = True, min_area: float = MIN_AREA) -> DataFrame:
     """One row per plane: level normal, offset, extents and the moment sums."""
     keys = list(keys)
-    moments = points.groupBy(*keys, "plane").agg(*eigen.moment_sums(), F.sum("nx").alias("hx"), F.sum("ny").alias("hy"))
+    moments = eigen.with_origin(points, keys).groupBy(*keys, "plane").agg(*eigen.local_moments(), F.sum("nx").alias("hx"), F.sum("ny").alias("hy"))
     normals = settle(fit_normals(moments, snap))
     out = normals.join(_measure(points, normals, keys), [*keys, "plane"])
     return out.filter((F.col("along1") - F.col("along0")) * (F.col("z1") - F.col("z0")) >= min_area)
@@ -209,11 +209,12 @@ def merge_edges(planes: DataFrame, keys=LEVEL) -> DataFrame:
     return p.filter(same & flush & tall & (gap <= MERGE_GAP)).select(*keys, F.col("plane_l").alias("u"), F.col("plane_r").alias("v")).distinct()
 
 
-def merge_planes(planes: DataFrame, points: DataFrame, keys=LEVEL, min_height: float = MIN_HEIGHT, max_rounds: int = 10):
+def merge_planes(planes: DataFrame, points: DataFrame, keys=LEVEL, min_height: float = MIN_HEIGHT):
     """(planes, points) with mergeable planes closed to one, to a fixpoint."""
     keys = list(keys)
     planes = settle(planes)
-    for _ in range(max_rounds):
+    # Every round leaves fewer planes, so this ends.
+    while True:
         edges = settle(merge_edges(planes, keys))
         if edges.isEmpty():
             break
@@ -224,7 +225,9 @@ def merge_planes(planes: DataFrame, points: DataFrame, keys=LEVEL, min_height: f
         names = settle(label.select(*[F.col(f"id.{k}").alias(k) for k in keys], F.col("id.u").alias("plane"), F.col("component.u").alias("_to")))
         points = settle(attach(points, names, [*keys, "plane"]).withColumn("plane", F.col("_to")).drop("_to"))
         joined = planes.join(names, [*keys, "plane"]).withColumn("plane", F.col("_to"))
-        moments = joined.groupBy(*keys, "plane").agg(*eigen.add_moments(), F.sum("hx").alias("hx"), F.sum("hy").alias("hy"))
+        # All planes of a storey are measured from one origin, so their sums add up.
+        origin = [F.first(c).alias(c) for c in ("ox", "oy", "oz") if c in planes.columns]
+        moments = joined.groupBy(*keys, "plane").agg(*eigen.add_moments(), *origin, F.sum("hx").alias("hx"), F.sum("hy").alias("hy"))
         normals = settle(fit_normals(moments))
         planes = settle(normals.join(_measure(points, normals, keys), [*keys, "plane"]))
     return planes.filter(F.col("z1") - F.col("z0") >= min_height), points

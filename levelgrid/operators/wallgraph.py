@@ -163,7 +163,7 @@ def cell_adjacency(labelled: DataFrame, cells: DataFrame, keys=LEVEL) -> DataFra
     return sides.groupBy(*keys, "cell", "other").agg(F.sum("len").alias("shared")).filter(F.col("shared") >= SHARED - 1e-9)
 
 
-def label_inside(cells: DataFrame, adjacency: DataFrame, keys=LEVEL, max_rounds: int = 100) -> DataFrame:
+def label_inside(cells: DataFrame, adjacency: DataFrame, keys=LEVEL) -> DataFrame:
     """Cells (with `sure`) plus `inside`.
 
     Starting from the sure cells, a cell joins when its neighbours inside are
@@ -178,7 +178,8 @@ def label_inside(cells: DataFrame, adjacency: DataFrame, keys=LEVEL, max_rounds:
     alive = cells.filter("sure").select(*keys).distinct()
     if state.filter("inside").isEmpty():
         return cells.withColumn("inside", F.lit(False))
-    for _ in range(max_rounds):
+    # Every round takes in a cell at least, so this ends.
+    while True:
         lab = state.select(F.col("cell").alias("other"), F.col("inside").alias("_oin"))
         tally = edges.join(lab, "other").groupBy("cell").agg(F.count_if("_oin").alias("_i"), F.count_if(~F.col("_oin")).alias("_o"))
         score = state.join(tally, "cell", "left").join(out_contact, "cell", "left")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from levelgrid.functions.numbering import running
 from levelgrid.session import settle
 
 KEEP = 20
@@ -13,38 +14,39 @@ RECENT = 10
 EXPIRY_S = 600
 
 
-def apply_saves(current: DataFrame, saves: DataFrame, max_rounds: int = 1000) -> tuple[DataFrame, DataFrame]:
+def apply_saves(current: DataFrame, saves: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, conflicts) of compare-and-set saves in order of arrival.
 
     `current` has plan_id, revision; `saves` has plan_id, save_id, ts, if_match.
     The first save whose if_match is the current revision is accepted and makes
-    the next one; later saves are judged against that. Every round accepts one
-    save per plan by a partial minimum, so a plan with very many competing
-    saves is not gathered, and rounds follow the longest accepted chain.
+    the next one; later saves are judged against that. An accepted save is
+    followed by the first later one that matches the revision it made, so saves
+    form chains; doubling finds those on the chain of the current revision in
+    rounds that grow with the logarithm of its length. A conflict carries the
+    revision that the save met (NULL for a plan that is not known).
     """
-    order = F.struct("ts", "save_id")
-    head = settle(current.select("plan_id", F.col("revision").cast("bigint").alias("rev"), F.lit(None).cast(f"struct<ts:{dict(saves.dtypes)['ts']},save_id:{dict(saves.dtypes)['save_id']}>").alias("at")))
-    open_ = settle(saves.select("plan_id", "save_id", "ts", F.col("if_match").cast("bigint").alias("if_match")))
-    accepted = None
-    for _ in range(max_rounds):
-        match = open_.join(head, "plan_id").filter((F.col("if_match") == F.col("rev")) & (F.col("at").isNull() | (order > F.col("at"))))
-        won = settle(match.groupBy("plan_id").agg(F.min(order).alias("at"), (F.max("rev") + 1).alias("rev")))
-        if won.isEmpty():
-            break
-        accepted = won if accepted is None else accepted.unionByName(won)
-        moved = head.join(won.select("plan_id", F.col("at").alias("_at"), F.col("rev").alias("_rev")), "plan_id", "left")
-        head = settle(moved.select("plan_id", F.coalesce("_rev", "rev").alias("rev"), F.coalesce("_at", "at").alias("at")))
-        # Whatever came before the accepted save, or matches a passed revision, is out.
-        open_ = settle(open_.join(won.select("plan_id", F.col("at").alias("_at"), F.col("rev").alias("_rev")), "plan_id").filter((order > F.col("_at")) & (F.col("if_match") >= F.col("_rev"))).select(*open_.columns))
-    base = current.select("plan_id", F.col("revision").cast("bigint").alias("r0"))
-    if accepted is None:
-        accepted = head.limit(0).select("plan_id", "at", "rev")
-    accepted = settle(accepted)
-    ok = accepted.select("plan_id", F.col("at.save_id").alias("save_id"), F.col("at.ts").alias("ts"), F.col("rev").alias("revision"))
-    lost = saves.join(current.select("plan_id"), "plan_id", "left_semi").join(ok.select("plan_id", "save_id"), ["plan_id", "save_id"], "left_anti")
-    # The revision a refused save met is that of the last accepted one before it.
-    top = head.select("plan_id", F.col("rev").alias("current_revision"))
-    return ok.select("plan_id", "save_id", "revision"), lost.join(base, "plan_id").join(top, "plan_id").select("plan_id", "save_id", F.col("if_match").cast("bigint").alias("if_match"), "current_revision")
+    keyed = settle(saves.select("plan_id", F.struct("ts", "save_id").alias("at"), F.col("if_match").cast("bigint").alias("if_match")))
+    base = current.select("plan_id", F.col("revision").cast("bigint").alias("revision"))
+    # Who waits for a revision, and who would make the next one from it.
+    kind = keyed.schema["at"].dataType
+    targets = keyed.select("plan_id", F.col("if_match").alias("rev"), "at", F.col("at").alias("offer"), F.lit(False).alias("asks"))
+    asking = keyed.select("plan_id", (F.col("if_match") + 1).alias("rev"), "at", F.lit(None).cast(kind).alias("offer"), F.lit(True).alias("asks"))
+    heads = base.select("plan_id", F.col("revision").alias("rev"), F.lit(None).cast(kind).alias("at"), F.lit(None).cast(kind).alias("offer"), F.lit(True).alias("asks"))
+    met = settle(running(targets.unionByName(asking).unionByName(heads), ["plan_id", "rev"], "at", "offer", "nxt", ahead=True).filter("asks and nxt is not null"))
+    jumps = [met.filter("at is not null").select("plan_id", "at", "nxt")]
+    while not jumps[-1].isEmpty():
+        far = jumps[-1].select("plan_id", F.col("at").alias("nxt"), F.col("nxt").alias("far"))
+        jumps.append(settle(jumps[-1].join(far, ["plan_id", "nxt"]).select("plan_id", "at", F.col("far").alias("nxt"))))
+    taken = settle(met.filter("at is null").select("plan_id", F.col("nxt").alias("at")))
+    for jump in reversed(jumps[:-1]):
+        taken = settle(taken.unionByName(taken.join(jump, ["plan_id", "at"]).select("plan_id", F.col("nxt").alias("at"))))
+    judged = keyed.join(taken.withColumn("ok", F.lit(True)), ["plan_id", "at"], "left")
+    judged = judged.withColumn("made", F.when(F.col("ok"), F.col("if_match") + 1))
+    judged = settle(running(judged, ["plan_id"], "at", "made", "before"))
+    accepted = judged.filter("ok").select("plan_id", "at.save_id", F.col("made").alias("revision"))
+    lost = judged.filter("ok is null").join(base, "plan_id", "left")
+    met_revision = F.coalesce("before", "revision").alias("current_revision")
+    return accepted, lost.select("plan_id", "at.save_id", "if_match", met_revision)
 
 
 def retain_revisions(revisions: DataFrame, keep: int = KEEP, key: str = "project_id") -> DataFrame:

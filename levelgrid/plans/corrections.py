@@ -43,7 +43,11 @@ def patch(df: DataFrame, id_col: str, ops: DataFrame, values: dict[str, Column],
     `ops` has seq, target and payload columns prefixed by p_. Checks see the
     new values and the payload.
     """
-    ops = settle(ops)
+    # The first op on a target is applied; another one at the same time is refused.
+    turn = F.row_number().over(W.partitionBy(*PLAN, "target").orderBy("seq"))
+    given = settle(ops.withColumn("_turn", turn))
+    ops = given.filter("_turn = 1").drop("_turn")
+    again = given.filter("_turn > 1")
     extra = [c for c in ops.columns if c not in PLAN and c != "target"]
     m = df.join(ops.withColumnRenamed("target", id_col), [*PLAN, id_col], "left")
     new = {f"_n_{c}": F.when(F.col("seq").isNotNull(), F.coalesce(v, F.col(c))).otherwise(F.col(c)) for c, v in values.items()}
@@ -54,6 +58,7 @@ def patch(df: DataFrame, id_col: str, ops: DataFrame, values: dict[str, Column],
     m = m.withColumn("_reason", F.when(F.col("seq").isNotNull(), reason))
     m = settle(m)
     rejects = _reject(m.filter("_reason is not null"), F.col("_reason"))
+    rejects = rejects.unionByName(_reject(again, F.concat(F.lit(f"Another change of {what} "), "target")))
     unknown = ops.join(df.select(*PLAN, F.col(id_col).alias("target")), [*PLAN, "target"], "left_anti")
     rejects = rejects.unionByName(_reject(unknown, F.concat(F.lit(f"Unknown {what} "), "target")))
     keep = F.col("_reason").isNull()
@@ -360,17 +365,16 @@ def snap_fixtures(t: PlanTables, tolerance: float, ids: DataFrame | None = None)
 def allocate_ids(t: PlanTables, wanted: DataFrame) -> DataFrame:
     """(plan, prefix, n, id): the lowest unused ids for rows (plan_id, level_id, prefix, n).
 
-    `n` counts 1..k within a storey and prefix. Ids run to 9999. Only as many
-    numbers as there are used and wanted ones are tried.
+    `n` counts 1..k within a storey and prefix. Only as many numbers as there
+    are used and wanted ones are tried, so there is always one for each.
     """
     used = all_ids(t).distinct()
     marked = wanted.select(*PLAN, "prefix").distinct()
     taken = used.withColumn("_p", F.regexp_extract("id", "^([A-Za-z]+)([1-9][0-9]*)$", 1)).withColumn("_i", F.expr("try_cast(regexp_extract(id, '^([A-Za-z]+)([1-9][0-9]*)$', 2) as int)"))
     taken = taken.filter("_i is not null").select(*PLAN, F.col("_p").alias("prefix"), F.col("_i").alias("i"))
     size = wanted.groupBy(*PLAN, "prefix").agg(F.max("n").alias("_k")).join(taken.groupBy(*PLAN, "prefix").agg(F.count(F.lit(1)).alias("_u")), [*PLAN, "prefix"], "left")
-    free = size.withColumn("i", F.explode(F.sequence(F.lit(1), F.least(F.lit(9999), (F.col("_k") + F.coalesce("_u", F.lit(0))).cast("int")))))
+    free = size.withColumn("i", F.explode(F.sequence(F.lit(1), (F.col("_k") + F.coalesce("_u", F.lit(0))).cast("int"))))
     free = free.join(taken, [*PLAN, "prefix", "i"], "left_anti")
-    # At most 9999 numbers per prefix.
     free = free.withColumn("n", F.row_number().over(W.partitionBy(*PLAN, "prefix").orderBy("i")))
     return wanted.join(free.select(*PLAN, "prefix", "n", F.concat("prefix", F.col("i").cast("string")).alias("id")), [*PLAN, "prefix", "n"], "left")
 

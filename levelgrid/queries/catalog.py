@@ -194,11 +194,14 @@ def latest_by_source(spark, sf):
 @query("apply_saves", """WITH RECURSIVE s AS (SELECT o_custkey AS plan_id, o_orderkey AS save_id, o_orderdate AS ts, o_orderkey % 3 AS m FROM orders),
     a(plan_id, rev, ts, save_id) AS (SELECT DISTINCT plan_id, 0::BIGINT, TIMESTAMP '1900-01-01', -1::BIGINT FROM s UNION ALL
         SELECT n.plan_id, n.rev, n.ts, n.save_id FROM (SELECT a.plan_id, a.rev + 1 AS rev, s.ts, s.save_id, row_number() OVER (PARTITION BY a.plan_id ORDER BY s.ts, s.save_id) AS k FROM a JOIN s ON s.plan_id = a.plan_id AND s.m = a.rev AND (s.ts, s.save_id) > (a.ts, a.save_id)) n WHERE n.k = 1)
-    SELECT plan_id, save_id, rev AS revision FROM a WHERE rev > 0""")
+    SELECT plan_id, save_id, rev AS revision, TRUE AS accepted FROM a WHERE rev > 0
+    UNION ALL SELECT s.plan_id, s.save_id, (SELECT max(a.rev) FROM a WHERE a.plan_id = s.plan_id AND (a.ts, a.save_id) < (s.ts, s.save_id)), FALSE
+    FROM s WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.plan_id = s.plan_id AND a.save_id = s.save_id)""")
 def apply_saves(spark, sf):
     o = load(spark, sf, "orders").select(F.col("o_custkey").alias("plan_id"), F.col("o_orderkey").alias("save_id"), F.col("o_orderdate").alias("ts"), (F.col("o_orderkey") % 3).alias("if_match"))
-    ok, _ = C.apply_saves(o.select("plan_id", F.lit(0).alias("revision")).distinct(), o)
-    return ok
+    ok, lost = C.apply_saves(o.select("plan_id", F.lit(0).alias("revision")).distinct(), o)
+    lost = lost.select("plan_id", "save_id", F.col("current_revision").alias("revision"), F.lit(False).alias("accepted"))
+    return ok.withColumn("accepted", F.lit(True)).unionByName(lost)
 
 
 @query("describe", "SELECT concat('P', CAST(s_suppkey AS STRING)) AS project_id, s_name AS name, 0 AS revision, 'Level 1' AS level FROM supplier")

@@ -284,7 +284,7 @@ def order_points(spark, sf):
 
 def _frames_sql():
     return f"""SELECT scan_id, level_index, min(x) - 1.0 AS min_x, min(y) - 1.0 AS min_y, max(x) + 1.0 AS max_x, max(y) + 1.0 AS max_y,
-        CAST(least(4096, greatest(32, ceil((max(x) + 1.0 - (min(x) - 1.0)) / 0.02))) AS INT) AS width, CAST(least(4096, greatest(32, ceil((max(y) + 1.0 - (min(y) - 1.0)) / 0.02))) AS INT) AS height FROM ({_LP}) q GROUP BY scan_id, level_index"""
+        CAST(greatest(32, ceil((max(x) + 1.0 - (min(x) - 1.0)) / 0.02)) AS INT) AS width, CAST(greatest(32, ceil((max(y) + 1.0 - (min(y) - 1.0)) / 0.02)) AS INT) AS height FROM ({_LP}) q GROUP BY scan_id, level_index"""
 
 
 def _level_frames(spark, sf):
@@ -319,12 +319,7 @@ def density_raster(spark, sf):
 
 @query("stride_sample", f"SELECT scan_id, point_id FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY point_id) - 1 AS k, count(*) OVER (PARTITION BY scan_id) AS n FROM ({OP}) p) q WHERE k % CAST(ceil(n / 500.0) AS BIGINT) = 0 AND k / ceil(n / 500.0) < 500")
 def stride_sample(spark, sf):
-    return rasters.stride_sample(order_points(spark, sf), cap=500, exact=True).select("scan_id", "point_id")
-
-
-@query("stride_sample_hashed")
-def stride_sample_hashed(spark, sf):
-    return rasters.stride_sample(order_points(spark, sf), cap=500).groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"))
+    return rasters.stride_sample(order_points(spark, sf), cap=500).select("scan_id", "point_id")
 
 
 _TV = f"""SELECT *, CAST(least(95, greatest(0, floor((x - (mx - span / 2.0)) / span * 95))) AS INT) AS px, CAST(least(95, greatest(0, floor(((my + span / 2.0) - y) / span * 95))) AS INT) AS py FROM ({OP}) p JOIN (
