@@ -290,8 +290,8 @@ def detect_stairs_points(spark, sf):
 
 
 def solid_items(spark, sf):
-    """Points of one column and one toilet-sized box in the first room of even plans."""
-    b = lay(spark, sf, "base").filter("s % 2 = 0")
+    """Points of one column and one toilet-sized box in the first room of every plan."""
+    b = lay(spark, sf, "base")
 
     def shell(x0, y0, w, d, h, n, step):
         ring = [(x0 + w * k / n, y0) for k in range(n)] + [(x0 + w, y0 + d * k / n) for k in range(n)] + [(x0 + w - w * k / n, y0 + d) for k in range(n)] + [(x0, y0 + d - d * k / n) for k in range(n)]
@@ -302,27 +302,27 @@ def solid_items(spark, sf):
     return settle(p.select(*PLAN, "p.x", "p.y", (F.col("k") * F.col("p.step")).alias("z"), F.lit(0.0).alias("nz")))
 
 
-@query("detect_columns", "SELECT concat('P', CAST(s_suppkey AS STRING)) AS plan_id, 2.0::DOUBLE AS x, 2.0::DOUBLE AS y, TRUE AS sized FROM supplier WHERE s_suppkey % 2 = 0")
+@query("detect_columns", "SELECT concat('P', CAST(s_suppkey AS STRING)) AS plan_id, 2.0::DOUBLE AS x, 2.0::DOUBLE AS y, TRUE AS sized FROM supplier")
 def detect_columns(spark, sf):
     c = O.detect_columns(solid_items(spark, sf), wall_segments(spark, sf), levels_of(spark, sf), PLAN)
     near = lambda e: F.abs(F.col(e) - 0.4) < 0.09
     return c.select("plan_id", clean(F.col("x"), 1).alias("x"), clean(F.col("y"), 1).alias("y"), (near("width") & near("depth")).alias("sized"))
 
 
-@query("cluster_points", "SELECT concat('P', CAST(s_suppkey AS STRING)) AS plan_id, 2 AS clusters FROM supplier WHERE s_suppkey % 2 = 0")
+@query("cluster_points", "SELECT concat('P', CAST(s_suppkey AS STRING)) AS plan_id, 2 AS clusters FROM supplier")
 def cluster_points(spark, sf):
     p = X.cluster_points(X.thin(solid_items(spark, sf), 0.05, keys=PLAN), keys=PLAN)
     return p.groupBy("plan_id").agg(F.countDistinct("cluster").cast("int").alias("clusters"))
 
 
-@query("cluster_height", "SELECT concat('P', CAST(s_suppkey AS STRING)) AS plan_id, h AS height FROM supplier, (VALUES (0.35::DOUBLE), (2.4::DOUBLE)) v(h) WHERE s_suppkey % 2 = 0")
+@query("cluster_height", "SELECT concat('P', CAST(s_suppkey AS STRING)) AS plan_id, h AS height FROM supplier, (VALUES (0.35::DOUBLE), (2.4::DOUBLE)) v(h)")
 def cluster_height(spark, sf):
     pts = solid_items(spark, sf)
     p = settle(X.cluster_points(X.thin(pts, 0.05, keys=PLAN), keys=PLAN))
     return X.cluster_height(p, pts, levels_of(spark, sf), PLAN).select("plan_id", r6("height").alias("height"))
 
 
-@query("detect_fixtures", "SELECT concat('P', CAST(s_suppkey AS STRING)) AS plan_id, 'toilet' AS symbol, 3.2::DOUBLE AS x, 2.85::DOUBLE AS y, 0.4::DOUBLE AS width, 0.7::DOUBLE AS depth FROM supplier WHERE s_suppkey % 2 = 0")
+@query("detect_fixtures", "SELECT concat('P', CAST(s_suppkey AS STRING)) AS plan_id, 'toilet' AS symbol, 3.2::DOUBLE AS x, 2.85::DOUBLE AS y, 0.4::DOUBLE AS width, 0.7::DOUBLE AS depth FROM supplier")
 def detect_fixtures(spark, sf):
     pts = solid_items(spark, sf)
     walls, levels = wall_segments(spark, sf), levels_of(spark, sf)

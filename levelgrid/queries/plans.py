@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,7 +14,7 @@ from levelgrid.queries.inputs import DUCK, SPARK, load, plan_sql, plan_tables, s
 from levelgrid.queries.registry import query
 from levelgrid.queries.scans import r
 from levelgrid.queries.walls import CP, LI, PLAN, SEG, WALLS, _CP, _SEG, lay, line_points
-from levelgrid.session import settle
+from levelgrid.session import settle, workspace
 from levelgrid.sources import tables
 
 D = plan_sql(DUCK)
@@ -190,12 +192,18 @@ def outside_items(spark, sf):
     return L.outside_items(plan_tables(spark, sf).fixtures, first_rooms(spark, sf)).select("plan_id", "fixture_id", "message")
 
 
-@query("read_plans", f"SELECT plan_id, CAST(2 AS INT) AS version, 1 AS levels, CAST((nx + 1) * (ny + 1) + CASE WHEN s % 4 = 1 THEN 2 ELSE 0 END AS INT) AS vertices, CAST(nx * (ny + 1) + (nx + 1) * ny AS INT) AS walls, FALSE AS refused FROM ({BASE}) b WHERE s % 10 <> 9 UNION ALL SELECT plan_id, -1, -1, -1, -1, TRUE FROM ({BASE}) b WHERE s % 10 = 9")
+@query("read_plans", f"SELECT plan_id, CAST(2 AS INT) AS version, 1 AS levels, CAST((nx + 1) * (ny + 1) + CASE WHEN s % 4 = 1 THEN 2 ELSE 0 END AS INT) AS vertices, CAST(nx * (ny + 1) + (nx + 1) * ny AS INT) AS walls, FALSE AS refused FROM ({BASE}) b WHERE s % 10 < 6 UNION ALL SELECT plan_id, -1, -1, -1, -1, TRUE FROM ({BASE}) b WHERE s % 10 >= 6")
 def read_plans(spark, sf):
     text = tables.plan_json(documents(spark, sf))
     n = F.substring("plan_id", 2, 9).cast("int") % 10
-    spoiled = F.regexp_replace("value", '"schemaVersion":2', '"schemaVersion":1')
-    good, bad = tables.parse_plans(text.withColumn("value", F.when(n == 9, spoiled).otherwise(F.col("value"))))
+    # A wrong version, and fields the schema lacks at three depths.
+    spoils = {9: ('"schemaVersion":2', '"schemaVersion":1'), 8: (r'"vertices":\[\{', '"vertices":[{"odd":1,'), 7: (r'"sheet":\{', '"sheet":{"odd":1,'), 6: (r'"titleBlock":\{', '"titleBlock":{"odd":1,')}
+    value = F.col("value")
+    for k, (a, b) in spoils.items():
+        value = F.when(n == k, F.regexp_replace("value", a, b)).otherwise(value)
+    path = f"{workspace(spark)}/read-plans/{uuid.uuid4().hex}"
+    text.select("plan_id", value.alias("value")).write.json(path)
+    good, bad = tables.read_plan_lines(spark, path)
     size = lambda c: F.size(F.col("levels")[0][c])
     a = good.select("plan_id", F.col("schemaVersion").alias("version"), F.size("levels").alias("levels"), size("vertices").alias("vertices"), size("walls").alias("walls"), F.lit(False).alias("refused"))
     none = [F.lit(-1).alias(c) for c in ("version", "levels", "vertices", "walls")]
@@ -211,8 +219,11 @@ def documents(spark, sf, t=None):
 @query("write_plans", "SELECT concat('P', CAST(s_suppkey AS STRING)) AS plan_id, concat('P', CAST(s_suppkey AS STRING)) AS name, 'm' AS units, 'A3' AS paper, TRUE AS same FROM supplier")
 def write_plans(spark, sf):
     names = load(spark, sf, "supplier").select(F.concat(F.lit("P"), F.col("s_suppkey").cast("string")).alias("plan_id"))
-    text = tables.plan_json(doc.blank_plans(names.withColumn("name", F.col("plan_id"))))
-    back, _ = tables.parse_plans(text)
+    plans = doc.blank_plans(names.withColumn("name", F.col("plan_id")))
+    text = tables.plan_json(plans)
+    path = f"{workspace(spark)}/write-plans/{uuid.uuid4().hex}"
+    tables.write_plans(plans, path)
+    back, _ = tables.read_plan_lines(spark, path)
     again = tables.plan_json(back).withColumnRenamed("value", "v2")
     at = lambda p: F.get_json_object("value", p)
     return text.join(again, "plan_id").select("plan_id", at("$.sheet.titleBlock.project").alias("name"), at("$.units").alias("units"), at("$.sheet.paper").alias("paper"), (F.col("value") == F.col("v2")).alias("same"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from levelgrid.functions.geometry import clean
 from levelgrid.operators import meshes, normalize as N, openings, fixtures, rasters
 from levelgrid.queries.inputs import load, points_m, points_mm, scan_points, scan_points_mm, sql
 from levelgrid.queries.registry import query
+from levelgrid.session import workspace
 from levelgrid.sources import tables
 
 MM, PM = points_mm(), points_m()
@@ -28,7 +31,10 @@ boxes = lambda spark, sf: sql(spark, sf, BOXES)
 
 @query("read_points", f"SELECT scan_id, count(*) AS n, {r('sum(nz)', 'up')} FROM ({PM}) p GROUP BY scan_id")
 def read_points(spark, sf):
-    return scan_points(spark, sf).groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("nz")).alias("up"))
+    path = f"{workspace(spark)}/read-points/{uuid.uuid4().hex}"
+    typed = scan_points(spark, sf).withColumns({c: F.col(c).cast("smallint") for c in "rgb"})
+    typed.write.parquet(path)
+    return tables.read_points(spark, path).groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("nz")).alias("up"))
 
 
 _AX = [f"{f}({c}) AS {f}_{c}" for c in "xyz" for f in ("min", "max")] + [f"max({c}) - min({c}) AS size_{c}" for c in "xyz"]

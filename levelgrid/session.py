@@ -9,9 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows a side may have before it is no longer broadcast. The sides handled here
-# are narrow (some tens of bytes per row), so this stays within tens of MB.
-BROADCAST_ROWS = 100_000
+# Bytes of the settled files of a side that may still be broadcast. Columns of ids and numbers take some
+# times as much in memory, so this stays within tens of MB.
+BROADCAST_BYTES = 2 << 20
 SALTS = 32
 
 
@@ -61,6 +61,9 @@ def settle(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled = True
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out._bytes = files.getContentSummary(folder).getLength()
     return out
 
 
@@ -71,18 +74,14 @@ def clear_workspace(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    return df.limit(rows + 1).count() <= rows
-
-
 def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join a per-key side (one row per scan, storey or plan) to a large table.
 
-    The side is settled, counted, and broadcast when it is under the bound.
+    The side is settled, and broadcast when its files are under the bound.
     Beyond it the join is salted, so that one hot key spreads over many tasks.
     """
     side = settle(small)
-    if is_small(side):
+    if side._bytes <= BROADCAST_BYTES:
         return big.join(F.broadcast(side), on, how)
     # Row and input partition together: every retry of a task gives the same salt, and
     # copies of one row still spread over as many salts as they have partitions.

@@ -5,11 +5,13 @@ from __future__ import annotations
 import struct
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from levelgrid.operators.meshes import sample_triangles
 from levelgrid.plans import schemas
+from levelgrid.session import attach, settle
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
@@ -25,57 +27,81 @@ def scene_points(points: DataFrame, triangles: DataFrame) -> DataFrame:
     """Points of every scene: samples with face normals where it has faces (colours are
     dropped there), else its own points."""
     meshed = triangles.select("scan_id").distinct()
-    own = points.join(meshed, "scan_id", "left_anti")
+    marked = attach(points, meshed.withColumn("_meshed", F.lit(True)), ["scan_id"], "left")
+    own = marked.filter("_meshed is null")
     null = lambda c, t: F.lit(None).cast(t).alias(c)
     sampled = sample_triangles(triangles).select("scan_id", "x", "y", "z", "nx", "ny", "nz", *[null(c, "smallint") for c in "rgb"])
     return own.select("scan_id", "x", "y", "z", "nx", "ny", "nz", "r", "g", "b").unionByName(sampled)
 
 
+CLOUD_SQL = "x float, y float, z float, nx float, ny float, nz float, r smallint, g smallint, b smallint, scan_id string"
+
+
 def write_cloud(cloud, path: str) -> str:
     """Write a normalized cloud as a new batch folder and return it.
 
-    Points are stored as float, partitioned by scan; frame, levels and issues
-    are sibling tables. A batch is complete when its `_ready` marker table is
-    there: it is written last, so a reader never sees half a batch.
+    Points are stored as float offsets from a whole-metre origin of their scan
+    (table `origin`), so map coordinates lose nothing, partitioned by scan;
+    frame, levels and issues are sibling tables. A batch is complete when its
+    `ready` table is there: it is written last, so a reader never sees half a
+    batch.
     """
     batch = f"{path}/batch-{uuid.uuid4().hex}"
-    p = cloud.points.select("scan_id", *[F.col(c).cast("float").alias(c) for c in ("x", "y", "z", "nx", "ny", "nz")], *[c for c in ("r", "g", "b") if c in cloud.points.columns])
-    p.write.partitionBy("scan_id").parquet(f"{batch}/points")
+    points = cloud.points
+    origin = settle(points.groupBy("scan_id").agg(*[F.floor(F.min(c)).cast("double").alias(f"o{c}") for c in "xyz"], F.count(F.lit(1)).alias("points")))
+    p = attach(points, origin.drop("points"), ["scan_id"])
+    place = [(F.col(c) - F.col(f"o{c}")).cast("float").alias(c) for c in "xyz"]
+    colours = [F.col(c).cast("smallint").alias(c) for c in ("r", "g", "b") if c in points.columns]
+    p = p.select("scan_id", *place, *[F.col(c).cast("float").alias(c) for c in ("nx", "ny", "nz")], *colours)
+    # Ranges of (scan, x): a large scan spans many files, a small one has one, whatever the tasks before.
+    p.repartitionByRange("scan_id", "x").write.partitionBy("scan_id").parquet(f"{batch}/points")
+    origin.drop("points").write.parquet(f"{batch}/origin")
     for name in ("frame", "levels", "issues"):
         getattr(cloud, name).write.parquet(f"{batch}/{name}")
-    counts = cloud.points.groupBy("scan_id").agg(F.count(F.lit(1)).alias("points"))
-    counts.write.parquet(f"{batch}/ready")
+    origin.select("scan_id", "points").write.parquet(f"{batch}/ready")
     return batch
 
 
 def read_cloud(spark: SparkSession, batch: str) -> dict[str, DataFrame]:
-    """Tables of a complete batch, points as double."""
+    """Tables of a complete batch, points as double in their own coordinates, scan ids as they were written."""
     ready = spark.read.parquet(f"{batch}/ready")
-    pts = spark.read.parquet(f"{batch}/points")
-    pts = pts.withColumns({c: F.col(c).cast("double") for c in ("x", "y", "z", "nx", "ny", "nz")}).withColumn("scan_id", F.col("scan_id").cast("string"))
+    pts = attach(spark.read.schema(CLOUD_SQL).parquet(f"{batch}/points"), spark.read.parquet(f"{batch}/origin"), ["scan_id"])
+    pts = pts.withColumns({c: F.col(c).cast("double") + F.col(f"o{c}") for c in "xyz"} | {c: F.col(c).cast("double") for c in ("nx", "ny", "nz")})
+    pts = pts.drop("ox", "oy", "oz")
     return {"points": pts, "ready": ready, **{n: spark.read.parquet(f"{batch}/{n}") for n in ("frame", "levels", "issues")}}
 
 
-def _known_keys() -> set[str]:
-    return {f.name for f in schemas.PLAN}
+def _unknown(text: Column, kind: T.StructType, path: str = "") -> Column:
+    """Paths of the keys of a JSON object that its type lacks, at every depth."""
+    known = [f.name for f in kind if f.name != "_bad"]
+    own = F.array_except(F.coalesce(F.json_object_keys(text), F.array().cast("array<string>")), F.array(*[F.lit(k) for k in known]))
+    found = [F.transform(own, lambda k: F.concat(F.lit(path), k))]
+    for f in kind:
+        inner = F.get_json_object(text, f"$.{f.name}")
+        if isinstance(f.dataType, T.StructType):
+            found.append(_unknown(inner, f.dataType, f"{path}{f.name}."))
+        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
+            each = F.coalesce(F.from_json(inner, "array<string>"), F.array().cast("array<string>"))
+            found.append(F.flatten(F.transform(each, _within(f.dataType.elementType, f"{path}{f.name}."))))
+    return F.concat(*found)
+
+
+def _within(kind: T.StructType, path: str):
+    return lambda element: _unknown(element, kind, path)
 
 
 def parse_plans(text: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(plans, rejects) of JSON documents (plan_id, value): strict about unknown fields.
+    """(plans, rejects) of JSON documents (plan_id, value): strict about unknown fields at every depth.
 
     A document is rejected when it is no JSON, when a field has the wrong
     type, when its version is not 2, or when it holds a field the schema lacks.
     """
     schema = schemas.with_corrupt("PLAN")
     p = text.withColumn("_p", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
-    keys = F.json_object_keys("value")
-    extra = F.array_except(keys, F.array(*[F.lit(k) for k in sorted(_known_keys())]))
-    level_keys = F.transform(F.from_json(F.get_json_object("value", "$.levels"), "array<map<string,string>>"), lambda m: F.map_keys(m))
-    level_extra = F.array_except(F.flatten(F.coalesce(level_keys, F.array().cast("array<array<string>>"))), F.array(*[F.lit(f.name) for f in schemas.PLAN["levels"].dataType.elementType]))
+    p = p.withColumn("_extra", _unknown(F.col("value"), schemas.PLAN))
     reason = (
-        F.when(F.col("_p").isNull() | F.col("_p._bad").isNotNull() | keys.isNull(), F.lit("not a plan document"))
-        .when(F.size(extra) > 0, F.concat(F.lit("unknown field "), F.get(extra, F.lit(0))))
-        .when(F.size(level_extra) > 0, F.concat(F.lit("unknown level field "), F.get(level_extra, F.lit(0))))
+        F.when(F.col("_p").isNull() | F.col("_p._bad").isNotNull() | F.json_object_keys("value").isNull(), F.lit("not a plan document"))
+        .when(F.size("_extra") > 0, F.concat(F.lit("unknown field "), F.get("_extra", F.lit(0))))
         .when(~F.coalesce(F.col("_p.schemaVersion") == 2, F.lit(False)), F.lit("schemaVersion is not 2"))
         .when(~F.coalesce(F.col("_p.units") == "m", F.lit(False)), F.lit("units is not m"))
     )
@@ -96,8 +122,13 @@ def plan_json(plans: DataFrame) -> DataFrame:
 
 
 def write_plans(plans: DataFrame, path: str) -> None:
-    """One JSON line per document, partitioned by plan_id so that a file is a plan."""
-    plan_json(plans).write.partitionBy("plan_id").text(path)
+    """JSON lines of (plan_id, value), many documents to a file."""
+    plan_json(plans).write.json(path)
+
+
+def read_plan_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(plans, rejects) of a folder that `write_plans` wrote."""
+    return parse_plans(spark.read.schema("plan_id string, value string").json(path))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -68,8 +68,24 @@ def stream_scan_stats(points: DataFrame, window: str = "1 hour", watermark: str
     )
 
 
-def run_to_memory(df: DataFrame, name: str, mode: str, folder: str) -> DataFrame:
-    """Drive a bounded stream to its end and return the result table."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", folder).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+def run_to_table(df: DataFrame, mode: str, folder: str, keys: list[str] | None = None) -> DataFrame:
+    """Drive a bounded stream to its end into a table of the shared store and return that table.
+
+    Every micro-batch is a folder of its own that a retried batch overwrites.
+    With `keys` (update mode) the newest row of every key is returned, else
+    (append mode) all rows are.
+    """
+    spark, out = df.sparkSession, f"{folder}/table"
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    spark.createDataFrame([], df.schema).write.parquet(f"{out}/batch=-1")
+    query = df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = spark.read.schema(df.schema.add("batch", "long")).parquet(out)
+    if not keys:
+        return rows.drop("batch")
+    rest = [c for c in df.columns if c not in keys]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r"))
+    return newest.select(*[F.col(k) if k in keys else F.col(f"_r.{k}").alias(k) for k in df.columns])
