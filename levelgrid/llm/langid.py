@@ -30,6 +30,8 @@ SAMPLE_CHARS = 20_000
 EPOCHS = 6
 # Share of held-back rows that the threshold may reject.
 REJECT = 0.001
+# The threshold lies this far below the score found on them, so that mixed texts of known languages stay.
+MARGIN = 0.75
 SEED = 7
 
 UNKNOWN = "und"
@@ -130,7 +132,7 @@ def train(rows: list[tuple[str, str]], buckets: int = BUCKETS, width: int = WIDT
     loss = lambda t: -np.log(np.maximum(_softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean()
     temperature = min(np.geomspace(0.05, 20, 60), key=loss)
     top = np.sort(_softmax(logits / temperature).max(1))
-    threshold = float(top[int(reject * len(top))]) * 0.9
+    threshold = float(top[int(reject * len(top))]) * MARGIN
     return Model(langs, table.astype(np.float32), bias, float(temperature), threshold)
 
 
