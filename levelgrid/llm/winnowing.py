@@ -16,16 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from levelgrid.llm import text as T
-from levelgrid.session import settle
 
 K = 16
 WINDOW = 64
+# Ranges of ids for each shuffle partition.
+RANGES = 4
 
 _FIELDS = {
     "doc_id": pa.int64(),
@@ -104,54 +103,50 @@ def _batch(rows: list[tuple], fields: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, fields.values())], list(fields))
 
 
+def _bucket(starts: list[int]) -> Column:
+    """How many of the sorted starts are not over `_at`, less one, looked up in two steps."""
+    step = 256
+    at, every = F.col("_at"), F.array(*[F.lit(s) for s in starts])
+    coarse = F.size(F.filter(F.array(*[F.lit(s) for s in starts[::step]]), lambda s: s <= at))
+    block = F.slice(every, (coarse - 1) * step + 1, F.lit(step))
+    return (coarse - 1) * step + F.size(F.filter(block, lambda s: s <= at)) - 1
+
+
 def fingerprints(docs: DataFrame, k: int = K, w: int = WINDOW) -> DataFrame:
     """One row per document: fingerprint, that of its edited text, and likeness to that and to the next document.
 
-    The next document is the one with the next doc_id (repeated ids: by text); the last is followed by the
-    first. Documents are dealt out by ranges of doc_id once. Each task streams its sorted range and knows every
-    next text but the one after its last document, so it hands on its first and last text; those few rows are
-    paired in a second small step.
+    The next document is the one with the next doc_id (repeated ids: by text; no id: first of all); the last is
+    followed by the first. A first look at the ids alone gives ranges of them. Documents are dealt out by range
+    once, and the first of each range goes to the range before it as well, so that every task streams its
+    sorted ranges and knows the text after each document.
     """
-    T.bound_batches(docs.sparkSession)
-    fields = _FIELDS | {"part": pa.int32(), "kind": pa.int32(), "text": pa.string()}
+    spark = docs.sparkSession
+    T.bound_batches(spark)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    slim = slim.withColumn("_at", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    # Several ranges for each task, so that their sizes even out; only where they start comes to the driver.
+    ranges = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = slim.select("_at").repartitionByRange(ranges, "_at").groupBy(F.spark_partition_id()).agg(F.min("_at").alias("start"))
+    starts = sorted(r["start"] for r in ranged.collect())
+    if not starts:
+        return spark.createDataFrame([], _OUT)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        last, first = None, True
+        last = None
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, text, ahead in zip(*[c.to_pylist() for c in batch.columns]):
+                if ahead and last is None:
+                    continue
                 own = winnow(text, k, w)
-                if first:
-                    rows.append((*[None] * 7, part, 1, text))
-                    first = False
-                else:
-                    rows.append((*_row(last[0], last[1], text, last[2], own, k, w), part, 0, None))
-                last = (doc_id, text, own)
-            yield _batch(rows, fields)
-        if last is not None:
-            yield _batch([(last[0], *[None] * 6, part, 2, last[1])], fields)
-
-    ranged = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", "text")
-    )
-    found = settle(ranged.mapInArrow(stream, _OUT + ", part int, kind int, text string"))
-    heads = found.filter("kind = 1").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"))
-    # One row per task, without texts.
-    turns = found.filter("kind = 1").select("part").select(
-        "part",
-        F.coalesce(F.lead("part").over(W.orderBy("part")), F.min("part").over(W.partitionBy())).alias("next_part"),
-    )
-    ends = found.filter("kind = 2").select("doc_id", "part", "text").join(turns, "part").join(heads, "next_part")
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc_id, text, following in zip(*[c.to_pylist() for c in batch.columns]):
-                rows.append(_row(doc_id, text, following, winnow(text, k, w), winnow(following, k, w), k, w))
+                if last is not None:
+                    rows.append(_row(last[0], last[1], text, last[2], own, k, w))
+                last = None if ahead else (doc_id, text, own)
             yield _batch(rows, _FIELDS)
 
-    paired = ends.select("doc_id", "text", "next_text").mapInArrow(pair, _OUT)
-    return found.filter("kind = 0").select(*_FIELDS).unionByName(paired)
+    own = slim.withColumns({"bucket": _bucket(starts), "ahead": F.lit(False)})
+    first = own.filter(F.col("_at").isin(starts)).withColumn("ahead", F.lit(True))
+    first = first.withColumn("bucket", F.pmod(F.col("bucket") - 1, F.lit(len(starts))))
+    order = ["bucket", "ahead", "_at", "text"]
+    dealt = own.unionByName(first).repartition("bucket").sortWithinPartitions(*order)
+    return dealt.select("doc_id", "text", "ahead").mapInArrow(stream, _OUT)
