@@ -10,7 +10,7 @@ from levelgrid.functions import hulls
 from levelgrid.functions.graph import connected_components
 from levelgrid.operators.openings import SQUARE, morph_close
 from levelgrid.plans.schemas import FIXTURE_SYMBOLS
-from levelgrid.session import attach, settle
+from levelgrid.session import BROADCAST_BYTES, attach, settle
 
 # Colour of every region name, as red, green, blue.
 PALETTE = {
@@ -53,19 +53,24 @@ def nearest_palette(pixels: DataFrame, palette: dict[str, tuple] | None = None,
 
 
 def nearest_centroid(vectors: DataFrame, centroids: DataFrame, vector: str = "embedding") -> DataFrame:
-    """The same operator on array<float> rows: nearest of a small set of centroids (label, centroid).
+    """The same operator on array<float> rows: nearest of the centroids (label, centroid), the least label of equals.
 
-    Centroids are attached as one array when they are few; the array is built
-    from a counted, bounded side.
+    Centroids are dealt into blocks of bounded bytes. Vectors meet one broadcast block after the other and keep
+    the best so far, so they are never shuffled, whatever the number of centroids.
     """
     side = settle(centroids)
-    if side.limit(10_001).count() > 10_000:
-        raise ValueError("nearest_centroid takes at most 10 000 centroids")
-    packed = side.agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("_all"))
+    number = max(1, -(-side._bytes // BROADCAST_BYTES))
+    block = F.pmod(F.xxhash64("label"), F.lit(number)).alias("_block")
+    packed = settle(side.groupBy(block).agg(F.collect_list(F.struct("label", "centroid")).alias("_all")))
     gap = lambda c: F.aggregate(F.zip_with(F.col(vector), c["centroid"], lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, v: s + v)
     near = F.array_min(F.transform("_all", lambda c: F.struct(F.round(gap(c), 9).alias("d"), c["label"].alias("label"))))
-    out = vectors.join(F.broadcast(packed)).withColumn("_n", near)
-    return out.withColumns({"nearest": F.col("_n.label"), "distance2": F.col("_n.d")}).drop("_n", "_all")
+    out = vectors
+    for k in range(number):
+        one = F.broadcast(packed.filter(F.col("_block") == k))
+        out = out.withColumn("_block", F.lit(k).cast("long")).join(one, "_block", "left")
+        best = near if k == 0 else F.least("_n", near)
+        out = out.withColumn("_n", best).drop("_all", "_block")
+    return out.withColumns({"nearest": F.col("_n.label"), "distance2": F.col("_n.d")}).drop("_n")
 
 
 def floor_gate(named: DataFrame, keys=IMAGE) -> tuple[DataFrame, DataFrame]:

@@ -12,7 +12,7 @@ from levelgrid.functions import geometry as g
 from levelgrid.functions import hulls, tiles
 from levelgrid.functions.numbering import number_rows
 from levelgrid.operators.normalize import SIN15
-from levelgrid.operators.surfaces import LEVEL
+from levelgrid.operators.surfaces import LEVEL, face_issues
 from levelgrid.session import attach, settle
 from levelgrid.functions.geometry import sq
 
@@ -273,6 +273,18 @@ def opening_issues(openings: DataFrame, keys=LEVEL) -> DataFrame:
     )
 
 
+def structure_issues(faces: DataFrame, openings: DataFrame, keys=LEVEL) -> DataFrame:
+    """What wall and opening detection doubt, for `plans.validate.consolidate_issues`.
+
+    plan_id is the first key; walls come before openings, lower storeys before upper ones.
+    """
+    keys = list(keys)
+    walls = face_issues(faces, keys).withColumns({"element_id": F.lit(None).cast("string"), "stage": F.lit(0)})
+    rows = walls.unionByName(opening_issues(openings, keys).withColumn("stage", F.lit(1)))
+    arrival = F.struct("stage", *keys[1:], "element_id").alias("arrival")
+    return rows.select(F.col(keys[0]).alias("plan_id"), arrival, "code", "severity", "message", "element_id")
+
+
 def detect_openings(level_points: DataFrame, walls: DataFrame, levels: DataFrame, triangles: DataFrame | None = None, keys=LEVEL) -> DataFrame:
     """Openings of every wall, from points or, where given, from the mesh."""
     keys = list(keys)

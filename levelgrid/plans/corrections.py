@@ -21,7 +21,7 @@ from levelgrid.functions.numbering import number_rows
 from levelgrid.plans.documents import ELEMENTS, PLAN, PlanTables
 from levelgrid.plans.lookup import _frames, _measured, _sides, lines_of, resolve_refs
 from levelgrid.plans.validate import all_ids, finite
-from levelgrid.session import settle
+from levelgrid.session import attach, settle
 
 JOIN = 0.05
 ORTHO = 1.0
@@ -589,7 +589,8 @@ def apply_ops(t: PlanTables, ops: DataFrame) -> tuple[PlanTables, DataFrame]:
     """Typed ops (plan_id, level_id, seq, op, args JSON) in order, all or nothing per plan.
 
     Round k applies the k-th op of every plan at once, so the number of
-    rounds is the longest op list, not the number of ops.
+    rounds is the longest op list, not the number of ops. Only plans with ops
+    are rewritten by the rounds.
     """
     parsed = ops.withColumn("_a", F.from_json("args", ARGS)).select(*PLAN, "seq", "op", "_a.*")
     parsed = settle(number_rows(parsed, ["plan_id"], ["seq"], "_k"))
@@ -603,7 +604,10 @@ def apply_ops(t: PlanTables, ops: DataFrame) -> tuple[PlanTables, DataFrame]:
     parsed = settle(parsed.join(bad.select(*PLAN, "seq"), [*PLAN, "seq"], "left_anti"))
     present = parsed.groupBy("_k", "op").count().collect()  # one row per round and op kind
     rounds = sorted({r["_k"] for r in present})
-    now = t
+    # Rounds see the plans with ops only; all others pass through untouched.
+    touched = settle(parsed.select("plan_id").distinct())
+    work = t.map(lambda _name, df: settle(attach(df, touched, ["plan_id"])))
+    now = work
     for k in rounds:
         mine = parsed.filter(F.col("_k") == k)
         for op in [r["op"] for r in present if r["_k"] == k]:
@@ -623,15 +627,15 @@ def apply_ops(t: PlanTables, ops: DataFrame) -> tuple[PlanTables, DataFrame]:
 
     refused = settle(reduce(DataFrame.unionByName, rejects))
     # A plan that breaks a rule after its ops is refused like one with a failed op.
-    touched = parsed.select("plan_id").distinct()
-    broken = validate(now.map(lambda n, df: df.join(touched, "plan_id", "left_semi"))).select("plan_id", "level_id", F.lit(None).cast("int").alias("seq"), "rule")
+    broken = validate(now).select("plan_id", "level_id", F.lit(None).cast("int").alias("seq"), "rule")
     refused = settle(refused.unionByName(broken.select(*PLAN, F.col("seq").cast(dict(refused.dtypes)["seq"]).alias("seq"), F.col("rule").alias("reason")).distinct()))
-    stay = refused.select("plan_id").distinct()
+    accepted = settle(touched.join(refused.select("plan_id").distinct(), "plan_id", "left_anti").withColumn("_accepted", F.lit(True)))
 
-    def choose(name, _df):
-        old, new = getattr(t, name), getattr(now, name)
+    def choose(name, df):
+        old, new = getattr(work, name), getattr(now, name)
         if old is new:
-            return old
-        return new.join(stay, "plan_id", "left_anti").unionByName(old.join(stay, "plan_id", "left_semi").select(*new.columns)).select(*old.columns)
+            return df
+        rest = attach(df, accepted, ["plan_id"], "left").filter("_accepted is null").select(*df.columns)
+        return rest.unionByName(attach(new, accepted, ["plan_id"]).select(*df.columns))
 
     return t.map(choose), refused

@@ -188,12 +188,15 @@ def snap_rotation(spark, sf):
     return load(spark, sf, "part").select(F.col("p_partkey").alias("id"), J.snap_rotation(F.col("p_size") * F.lit(3.7)).cast("double").alias("turn"))
 
 
-@query("snap_fixtures", f"SELECT plan_id, {r('CASE WHEN abs(0.65 - t / 2) <= 0.6 THEN 1.0 ELSE 1.0 END', 'x')}, {r('t / 2 + 0.35', 'y')} FROM ({BASE}) b")
+# Toilets reach the lower wall in plans with thick walls only, sofas the upper wall in all plans, blocks none.
+@query("snap_fixtures", f"""SELECT plan_id, fixture_id, CASE WHEN fixture_id = 'f1' THEN 1.9 ELSE x END::DOUBLE AS x,
+    {r("CASE WHEN fixture_id = 'f1' AND t >= 0.19 THEN t / 2 + 0.35 WHEN fixture_id = 'f2' THEN 4 - t / 2 - 0.45 ELSE y END", 'y')},
+    CASE WHEN fixture_id = 'f1' AND t >= 0.19 THEN 180.0 WHEN fixture_id = 'f2' THEN 0.0 ELSE rotation_deg END::DOUBLE AS turn FROM ({FIX}) f JOIN (SELECT plan_id, t FROM ({BASE}) b) c USING (plan_id)""")
 def snap_fixtures(spark, sf):
     t = plan_tables(spark, sf)
     t = t.with_(fixtures=t.fixtures.withColumn("x", F.when(F.col("fixture_id") == "f1", 1.9).otherwise(F.col("x"))))
-    s = J.snap_fixtures(t, 0.6)
-    return s.fixtures.filter("fixture_id = 'f1'").select("plan_id", r6(F.col("x") - 0.9).alias("x"), r6("y").alias("y"))
+    s = J.snap_fixtures(t, 0.56)
+    return s.fixtures.select("plan_id", "fixture_id", r6("x").alias("x"), r6("y").alias("y"), r6("rotation_deg").alias("turn"))
 
 
 @query("split_walls", f"SELECT plan_id, (SELECT count(*) FROM ({WALLS}) w WHERE w.plan_id = b.plan_id) + 1 AS walls, 2.0::DOUBLE AS mid_x, {r('(0.5 - 0.4) / 0.6', 'off')} FROM ({BASE}) b")
@@ -270,7 +273,9 @@ def add_rectangles(spark, sf):
 
 
 # Three ops per plan; in every third plan the second one is refused, which refuses all.
-@query("apply_ops", f"SELECT plan_id, CASE WHEN s % 3 = 0 THEN 'Room 1' ELSE 'hall' END AS name, {r('CASE WHEN s % 3 = 0 THEN t ELSE 0.4 END', 'thickness')}, CASE WHEN s % 3 = 0 THEN 0.0 ELSE -0.5 END AS y, s % 3 = 0 AS refused FROM ({BASE}) b")
+# Every fifth plan has no ops. All walls are shown with their plans' named rooms; the straight run of w1 moves with it.
+@query("apply_ops", f"""SELECT plan_id, wall_id, {r("CASE WHEN done AND wall_id = 'w1' THEN 0.4 ELSE thickness END", 'thickness')}, {r("y1 - CASE WHEN done AND y1 = 0 THEN 0.5 ELSE 0 END", 'y1')}, CASE WHEN done THEN 1 ELSE 0 END AS halls, s % 3 = 0 AND s % 5 <> 0 AS refused
+    FROM ({WALLS}) w JOIN (SELECT plan_id, s, s % 3 <> 0 AND s % 5 <> 0 AS done FROM ({BASE}) b) c USING (plan_id)""")
 def apply_ops(spark, sf):
     b = lay(spark, sf, "base")
     thick = F.when(num() % 3 == 0, "9.0").otherwise("0.4")
@@ -278,9 +283,10 @@ def apply_ops(spark, sf):
     ops = b.select(*PLAN, F.explode(F.array(
         one(1, "set_room_name", F.lit('{"roomId": "r1", "name": "hall"}')), one(2, "set_wall_thickness", F.concat(F.lit('{"wallId": "w1", "thickness": '), thick, F.lit("}"))),
         one(3, "move_wall", F.lit('{"wallId": "w1", "dx": 0.0, "dy": -0.5}')))).alias("o")).select(*PLAN, "o.*")
-    t, rej = J.apply_ops(plan_tables(spark, sf), ops)
-    out = t.rooms.filter("room_id = 'r1'").select("plan_id", "name").join(t.walls.filter("wall_id = 'w1'").select("plan_id", r6("thickness").alias("thickness")), "plan_id")
-    out = out.join(t.vertices.filter("vertex_id = 'v1'").select("plan_id", r6("y").alias("y")), "plan_id")
+    t, rej = J.apply_ops(plan_tables(spark, sf), ops.filter(num() % 5 != 0))
+    ends = t.vertices.select(*PLAN, F.col("vertex_id").alias("a"), r6("y").alias("y1"))
+    out = t.walls.join(ends, [*PLAN, "a"]).select("plan_id", "wall_id", r6("thickness").alias("thickness"), "y1")
+    out = out.join(t.rooms.groupBy("plan_id").agg(F.count_if(F.col("name") == "hall").cast("int").alias("halls")), "plan_id")
     return out.join(rej.select("plan_id", F.lit(True).alias("refused")).distinct(), "plan_id", "left").withColumn("refused", F.coalesce("refused", F.lit(False)))
 
 

@@ -130,25 +130,36 @@ def cluster_normals(spark, sf):
     return c.select("scan_id", *[(F.rint(f"n{a}") + F.lit(0.0)).alias(f"n{a}") for a in "xyz"], "planes", r6("area").alias("area"))
 
 
-@query("gravity", f"SELECT DISTINCT scan_id, 0.0::DOUBLE AS ux, 0.0::DOUBLE AS uy, 1.0::DOUBLE AS uz, FALSE AS uncertain FROM ({PM}) p")
+# Scans lie on their side by number: x, y or z is upright.
+@query("gravity", f"""SELECT scan_id, CASE WHEN k = 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS ux, CASE WHEN k = 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS uy, CASE WHEN k = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS uz, FALSE AS uncertain
+    FROM (SELECT DISTINCT scan_id, CAST(substring(scan_id, 2) AS INT) % 3 AS k FROM ({PM}) p) q""")
 def gravity(spark, sf):
     pts = scan_points(spark, sf)
+    k = F.substring("scan_id", 2, 9).cast("int") % 3
+    turned = lambda n, a, b, c: F.when(k == 1, F.col(n + a)).when(k == 2, F.col(n + b)).otherwise(F.col(n + c))
+    pts = pts.withColumns({n + c: turned(n, *of) for n in ("", "n") for c, of in (("x", "zyx"), ("y", "xzy"), ("z", "yxz"))})
     planes = N.settle(N.coarse_planes(pts, min_points=60))
     up = N.gravity(N.cluster_normals(planes), N.extents(pts))
     return N.orient_up(up, planes).select("scan_id", *[clean(F.col(f"u{c}"), 3).alias(f"u{c}") for c in "xyz"], "uncertain")
 
 
-# Level planes at two heights per scan: up runs from the lower to the upper one.
-_TWO = """SELECT concat('B', CAST(p_partkey AS STRING)) AS scan_id, 1 AS plane, CAST(10 + p_size AS DOUBLE) AS area, CAST(p_partkey % 9 AS DOUBLE) AS cz FROM {part}
-    UNION ALL SELECT concat('B', CAST(p_partkey AS STRING)), 2, CAST(20 - p_size AS DOUBLE), CAST(p_partkey % 7 AS DOUBLE) + CAST(0.5 AS DOUBLE) FROM {part}"""
+# Leaning planes of three areas per scan, and a large upright one that has no say: up runs from the lower to
+# the upper one of the two largest, seen along the leaning direction.
+_LEANING = """SELECT scan_id, plane, area, cx, cz, CASE WHEN plane = 4 THEN CAST(1 AS DOUBLE) ELSE CAST(0.6 AS DOUBLE) END AS nx, CASE WHEN plane = 4 THEN CAST(0 AS DOUBLE) ELSE CAST(0.8 AS DOUBLE) END AS nz FROM (
+    SELECT concat('B', CAST(p_partkey AS STRING)) AS scan_id, 1 AS plane, CAST(10 + p_size AS DOUBLE) AS area, CAST(p_partkey % 11 AS DOUBLE) AS cx, CAST(p_partkey % 9 AS DOUBLE) AS cz FROM {part}
+    UNION ALL SELECT concat('B', CAST(p_partkey AS STRING)), 2, CAST(50 - p_size AS DOUBLE), CAST((p_partkey % 5) * 3 AS DOUBLE), CAST(p_partkey % 7 AS DOUBLE) + CAST(0.3 AS DOUBLE) FROM {part}
+    UNION ALL SELECT concat('B', CAST(p_partkey AS STRING)), 3, CAST(20 + p_partkey % 13 AS DOUBLE), CAST(0 - p_partkey % 6 AS DOUBLE), CAST(p_partkey % 4 AS DOUBLE) + CAST(0.7 AS DOUBLE) FROM {part}
+    UNION ALL SELECT concat('B', CAST(p_partkey AS STRING)), 4, CAST(100 AS DOUBLE), CAST(40 AS DOUBLE), CAST(40 AS DOUBLE) FROM {part}) q"""
 
 
-@query("orient_up", f"""SELECT scan_id, 0.0::DOUBLE AS ux, 1.0::DOUBLE AS uz FROM (SELECT concat('B', CAST(p_partkey AS STRING)) AS scan_id, p_partkey AS s FROM part) p""")
+@query("orient_up", f"""SELECT scan_id, {r('0.6 * s', 'ux')}, {r('0.8 * s', 'uz')} FROM (
+    SELECT scan_id, CASE WHEN 0.6 * (arg_max(cx, cz) - arg_min(cx, cz)) + 0.8 * (max(cz) - min(cz)) >= 0 THEN 1.0::DOUBLE ELSE -1.0 END AS s FROM (
+        SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY area DESC, plane) AS k FROM ({_LEANING.format(part='part')}) p WHERE plane < 4) t WHERE k <= 2 GROUP BY scan_id) u""")
 def orient_up(spark, sf):
-    planes = sql(spark, sf, _TWO).withColumns({"nx": F.lit(0.0), "ny": F.lit(0.0), "nz": F.lit(1.0), "cx": F.lit(0.0), "cy": F.lit(0.0)})
+    planes = sql(spark, sf, _LEANING).withColumns({"ny": F.lit(0.0), "cy": F.lit(0.0)})
+    odd = F.when(F.col("p_partkey") % 2 == 0, -1.0).otherwise(F.lit(1.0))
     up = load(spark, sf, "part").select(
-        F.concat(F.lit("B"), F.col("p_partkey").cast("string")).alias("scan_id"), F.lit(0.0).alias("ux"), F.lit(0.0).alias("uy"),
-        F.when(F.col("p_partkey") % 2 == 0, -1.0).otherwise(F.lit(1.0)).alias("uz"), F.lit(0.0).alias("ax"), F.lit(0.0).alias("ay"), F.lit(1.0).alias("az"), F.lit(False).alias("uncertain"), F.lit(False).alias("forced"),
+        F.concat(F.lit("B"), F.col("p_partkey").cast("string")).alias("scan_id"), (odd * 0.6).alias("ux"), F.lit(0.0).alias("uy"), (odd * 0.8).alias("uz"), F.lit(0.0).alias("ax"), F.lit(0.0).alias("ay"), F.lit(1.0).alias("az"), F.lit(False).alias("uncertain"), F.lit(False).alias("forced"),
     )
     return N.orient_up(up, planes).select("scan_id", r6("ux").alias("ux"), r6("uz").alias("uz"))
 

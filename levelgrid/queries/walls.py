@@ -41,7 +41,7 @@ def vertical_points(spark, sf):
 _CP = """SELECT concat('C', CAST(c_custkey % 3 AS STRING)) AS scan_id, c_custkey AS id, CAST(CASE WHEN c_custkey % 3 = 1 THEN 0 ELSE (c_custkey * 37) % 199 END AS DOUBLE) / CAST(10 AS DOUBLE) AS x,
     CAST(CASE WHEN c_custkey % 3 = 2 THEN 0 ELSE (c_custkey * 53) % 211 END AS DOUBLE) / CAST(10 AS DOUBLE) AS y, CAST(CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE (c_custkey * 71) % 223 END AS DOUBLE) / CAST(10 AS DOUBLE) AS z FROM {customer}"""
 CP = _CP.format(customer="customer")
-_KNN = f"""SELECT scan_id, id, nid, k AS rank, gap FROM (SELECT a.scan_id, a.id, b.id AS nid, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS gap,
+_KNN = f"""SELECT scan_id, id, nid, nx, ny, nz, k AS rank, gap FROM (SELECT a.scan_id, a.id, b.id AS nid, b.x AS nx, b.y AS ny, b.z AS nz, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS gap,
     row_number() OVER (PARTITION BY a.scan_id, a.id ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)), b.id) AS k FROM ({CP}) a JOIN ({CP}) b USING (scan_id)) q WHERE k <= 8"""
 
 
@@ -50,9 +50,17 @@ def knn(spark, sf):
     return tiles.knn(sql(spark, sf, _CP), 8, ["scan_id"], 2.0).select("scan_id", "id", "nid", "rank", r6("gap").alias("gap"))
 
 
-@query("curvature", f"SELECT scan_id, id, 0.0::DOUBLE AS curvature FROM ({CP}) p")
+# The sheets crumpled by up to 2 m. The least eigenvalue of a neighbourhood's scatter in closed form.
+_CRUMPLED = f"SELECT scan_id, id, x + (id * 29) % 17 / 10.0 AS x, y + (id * 31) % 19 / 10.0 AS y, z + (id * 23) % 13 / 10.0 AS z FROM ({_CP}) c"
+_NEAR = _KNN.replace(CP, _CRUMPLED.format(customer="customer"))
+_SCATTER = "SELECT scan_id, id, " + ", ".join(f"sum(n{a} * n{b}) - sum(n{a}) * sum(n{b}) / count(*) AS c{a}{b}" for a, b in ("xx", "yy", "zz", "xy", "xz", "yz")) + f" FROM ({_NEAR}) k GROUP BY 1, 2"
+_EIGEN = f"""SELECT scan_id, id, q + 2 * p * cos(acos(least(1.0, greatest(-1.0, ((cxx - q) * ((cyy - q) * (czz - q) - cyz * cyz) - cxy * (cxy * (czz - q) - cyz * cxz) + cxz * (cxy * cyz - (cyy - q) * cxz)) / (2 * p * p * p)))) / 3 + 2 * pi() / 3) AS eig FROM (
+    SELECT *, sqrt(((cxx - q) * (cxx - q) + (cyy - q) * (cyy - q) + (czz - q) * (czz - q) + 2 * (cxy * cxy + cxz * cxz + cyz * cyz)) / 6) AS p FROM (SELECT *, (cxx + cyy + czz) / 3 AS q FROM ({_SCATTER}) s) t) u"""
+
+
+@query("curvature", f"SELECT scan_id, id, {r('eig', 'curvature', 5)} FROM ({_EIGEN}) e")
 def curvature(spark, sf):
-    k = settle(tiles.knn(sql(spark, sf, _CP), 8, ["scan_id"], 2.0))
+    k = settle(tiles.knn(sql(spark, sf, _CRUMPLED), 8, ["scan_id"], 2.0))
     return S.curvature(k, ["scan_id"]).select("scan_id", "id", clean(F.col("curvature"), 5).alias("curvature"))
 
 
@@ -114,9 +122,13 @@ def _whole_planes(spark, sf):
 _WHOLE = _FIT.format(g="c + 0 AS wall")
 
 
-@query("on_hull", f"SELECT scan_id, level_index, CAST(wall AS BIGINT) AS plane, TRUE AS on_hull FROM ({_WHOLE}) q")
+# Planes moved inwards by 0, 50, 100 mm, ...: those within 80 mm are on the hull.
+@query("on_hull", f"SELECT scan_id, level_index, CAST(wall AS BIGINT) AS plane, (CAST(substring(scan_id, 2) AS INT) + wall) % 4 <= 1 AS on_hull FROM ({_WHOLE}) q")
 def on_hull(spark, sf):
     planes, p = _whole_planes(spark, sf)
+    deep = (F.substring("scan_id", 2, 9).cast("int") + F.col("plane")) % 4 * 0.05
+    inward = g.dot(g.xy("nx", "ny"), g.sub(g.P(F.lit(4.0), F.lit(3.0)), g.xy("mx", "my")))
+    planes = planes.withColumn("offset", F.col("offset") + F.when(inward > 0, deep).otherwise(-deep))
     return S.on_hull(planes, p).select("scan_id", "level_index", "plane", "on_hull")
 
 
