@@ -231,7 +231,8 @@ def _shingled(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """One row per document: doc_id, text_hash, key, class_id (least doc_id of its class), n_links (documents it is alike to)."""
+    """One row per document: doc_id, text_hash, key, class_id and class_hash (least doc_id of its class and the
+    text hash of that row; no hash where it is alone), n_links (documents it is alike to)."""
     base = describe(docs)
     known = base.filter("key is not null")
     least = F.min(F.struct(F.coalesce("doc_id", F.lit(-1)).alias("rep"), F.col("text_hash").alias("rep_hash")))
@@ -255,19 +256,19 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TO
     links = settle(_in_pairs(compared, ["key", "block", "copies", "sig", "shingles"], _compare(threshold, tolerance, True)))
     joined = connected_components(links.filter("key <> root").select(F.col("key").alias("u"), F.col("root").alias("v")))
 
-    grouped = texts.select("key", "rep", "copies").join(joined.withColumnRenamed("id", "key"), "key", "left")
+    grouped = texts.select("key", "rep", "rep_hash", "copies").join(joined.withColumnRenamed("id", "key"), "key", "left")
     linked = links.groupBy("key").agg(F.sum("linked").alias("linked"))
     told = grouped.filter("component is not null or copies > 1").join(linked, "key", "left")
     told = settle(told.withColumn("component", F.coalesce("component", "key")))
-    least = told.groupBy("component").agg(F.min("rep").alias("class_id"))
-    side = told.join(least, "component").select("key", "class_id", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    least = told.groupBy("component").agg(F.min(F.struct(F.col("rep").alias("class_id"), F.col("rep_hash").alias("class_hash"))).alias("of"))
+    side = told.join(least, "component").select("key", "of.*", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     rows = base.select("doc_id", "text_hash", "key").join(side, "key", "left")
-    return rows.select("doc_id", "text_hash", "key", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return rows.select("doc_id", "text_hash", "key", F.coalesce("class_id", "doc_id").alias("class_id"), "class_hash", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """One document of every class, that with the least doc_id, with its own columns."""
-    found = classes(docs, threshold, tolerance)
-    gone = found.filter("doc_id <> class_id").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    """One document of every class, that with the least doc_id (then text hash), with its own columns."""
+    found = classes(docs, threshold, tolerance).withColumn("_id", F.coalesce("doc_id", F.lit(-1)))
+    gone = found.filter("_id <> class_id or text_hash <> class_hash").select("_id", F.col("text_hash").alias("_hash")).distinct()
     marked = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_hash": F.xxhash64("text")})
     return marked.join(settle(gone), ["_id", "_hash"], "left_anti").dropDuplicates(["_id", "_hash"]).select(*docs.columns)

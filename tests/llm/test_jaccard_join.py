@@ -82,3 +82,12 @@ def test_edge_cases(edge_docs, no_docs):
     assert kept.columns == edge_docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "5", "None"]
     assert J.classes(no_docs).collect() == [] and J.deduplicate(no_docs).collect() == []
+
+
+def test_one_stays_of_a_class_with_shared_or_no_ids(frame):
+    """Near copies under one id, or without an id, are told apart by their texts."""
+    near = [" ".join(f"w{i}" for i in range(60)) + end for end in ("", " x", " y")]
+    for ids in ([7, 7, 7], [None, None, None], [None, 7, 7]):
+        docs = frame("doc_id long, text string", [{"doc_id": i, "text": t} for i, t in zip(ids, near)])
+        kept = J.deduplicate(docs).collect()
+        assert len(kept) == 1 and kept[0].text in near
