@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from levelgrid.functions.graph import connected_components
 from levelgrid.llm import text as T
-from levelgrid.session import settle
+from levelgrid.session import attach, settle
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -179,9 +179,13 @@ def _compare(threshold: float, tolerance: float, exact: bool):
 
 
 def _paired(members: DataFrame, weight) -> DataFrame:
-    """Deal the members of every component into random blocks of bounded weight, and these to pairs of blocks."""
-    total = members.groupBy("component").agg(F.ceil(F.sum(weight) / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(total, "component").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    """Deal the members of every component into random blocks of bounded weight, and these to pairs of blocks.
+
+    Only components of several blocks are looked up; they are few, and members of a large one stay where they are.
+    """
+    total = members.groupBy("component").agg(F.ceil(F.sum(weight) / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
+    dealt = attach(members, total, ["component"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = dealt.withColumn("other", other)
     return rows.withColumns({"first": F.least("block", "other"), "second": F.greatest("block", "other")}).drop("other", "blocks")
