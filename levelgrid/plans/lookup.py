@@ -274,8 +274,9 @@ def parallel_neighbors(t: PlanTables, strip: float = 1.0) -> DataFrame:
     """Nearest parallel wall on each side of every wall whose span overlaps it.
 
     Walls are cut into strips of their axis, at the angle class of the wall:
-    only walls of one class that share a strip of one storey meet. Within a
-    strip each wall looks at the next few ones on each side.
+    only walls of one class that share a strip of one storey meet. All walls
+    of a strip are measured against each other, so the work of a strip grows
+    with the square of the walls along it.
     """
     fr = _frames(t)
     turn = F.pmod(F.degrees(F.atan2("dy", "dx")), F.lit(180.0))

@@ -278,14 +278,11 @@ def stream_job_state(spark, sf):
     return run(spark, S.stream_job_state(job_events(spark, sf)), "update", ["job_id"]).select("job_id", "state", "finished", "updates")
 
 
-@query("stream_cancel", f"SELECT p.event_id AS seq, EXISTS (SELECT 1 FROM events c WHERE c.user_id = p.user_id AND c.event_type = 'error' AND c.event_id <> p.event_id AND c.ts <= p.ts AND c.ts >= p.ts - INTERVAL 1 HOUR) AS cancelled FROM events p WHERE p.event_type = 'click'")
+@query("stream_cancel", "SELECT event_id AS seq, coalesce(ts >= first_at, FALSE) AS cancelled FROM events LEFT JOIN (SELECT user_id, min(ts) AS first_at FROM events WHERE event_type = 'error' GROUP BY 1) c USING (user_id)")
 def stream_cancel(spark, sf):
-    p = job_events(spark, sf).join(load(spark, sf, "events").filter("event_type = 'click'").select(F.col("event_id").alias("seq")), "seq", "left_semi")
     c = stream(spark, sf, "events").filter("event_type = 'error'").select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"))
-    out = run(spark, S.stream_cancel(p, c), "append")
-    # The last hour stays in state until later events pass the watermark; settle it by the batch table.
-    missing = load(spark, sf, "events").filter("event_type = 'click'").join(out.select(F.col("seq").alias("event_id")), "event_id", "left_anti")
-    return out.groupBy("seq").agg(F.bool_or("cancelled").alias("cancelled")).unionByName(missing.select(F.col("event_id").alias("seq"), F.lit(False).alias("cancelled")))
+    first = run(spark, S.stream_first_cancels(c), "update", ["job_id"])
+    return run(spark, S.stream_cancel(job_events(spark, sf), first), "append").select("seq", "cancelled")
 
 
 @query("stream_transfers", "SELECT o_custkey AS transfer_id, CAST(sum(o_orderkey) AS BIGINT) AS bytes, count(*) AS chunks, sum(o_orderkey) > 60000 AS rejected FROM orders GROUP BY 1")

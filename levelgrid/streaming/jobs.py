@@ -34,16 +34,20 @@ def stream_job_state(events: DataFrame) -> DataFrame:
     return out.select("job_id", pick("state").alias("state"), pick("progress").alias("progress"), "finished", "updates")
 
 
-def stream_cancel(progress: DataFrame, cancels: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Stage boundaries with `cancelled`: a cancel of the job came before the boundary.
+def stream_first_cancels(cancels: DataFrame) -> DataFrame:
+    """First cancel of every cancelled job (update mode); the state is one time per such job."""
+    return cancels.groupBy("job_id").agg(F.min("ts").alias("cancelled_at"))
 
-    A stream-stream left join within one event-time bound, so both states expire.
+
+def stream_cancel(progress: DataFrame, first: DataFrame) -> DataFrame:
+    """Stage boundaries with `cancelled`: a cancel of the job came at or before the boundary (append mode).
+
+    `first` is the table of `stream_first_cancels`. A boundary gives one row, however many cancels its job has
+    and however long ago they came, and waits for no later event.
     """
-    p = progress.withWatermark("ts", delay).alias("p")
-    c = cancels.select(F.col("job_id").alias("_job"), F.col("ts").alias("_cts")).withWatermark("_cts", delay).alias("c")
-    on = F.expr(f"p.job_id = c._job AND c._cts <= p.ts AND c._cts >= p.ts - interval {delay}")
-    out = p.join(c, on, "leftOuter")
-    return out.select("p.*", F.col("_cts").isNotNull().alias("cancelled"))
+    side = first.select(F.col("job_id").alias("_job"), F.col("cancelled_at").alias("_at"))
+    out = progress.join(side, F.expr("job_id = _job AND _at <= ts"), "leftOuter")
+    return out.select(*progress.columns, F.col("_at").isNotNull().alias("cancelled"))
 
 
 def stream_transfers(chunks: DataFrame, limit: int) -> DataFrame:
