@@ -2,8 +2,12 @@
 
 A text is the mean of the embeddings of its subword grams (2 to 4 code points within a word and its borders,
 hashed into a table); a linear layer and a softmax give the languages. Trained by stochastic gradient descent
-in numpy on a bounded sample of labelled rows. A temperature fitted on held-back rows calibrates the score, and
-a threshold set on them rejects texts that look like no learned language.
+in numpy on a bounded sample of labelled rows. A temperature fitted on held-back rows calibrates the score.
+
+A text is rejected by the share of its grams that stand in no learned row, whatever its score: a softmax is
+sure of foreign texts, and unsure of mixed texts of learned languages, whose grams are all known. The bound on
+the share of known grams comes from the rows themselves, each against all others (learned) and against those
+of other languages (as if its own had not been learned).
 
 Defined cases: a null text, or one without letters, is `und` with score 0 and rejected; with nothing to learn
 from, all texts are `und`; ties between languages go to the first in alphabetical order.
@@ -28,10 +32,12 @@ ORDERS = (2, 3, 4)
 SAMPLE_ROWS = 600
 SAMPLE_CHARS = 20_000
 EPOCHS = 6
-# Share of held-back rows that the threshold may reject.
-REJECT = 0.001
-# The threshold lies this far below the score found on them, so that mixed texts of known languages stay.
-MARGIN = 0.75
+# Grams known from learning are bits of a table of this size; the embeddings' buckets are its low bits.
+SEEN = 1 << 22
+# Share of learned rows that the threshold may reject, and share of the rows of every left-out language that it
+# should catch; it lies between the two bounds, or at the first where they cross.
+REJECT = 0.005
+CATCH = 0.95
 SEED = 7
 
 UNKNOWN = "und"
@@ -70,24 +76,30 @@ def features(text: str | None, orders=ORDERS, buckets: int = BUCKETS) -> np.ndar
 
 @dataclass
 class Model:
-    """Languages, the product of embeddings and output layer (bucket by language), temperature, threshold."""
+    """Languages, the product of embeddings and output layer (bucket by language), temperature, least share of
+    known grams, bits of the known grams."""
 
     langs: list[str]
     table: np.ndarray
     bias: np.ndarray
     temperature: float
     threshold: float
+    seen: np.ndarray
 
     def logits(self, ids: np.ndarray) -> np.ndarray:
-        return self.table[ids].sum(0, dtype=np.float64) / len(ids) + self.bias
+        return self.table[ids & (len(self.table) - 1)].sum(0, dtype=np.float64) / len(ids) + self.bias
+
+    def known(self, ids: np.ndarray) -> float:
+        """Share of the grams that stand in a learned row."""
+        return float((self.seen[ids >> 3] >> (ids & 7) & 1).mean())
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        ids = features(text)
+        ids = features(text, buckets=SEEN)
         if not len(ids) or not self.langs:
             return UNKNOWN, 0.0, True
         p = _softmax(self.logits(ids) / self.temperature)
         best = int(p.argmax())
-        return self.langs[best], float(p[best]), bool(p[best] < self.threshold)
+        return self.langs[best], float(p[best]), self.known(ids) < self.threshold
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -95,18 +107,48 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
+def knowledge(docs: list[tuple[np.ndarray, np.ndarray, int]], reject: float = REJECT, catch: float = CATCH) -> tuple[np.ndarray, float]:
+    """Bits of all grams of the (grams, counts, language) rows, and the least share of known grams to ask for.
+
+    A row's grams are known if they stand in another row; without its language, if in a row of another one.
+    The threshold lies halfway between that which rejects `catch` of every left-out language and that which
+    rejects `reject` of the rows, and never over the latter.
+    """
+    grams = np.concatenate([g for g, *_ in docs])
+    counts = np.concatenate([c for _, c, _ in docs])
+    doc = np.repeat(np.arange(len(docs)), [len(g) for g, *_ in docs])
+    truth = np.array([lang for *_, lang in docs])
+    every, at = np.unique(grams, return_inverse=True)
+    rows = np.bincount(at)[at]
+    _, own = np.unique(at * (truth.max() + 1) + truth[doc], return_inverse=True)
+    own = np.bincount(own)[own]
+    total = np.bincount(doc, counts)
+    among = np.sort(np.bincount(doc, counts * (rows > 1)) / total)
+    without = np.bincount(doc, counts * (rows > own)) / total
+    threshold = float(among[int(reject * len(among))])
+    if truth.min() != truth.max():
+        # Just over the share of the last row to be caught.
+        caught = max(np.quantile(without[truth == lang], catch, method="higher") for lang in np.unique(truth))
+        threshold = min(threshold, (threshold + float(np.nextafter(caught, 2))) / 2)
+    bits = np.zeros(SEEN, bool)
+    bits[every] = True
+    return np.packbits(bits, bitorder="little"), threshold
+
+
 def train(rows: list[tuple[str, str]], buckets: int = BUCKETS, width: int = WIDTH, epochs: int = EPOCHS, reject: float = REJECT) -> Model:
-    """Learn from (text, language) rows; every fifth row is held back for calibration."""
+    """Learn from (text, language) rows; every fifth row is held back to calibrate the score."""
     langs = sorted({lang for _, lang in rows})
     rng = np.random.default_rng(SEED)
-    docs = []
+    docs, whole = [], []
     for text, lang in rows:
-        ids = features(text, buckets=buckets)
+        ids = features(text, buckets=SEEN)
         if len(ids):
+            whole.append((*np.unique(ids, return_counts=True), langs.index(lang)))
+            ids &= buckets - 1
             unique, counts = np.unique(ids, return_counts=True)
             docs.append((unique, (counts / len(ids)).astype(np.float32), langs.index(lang)))
     if not docs:
-        return Model([], np.zeros((buckets, 0), np.float32), np.zeros(0), 1.0, 1.0)
+        return Model([], np.zeros((buckets, 0), np.float32), np.zeros(0), 1.0, 1.0, np.zeros(SEEN >> 3, np.uint8))
     order = rng.permutation(len(docs))
     held = [docs[i] for i in order[::5]] if len(docs) >= 20 else docs
     used = [docs[i] for j, i in enumerate(order) if j % 5] if len(docs) >= 20 else docs
@@ -131,9 +173,8 @@ def train(rows: list[tuple[str, str]], buckets: int = BUCKETS, width: int = WIDT
     truth = np.array([lang for *_, lang in held])
     loss = lambda t: -np.log(np.maximum(_softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean()
     temperature = min(np.geomspace(0.05, 20, 60), key=loss)
-    top = np.sort(_softmax(logits / temperature).max(1))
-    threshold = float(top[int(reject * len(top))]) * MARGIN
-    return Model(langs, table.astype(np.float32), bias, float(temperature), threshold)
+    seen, threshold = knowledge(whole, reject)
+    return Model(langs, table.astype(np.float32), bias, float(temperature), threshold, seen)
 
 
 def spread(column: Column) -> Column:

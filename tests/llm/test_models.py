@@ -41,6 +41,46 @@ def test_rejection(spark):
     assert model.predict("1234 %%%")[2]
 
 
+FOREIGN = [
+    "La mattina il mercato si riempie di gente che compra frutta fresca e parla del tempo e delle notizie della città.",
+    "De manhã o mercado enche-se de pessoas que compram fruta fresca e falam do tempo e das notícias da cidade.",
+    "'s Ochtends loopt de markt vol met mensen die vers fruit kopen en over het weer en het nieuws van de stad praten.",
+    "Rano targ zapełnia się ludźmi, którzy kupują świeże owoce i rozmawiają o pogodzie oraz o wiadomościach z miasta.",
+    "Утром рынок наполняется людьми, которые покупают свежие фрукты и говорят о погоде и новостях города.",
+    "早上市场里挤满了买新鲜水果的人，他们谈论天气和城市里的新闻。",
+    "Aamulla tori täyttyy ihmisistä, jotka ostavat tuoreita hedelmiä ja puhuvat säästä ja kaupungin uutisista.",
+    "Sabahları pazar, taze meyve alan ve havadan, şehrin haberlerinden konuşan insanlarla dolup taşar.",
+    "Reggel a piac megtelik emberekkel, akik friss gyümölcsöt vesznek, és az időjárásról meg a város híreiről beszélgetnek.",
+]
+
+
+def test_unlearned_languages_are_rejected(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = queries.language_model(docs)
+    assert all(model.predict(t)[2] for t in FOREIGN)
+    held = docs.filter("text is not null and length(text) > 200 and crc32(cast(cast(doc_id as string) as binary)) % 3 = 1").select("text", "lang").collect()
+    assert np.mean([model.predict(r.text)[2] for r in held]) < 0.01
+    # Half of one language, half of another: no language is unlearned.
+    mixed = [a.text[:600] + " " + b.text[:600] for a, b in zip(held, held[1:]) if a.lang != b.lang]
+    assert len(mixed) > 50 and np.mean([model.predict(t)[2] for t in mixed]) < 0.01
+
+
+def test_left_out_language_is_rejected(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = langid.sample(docs)
+    for lang in ("de", "fr", "es"):
+        model = langid.train([r for r in rows if r[1] != lang])
+        assert np.mean([model.predict(t)[2] for t, other in rows if other == lang]) > 0.9
+
+
+def test_rejected_share_is_a_quantile():
+    # 200 rows of three grams each; 5 of them hold grams of their own.
+    docs = [(np.array([1, 2, 3 if i >= 5 else 100 + i]), np.ones(3), i % 2) for i in range(200)]
+    for reject, bound in ((0.0, 2 / 3), (0.03, 1.0)):
+        seen, threshold = langid.knowledge(docs, reject)
+        assert np.isclose(threshold, bound) and seen.sum() > 0
+
+
 def test_toxicity_held_out(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rows = queries.op4(spark, SF).join(labels.select("doc_id", "toxic"), "doc_id").filter("held_out").collect()
