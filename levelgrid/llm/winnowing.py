@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from levelgrid.llm import text as T
 
 K = 16
-WINDOW = 64
+# Two texts that share K + WINDOW - 1 = 23 code points are sure to meet. So a text of 32 or more is neither apart
+# from nor equal to itself with a quarter replaced, unless its grams repeat.
+WINDOW = 8
 # Ranges of ids for each shuffle partition.
 RANGES = 4
 

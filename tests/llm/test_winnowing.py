@@ -40,6 +40,15 @@ def test_common_run_is_found():
         assert any(a[p : p + W.K] == b[q : q + W.K] and 200 <= p < 200 + len(run) for p, q in found)
 
 
+def test_short_texts_keep_several_hashes():
+    rng = np.random.default_rng(2)
+    word = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    for n in range(32, 160):
+        text = word(n)
+        own, other = (W.winnow(t)[0] for t in (text, W.edited(text, word(n))))
+        assert 0 < W.likeness(own, other) < 1
+
+
 def expected(rows):
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     out = []
