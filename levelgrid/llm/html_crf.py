@@ -10,8 +10,9 @@ Labelled pages: a bounded sample of the given pages, labelled by the elements th
 and surroundings are renamed and extended, so that weights do not rest on one page layout.
 
 Defined cases: a null or empty page has no text; a page without labelled main text gives an empty text; white
-space is that of Unicode; unclosed and stray tags are tolerated; scripts, styles, comments and templates are no
-blocks; repeated pages are extracted one by one.
+space is that of Unicode; unclosed and stray tags are tolerated; scripts, styles, comments, templates and raw text
+(textarea, iframe, noembed, noframes) are no blocks; formulas, drawings, objects and noscript are read like other
+elements; repeated pages are extracted one by one.
 """
 
 from __future__ import annotations
@@ -41,7 +42,12 @@ BLOCKS = set(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary "
     "table tbody td tfoot th thead title tr ul".split()
 )
-SILENT = {"script", "style", "noscript", "template", "textarea", "svg", "math", "iframe", "object", "canvas", "audio", "video", "noembed", "noframes"}
+# Content that is no markup: scripts, styles, templates, and the elements that HTML reads as raw text.
+SILENT = {"script", "style", "template", "textarea", "iframe", "noembed", "noframes"}
+# Elements shown apart from the text around them, and those in which a slash closes an element.
+APART = {"noscript", "svg", "math", "object", "canvas", "audio", "video"}
+FOREIGN = {"svg", "math"}
+APART_FOREIGN = {"title", "desc", "text"}
 VOID = set("area base br col embed frame hr img input link meta param source track wbr".split())
 CLOSED_BY_BLOCK = {"p"}
 CLOSED_BY_SELF = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tr": {"table"}, "option": {"select"}}
@@ -105,8 +111,13 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if not found[1]:
             continue
         name = found[1].lower()
+        foreign = any(n in FOREIGN for n, _ in stack)
+        if name in APART or (foreign and name in APART_FOREIGN):
+            pieces.append(" ")
+        # A title within a drawing is not that of the page.
+        block = name in BLOCKS and not (name == "title" and foreign)
         if found[0][1] == "/":
-            if name in BLOCKS:
+            if block:
                 close(name)
             else:
                 for i in range(len(stack) - 1, -1, -1):
@@ -124,13 +135,13 @@ def leaf_blocks(page: str | None) -> list[Block]:
             continue
         if name == "br":
             pieces.append(" ")
-        if name in BLOCKS:
+        if block:
             flush()
             for p in CLOSED_BY_BLOCK:
                 close(p, {"table", "td", "th", "button", "object"})
             if name in CLOSED_BY_SELF:
                 close(name, CLOSED_BY_SELF[name])
-        if name in VOID:
+        if name in VOID or (found[2].endswith("/") and (foreign or name in FOREIGN)):
             continue
         words: tuple[str, ...] = ()
         if found[2]:

@@ -21,6 +21,16 @@ def test_blocks():
     assert H.leaf_blocks(None) == H.leaf_blocks("") == H.leaf_blocks("<p> </p>") == []
 
 
+def test_only_raw_content_is_skipped():
+    texts = lambda page: [b.text for b in H.leaf_blocks(page)]
+    page = "<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds<noscript><p>plain</p></noscript><object data=a><p>in <object>two</object> out</p></object><svg><style>p{}</style><title>t</title><path d=''/><text>drawn</text></svg></article>"
+    assert " ".join(texts(page)) == "so x=2 holds plain in two out t drawn"
+    for name in ("noscript", "object", "svg", "math", "canvas", "audio", "video"):
+        assert texts(f"<div><{name}>a</div><p>rest</p>") == ["a", "rest"]
+    for name in ("script", "style", "template", "textarea", "iframe", "noembed", "noframes"):
+        assert texts(f"<p>a<{name}>no <p>no</p></{name}>b</p>") == ["a b"]
+
+
 @pytest.mark.parametrize("page", ["<", "<p", "</p></div>x", "<p class='>a", "<script>never closed", "&#x110000;&bogus; &#65;", "<![CDATA[x]]>y", "<a<b>c", "<p/>x<br/>y"])
 def test_odd_markup(crf, page):
     H.leaf_blocks(page)
