@@ -328,11 +328,19 @@ def labelled(pages: list[str]) -> list[tuple[list[Block], np.ndarray]]:
 
 
 def sample(pages: DataFrame, rows: int = SAMPLE_PAGES, chars: int = SAMPLE_CHARS) -> list[str]:
-    """At most `rows` pages, chosen by a hash of page_id."""
-    usable = pages.filter(F.col("html").isNotNull() & (F.length("html") <= chars)).select("html", F.xxhash64("page_id").alias("at"))
+    """At most `rows` of the pages with an element that names main text, chosen by a hash of page_id."""
+    usable = pages.filter((F.length("html") <= chars) & F.col("html").rlike(f"(?i)<({'|'.join(sorted(MAIN))})[\\s/>]")).select("html", F.xxhash64("page_id").alias("at"))
     return sorted(r["html"] for r in usable.orderBy("at").limit(rows).collect())
 
 
+def learn(pages: DataFrame) -> Crf:
+    """The model of a sample of the pages. Pages of which none can be labelled are an error, not empty texts."""
+    found = labelled(sample(pages))
+    if not found and not pages.filter(F.length(F.trim("html")) > 0).isEmpty():
+        raise ValueError("no labelled page to learn from: no sampled page has main text in an article or main element")
+    return train(found)
+
+
 def extract(pages: DataFrame, crf: Crf) -> DataFrame:
     """page_id, url, text, n_chars of every page. The model's size is bounded by the labelled sample."""
     T.bound_batches(pages.sparkSession)

@@ -170,8 +170,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_html_extraction")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    crf = html_crf.train(html_crf.labelled(html_crf.sample(pages)))
-    return html_crf.extract(pages, crf)
+    return html_crf.extract(pages, html_crf.learn(pages))
 
 
 @query("op10_jaccard_join")

@@ -87,3 +87,15 @@ def test_table(spark, frame, crf):
     assert sorted((str(r.page_id), r.n_chars) for r in found) == sorted([("1", 0), ("2", 0), ("None", len("words of a long page.\n") * 5000 - 1), ("3", 4)] * 2)
     assert H.extract(frame(schema), crf).collect() == []
     assert H.train([]).extract(long_page) == ""
+
+
+def test_learns_from_pages_that_can_be_labelled(frame):
+    schema = "page_id long, url string, html string"
+    bare = [{"page_id": i, "html": f"<div><p>bare text number {i}</p></div>"} for i in range(H.SAMPLE_PAGES + 250)]
+    with pytest.raises(ValueError, match="no labelled page"):
+        H.learn(frame(schema, bare))
+    named = [{"page_id": -i, "html": f"<nav><a>home</a></nav><ARTICLE class=x><p>Some longer main text, page {i}.</p></ARTICLE>"} for i in range(1, 4)]
+    assert len(H.sample(frame(schema, bare + named))) == 3
+    assert H.learn(frame(schema, bare + named)).names
+    assert not H.learn(frame(schema, [{"page_id": 1}, {"page_id": 2, "html": " "}])).names
+    assert not H.learn(frame(schema)).names
