@@ -30,6 +30,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 30, 5
 HASHES = BANDS * ROWS
+# Share of pairs at the threshold that the bands may fail to propose.
+MISS = 1e-5
 # MinHash values compared at a time, and the posterior probability below which a pair is dropped.
 STEP = 30
 TOLERANCE = 1e-6
@@ -50,6 +52,15 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype("<u4")
 
 
+def banding(threshold: float) -> tuple[int, int]:
+    """Bands and their rows for a threshold: as many rows as keep the loss of pairs at it within MISS."""
+    for rows in range(ROWS, 0, -1):
+        bands = HASHES // rows
+        if (1 - threshold**rows) ** bands <= MISS:
+            return bands, rows
+    raise ValueError(f"threshold {threshold} is too low: {HASHES} MinHash values lose more than {MISS} of the pairs")
+
+
 @lru_cache(maxsize=None)
 def needed(threshold: float = THRESHOLD, tolerance: float = TOLERANCE, hashes: int = HASHES, step: int = STEP) -> dict[int, int]:
     """For n compared values, the least number of equal ones at which P(likeness >= threshold) >= tolerance.
@@ -245,7 +256,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TO
     )
     texts = settle(texts.select("key", "least.*", "copies", "weight", "sig"))
 
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("sig", b * 4 * ROWS + 1, F.lit(4 * ROWS)))))
+    count, rows = banding(threshold)
+    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda b: F.xxhash64(b, F.substring("sig", b * 4 * rows + 1, F.lit(4 * rows)))))
     bands = settle(texts.select("key", band.alias("band")))
     heads = bands.groupBy("band").agg(F.min("key").alias("head"), F.max("key").alias("tail")).filter("head < tail")
     proposed = bands.join(heads.select("band", "head"), "band").filter("key <> head").select(F.col("key").alias("u"), F.col("head").alias("v"))

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from levelgrid.llm import jaccard_join as J
 from levelgrid.llm.text import shingles, words
@@ -91,3 +92,19 @@ def test_one_stays_of_a_class_with_shared_or_no_ids(frame):
         docs = frame("doc_id long, text string", [{"doc_id": i, "text": t} for i, t in zip(ids, near)])
         kept = J.deduplicate(docs).collect()
         assert len(kept) == 1 and kept[0].text in near
+
+
+def test_bands_follow_the_threshold(spark):
+    assert J.banding(J.THRESHOLD) == (J.BANDS, J.ROWS)
+    for bad in (0.0, 0.05):
+        with pytest.raises(ValueError):
+            J.banding(bad)
+    rng, rows = np.random.default_rng(10), []
+    for i in range(40):
+        base = [f"w{i}x{j}" for j in range(100)]
+        kept = int(rng.integers(46, 80))
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[:kept] + [f"v{i}x{j}" for j in range(kept, 100)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for threshold in (0.5, 0.3):
+        assert (1 - threshold ** J.banding(threshold)[1]) ** J.banding(threshold)[0] <= J.MISS
+        assert got(J.classes(docs, threshold)) == brute(rows, threshold)
