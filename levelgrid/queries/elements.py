@@ -328,7 +328,7 @@ def detect_fixtures(spark, sf):
     walls, levels = wall_segments(spark, sf), levels_of(spark, sf)
     cols = settle(O.detect_columns(pts, walls, levels, PLAN))
     f = X.detect_fixtures(pts, levels, walls, cols, None, PLAN)
-    return f.filter("symbol = 'toilet'").select("plan_id", "symbol", *[clean(F.col(c), 2).alias(c) for c in ("x", "y", "width", "depth")])
+    return f.select("plan_id", "symbol", *[clean(F.col(c), 2).alias(c) for c in ("x", "y", "width", "depth")])
 
 
 @query("detect_openings", """SELECT concat('P', CAST(s_suppkey AS STRING)) AS plan_id, k AS kind, CAST(count(*) AS BIGINT) AS n, round(w, 2) AS width FROM supplier, LATERAL (SELECT unnest(generate_series(1, 1 + s_suppkey % 3)) AS i) x, (VALUES ('door', 0.9::DOUBLE), ('window', 1.2::DOUBLE)) v(k, w) GROUP BY ALL""")
