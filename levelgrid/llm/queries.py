@@ -14,6 +14,7 @@ from levelgrid.llm import (
     online_packing,
     reply_trees,
     toxicity,
+    vantage_clusters,
     warc,
     winnowing,
 )
@@ -177,3 +178,42 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "class_id", "n_links")
+
+
+def _op11_sql(count: int = 16, rounds: int = 3) -> str:
+    """Rounds of nearest centroids and floored means, one group of CTEs a round."""
+    apart = "cast(list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as bigint)"
+    steps = [
+        f"""v as materialized (
+  select row_number() over () as rid, vec_id, list_transform(embedding, lambda e: cast(floor(64 * cast(e as double)) as bigint)) as x,
+    sha256('1:' || coalesce(cast(vec_id as varchar), '')) as h
+  from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0
+), c0 as materialized (
+  select row_number() over (order by h, x) - 1 as k, x from v qualify row_number() over (order by h, x) <= {count}
+)"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"a{i} as materialized (select rid, min(struct_pack(d := d, k := k)) as b from (select v.rid, c.k, {apart} as d from v, c{i} as c) group by rid)"
+        )
+        if i < rounds:
+            steps.append(
+                f"""m{i} as materialized (
+  select k, list(cast((s - ((s % n) + n) % n) // n as bigint) order by j) as x
+  from (select a.b.k as k, j, cast(sum(v.x[j]) as hugeint) as s, count(*) as n from a{i} as a join v using (rid), range(1, 65) as r(j) group by 1, 2) group by k
+), c{i + 1} as materialized (select c.k, coalesce(m.x, c.x) as x from c{i} as c left join m{i} as m using (k))"""
+            )
+    return (
+        "with "
+        + ", ".join(steps)
+        + f"""
+select vec_id, cast(b.k as integer) as cluster, b.d as distance, cast(sum(b.d) over (partition by b.k) as bigint) as cluster_inertia,
+  cast(sum(b.d) over () as bigint) as inertia, sha256(array_to_string(list_transform(c.x, lambda e: cast(e as varchar)), ',')) as centroid_sha256
+from a{rounds} as a join v using (rid) join c{rounds} as c on c.k = a.b.k
+"""
+    )
+
+
+@query("op11_vantage_clusters", _op11_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage_clusters.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
