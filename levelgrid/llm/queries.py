@@ -13,6 +13,7 @@ from levelgrid.llm import (
     langid,
     online_packing,
     reply_trees,
+    source_divergence,
     toxicity,
     vantage_clusters,
     warc,
@@ -217,3 +218,41 @@ from a{rounds} as a join v using (rid) join c{rounds} as c on c.k = a.b.k
 @query("op11_vantage_clusters", _op11_sql())
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vantage_clusters.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP13_SQL = r"""
+with d as (
+  select row_number() over () as rid, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text
+  from documents
+), t as (
+  select rid, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d
+), vocab as (
+  select lang, term, count(*) as n from t group by lang, term having count(distinct rid) >= 3
+), size as (select lang, count(*) as v, sum(n) as n from vocab group by lang),
+g as (select distinct lang, source from d),
+c as (select lang, source, term, count(*) as n from t join vocab using (lang, term) group by all),
+gn as (select lang, source, sum(n) as n from c group by all),
+p as materialized (
+  select g.lang, g.source, vocab.term, coalesce(c.n, 0) as n,
+    cast(1 + (1000000000 * cast(coalesce(c.n, 0) + 1 as hugeint)) // (coalesce(gn.n, 0) + size.v) as bigint) as p,
+    cast(1 + (1000000000 * cast(vocab.n + 1 as hugeint)) // (size.n + size.v) as bigint) as q
+  from g join vocab using (lang) join size using (lang) left join c using (lang, source, term) left join gn using (lang, source)
+), pair as (
+  select a.lang, a.source, b.source as item, cast(sum((a.p - b.p) * (a.p - b.p) // b.p) as bigint) as value
+  from p as a join p as b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+), every as (
+  select g.lang, g.source, 'pair' as part, h.source as item, coalesce(value, 0) as value
+  from g join g as h on g.lang = h.lang and g.source <> h.source left join pair on pair.lang = g.lang and pair.source = g.source and pair.item = h.source
+  union all
+  select lang, source, 'term', term, (p - q) * (p - q) // q from p where n > 0 and p > q
+), ranked as (
+  select lang, source, part, item, value, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank from every
+)
+select * from ranked where part = 'pair' or rank <= 200
+"""
+
+
+@query("op13_source_divergence", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(spark.read.parquet(f"{sf_dir}/documents.parquet"))
