@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from levelgrid.llm import (
     best_fit_packing,
     decontaminate,
+    hidden_markov,
     html_crf,
     jaccard_join,
     langid,
@@ -220,6 +221,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vantage_clusters.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+@query("op12_hidden_markov")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_markov.score(spark.read.parquet(f"{sf_dir}/documents.parquet"), _fold("doc_id", 10) == 0)
+
+
 OP13_SQL = r"""
 with d as (
   select row_number() over () as rid, coalesce(lang, '') as lang, coalesce(source, '') as source,
