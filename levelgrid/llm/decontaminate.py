@@ -10,7 +10,7 @@ Words are runs of anything but ASCII other than letters and digits, with A-Z low
 
 Defined cases: null and empty texts have no words and hit nothing; a test of fewer words than a window is one
 window, a test without words matches nothing; repeated documents are searched one by one, repeated test ids
-count once; an empty benchmark leaves every document clean.
+count once; a test without an id has the id ''; an empty benchmark leaves every document clean; columns of any name are kept.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ def _words_column(column: str):
 
 def tests(benchmark: DataFrame) -> DataFrame:
     """item (a number of its own), item_id (string) and words of every test that has words; written once."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), _words_column("text").alias("words"))
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), _words_column("text").alias("words"))
     return settle(items.filter("size(words) > 0").distinct().withColumn("item", F.monotonically_increasing_id()))
 
 
@@ -230,9 +230,10 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without a hit, with their own columns."""
     items = tests(benchmark)
-    marked = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_hash": F.xxhash64("text")})
+    own, same = T.free_names(docs.columns, "_id", "_hash")
+    marked = docs.withColumns({own: F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), same: F.xxhash64("text")})
     # The index goes by rows; a hit is told apart by id and text, so repeated rows share its fate.
     index = build_index(docs, items.select(F.explode("words").alias("term")))
     hits = phrase_matches(index, items, window).join(index.select("row_id", "doc_id", "text_hash"), "row_id")
-    gone = hits.filter("n_hit > 0").select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return marked.join(settle(gone), ["_id", "_hash"], "left_anti").select(*docs.columns)
+    gone = hits.filter("n_hit > 0").select(F.coalesce("doc_id", F.lit(-1)).alias(own), F.col("text_hash").alias(same)).distinct()
+    return marked.join(settle(gone), [own, same], "left_anti").select(*docs.columns)

@@ -284,7 +284,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TO
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """One document of every class, that with the least doc_id (then text hash), with its own columns."""
-    found = classes(docs, threshold, tolerance).withColumn("_id", F.coalesce("doc_id", F.lit(-1)))
-    gone = found.filter("_id <> class_id or text_hash <> class_hash").select("_id", F.col("text_hash").alias("_hash")).distinct()
-    marked = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_hash": F.xxhash64("text")})
-    return marked.join(settle(gone), ["_id", "_hash"], "left_anti").dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    own, same = T.free_names(docs.columns, "_id", "_hash")
+    found = classes(docs, threshold, tolerance).withColumn(own, F.coalesce("doc_id", F.lit(-1)))
+    gone = found.filter((F.col(own) != F.col("class_id")) | (F.col("text_hash") != F.col("class_hash"))).select(own, F.col("text_hash").alias(same)).distinct()
+    marked = docs.withColumns({own: F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), same: F.xxhash64("text")})
+    return marked.join(settle(gone), [own, same], "left_anti").dropDuplicates([own, same]).select(*docs.columns)

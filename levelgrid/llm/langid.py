@@ -215,7 +215,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents that the model does not reject, with their own columns."""
+    """The documents that the model does not reject, with their own columns.
+
+    A model that has learned no language would reject all of them: an error, unless there are none.
+    """
+    if not model.langs and not docs.isEmpty():
+        raise ValueError("no language was learned: documents with a text and a language are needed")
     T.bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")

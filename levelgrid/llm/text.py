@@ -31,6 +31,17 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(bound))
 
 
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores in front until no column has it in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def words(text: str | None) -> list[bytes]:
     """Words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z lower-cased, as UTF-8."""
     return (text or "").encode("utf-8", "replace").translate(WORD_BYTES).split()

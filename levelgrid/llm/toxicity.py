@@ -129,7 +129,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents that are not scored toxic, with their own columns."""
+    """The documents that are not scored toxic, with their own columns.
+
+    A model that has learned from toxic labels alone would drop all of them: an error, unless there are none.
+    """
+    if model.bias >= 0 and not model.used.any() and not docs.isEmpty():
+        raise ValueError("no classifier was learned: labels of both kinds are needed")
     T.bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")

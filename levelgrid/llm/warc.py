@@ -7,7 +7,9 @@ number, checks the numbers and the total length, and decodes the chunked transfe
 
 Defined cases: a null page is an empty payload; a null url or id leaves its header out; a repeated row is
 written as often as it comes (the rows with the least id of their payload are all responses); a record with a
-missing segment or a wrong total is kept, marked incomplete, and has no payload.
+missing segment or a wrong total is kept, marked incomplete, and has no payload. So is a record that states no
+length, or one that its file does not hold. Files of any name are read, plain or gzipped, with one gzip member or
+one a record, in version 1.0 or 1.1; ids carry a mark of their write, so that archives can be read together.
 """
 
 from __future__ import annotations
@@ -35,12 +37,14 @@ FILE_RECORDS = 1000
 
 # Fixed values of the format.
 VERSION = b"WARC/1.1"
+VERSIONS = re.compile(rb"WARC/1\.[01]\r?\n")
+HEAD_END = re.compile(rb"\r?\n\r?\n")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
 _RECORD_SQL = (
     "record_id string, record_type string, page_id long, url string, payload_digest string, "
-    "segment int, origin_id string, total_length long, block binary"
+    "segment int, origin_id string, total_length long, refers_to long, block binary"
 )
 _RECORD = pa.schema(
     [
@@ -52,6 +56,7 @@ _RECORD = pa.schema(
         ("segment", pa.int32()),
         ("origin_id", pa.string()),
         ("total_length", pa.int64()),
+        ("refers_to", pa.int64()),
         ("block", pa.binary()),
     ]
 )
@@ -97,7 +102,7 @@ def page_records(name: str, page_id, url, html: bytes, digest: str, first, segme
     kind = "Content-Type: text/html; charset=utf-8"
     if first is not None and first != page_id:
         block = f"HTTP/1.1 200 OK\r\n{kind}\r\nContent-Length: {len(html)}\r\n\r\n".encode()
-        return [_record([("WARC-Type", "revisit"), ("WARC-Record-ID", ident), ("WARC-Profile", REVISIT_PROFILE), *common], block)]
+        return [_record([("WARC-Type", "revisit"), ("WARC-Record-ID", ident), ("WARC-Profile", REVISIT_PROFILE), ("X-Refers-To-Page-Id", first), *common], block)]
     block = f"HTTP/1.1 200 OK\r\n{kind}\r\nTransfer-Encoding: chunked\r\n\r\n".encode() + chunked(html)
     cuts = [block[i : i + segment] for i in range(0, len(block), segment)]
     numbered = len(cuts) > 1
@@ -128,13 +133,14 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
         .select("digest", "first")
     )
     rows = base.join(settle(firsts), "digest", "left").select("page_id", "url", "html", "digest", "first")
+    write = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId(), 0
         for batch in batches:
             out = []
             for page in zip(*[c.to_pylist() for c in batch.columns]):
-                out += page_records(f"{part}/{n}", *page, segment)
+                out += page_records(f"{write}/{part}/{n}", *page, segment)
                 n += 1
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
@@ -142,19 +148,31 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
     records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of every record of an archive file."""
-    at = 0
-    while (at := data.find(VERSION, at)) >= 0:
-        head_end = data.find(b"\r\n\r\n", at)
-        if head_end < 0:
+def unzipped(data: bytes) -> bytes:
+    """The content of all gzip members of a file, or of a plain one. What is cut short gives what is there."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(47)
+        out.append(member.decompress(data))
+        # Between members some writers leave padding.
+        data = member.unused_data.lstrip(b"\0")
+    return b"".join(out) if out else data
+
+
+def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """Headers (names in lower case) and block of every record of an archive file; no block where its length is not
+    stated, or is more than the file holds."""
+    found = VERSIONS.search(data)
+    while found:
+        gap = HEAD_END.search(data, found.end() - 2)
+        if not gap:
             return
-        lines = data[at:head_end].decode("utf-8", "replace").split("\r\n")[1:]
+        lines = data[found.end() : gap.start()].decode("utf-8", "replace").splitlines()
         headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-        start = head_end + 4
-        length = int(headers.get("content-length", 0))
-        yield headers, data[start : start + length]
-        at = start + length
+        length, start = headers.get("content-length", ""), gap.end()
+        whole = re.fullmatch("[0-9]{1,18}", length) and start + int(length) <= len(data)
+        yield headers, data[start : start + int(length)] if whole else None
+        found = VERSIONS.search(data, start + int(length) if whole else start)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -162,13 +180,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     T.bound_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = lambda v: None if v is None else int(v)
+        number = lambda v: int(v) if v and re.fullmatch("-?[0-9]{1,18}", v) else None
         for batch in batches:
             for content in batch.column(0):
-                data = content.as_py()
-                data = zlib.decompress(data, 47) if data[:2] == b"\x1f\x8b" else data
                 rows = []
-                for h, block in parse(data):
+                for h, block in parse(unzipped(content.as_py())):
                     digest = h.get("warc-payload-digest")
                     rows.append(
                         (
@@ -180,6 +196,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                             number(h.get("warc-segment-number")),
                             h.get("warc-segment-origin-id"),
                             number(h.get("warc-segment-total-length")),
+                            number(h.get("x-refers-to-page-id")),
                             block,
                         )
                     )
@@ -187,15 +204,15 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     columns = zip(*rows[i : i + T.BATCH_ROWS])
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _RECORD.types)], schema=_RECORD)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("content").mapInArrow(run, _RECORD_SQL)
 
 
 def reassemble(records: DataFrame) -> DataFrame:
     """Whole records: segments joined in order under their origin, with `complete` telling whether all are there."""
-    whole = records.filter("segment is null").withColumn("complete", F.lit(True))
+    whole = records.filter("segment is null").withColumn("complete", F.col("block").isNotNull())
     parts = records.filter("segment is not null").withColumn("origin", F.coalesce("origin_id", "record_id"))
-    meta = ["record_id", "record_type", "page_id", "url", "payload_digest"]
+    meta = ["record_id", "record_type", "page_id", "url", "payload_digest", "refers_to"]
     grouped = parts.groupBy("origin").agg(
         F.min(F.when(F.col("origin_id").isNull(), F.struct(*meta))).alias("head"),
         F.max("total_length").alias("total_length"),
@@ -206,14 +223,14 @@ def reassemble(records: DataFrame) -> DataFrame:
         for batch in batches:
             blocks, complete = [], []
             for total, segments in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                joined = b"".join([s["block"] for s in segments])
+                joined = b"".join([s["block"] or b"" for s in segments])
                 blocks.append(joined)
                 complete.append([s["segment"] for s in segments] == list(range(1, len(segments) + 1)) and total == len(joined))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(blocks, pa.binary()), pa.array(complete, pa.bool_())], ["head", "total_length", "block", "complete"]
             )
 
-    head = "head struct<record_id:string,record_type:string,page_id:bigint,url:string,payload_digest:string>"
+    head = "head struct<record_id:string,record_type:string,page_id:bigint,url:string,payload_digest:string,refers_to:bigint>"
     joined = grouped.select("head", "total_length", "segments").mapInArrow(run, f"{head}, total_length long, block binary, complete boolean")
     names = [*meta, "total_length", "block", "complete"]
     return whole.select(names).unionByName(joined.select("head.*", "total_length", "block", "complete"))
@@ -228,21 +245,21 @@ def payload(block: bytes) -> bytes | None:
 
 
 def payloads(records: DataFrame) -> DataFrame:
-    """record_type, page_id, url, stated digest, payload, complete of whole records (payload null for revisits)."""
+    """record_type, page_id, url, stated digest, refers_to, payload, complete of whole records (payload null for revisits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, blocks, complete = batch.column(0).to_pylist(), batch.column(4), batch.column(5).to_pylist()
+            kinds, blocks, complete = batch.column(0).to_pylist(), batch.column(5), batch.column(6).to_pylist()
             bodies = [payload(b.as_py()) if k == "response" and c else None for k, b, c in zip(kinds, blocks, complete)]
             good = [c and (k != "response" or b is not None) for k, b, c in zip(kinds, bodies, complete)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array(bodies, pa.binary()), pa.array(good, pa.bool_())],
-                ["record_type", "page_id", "url", "payload_digest", "payload", "complete"],
+                [*batch.columns[:5], pa.array(bodies, pa.binary()), pa.array(good, pa.bool_())],
+                ["record_type", "page_id", "url", "payload_digest", "refers_to", "payload", "complete"],
             )
 
-    columns = ["record_type", "page_id", "url", "payload_digest", "block", "complete"]
+    columns = ["record_type", "page_id", "url", "payload_digest", "refers_to", "block", "complete"]
     return records.select(columns).mapInArrow(
-        run, "record_type string, page_id long, url string, payload_digest string, payload binary, complete boolean"
+        run, "record_type string, page_id long, url string, payload_digest string, refers_to long, payload binary, complete boolean"
     )
 
 
@@ -259,16 +276,15 @@ def round_trip(pages: DataFrame) -> DataFrame:
             "page_id",
             F.length("payload").cast("long").alias("payload_bytes"),
             F.when(F.col("record_type") == "revisit", F.col("payload_digest")).otherwise(F.sha2("payload", 256)).alias("payload_digest"),
+            "refers_to",
             (F.col("complete") & ((F.col("record_type") != "response") | (F.sha2("payload", 256) == F.col("payload_digest")))).alias("complete"),
         )
     )
     responses = sized.filter("record_type = 'response'")
     revisits = sized.filter("record_type = 'revisit'")
-    targets = responses.filter(F.col("payload_bytes") >= LEAST_REVISIT).groupBy("payload_digest").agg(
-        F.min("page_id").alias("refers_to"), F.max("payload_bytes").alias("payload_bytes")
-    )
-    # Only what revisits ask for.
+    # A revisit has the size of the response it refers to; only what revisits ask for is kept.
+    targets = responses.filter(F.col("payload_bytes") >= LEAST_REVISIT).groupBy("payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
     targets = targets.join(revisits.select("payload_digest").distinct(), "payload_digest", "left_semi")
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "complete"]
     seen = revisits.drop("payload_bytes").join(settle(targets), "payload_digest", "left")
-    return responses.withColumn("refers_to", F.lit(None).cast("long")).select(names).unionByName(seen.select(names))
+    return responses.select(names).unionByName(seen.select(names))

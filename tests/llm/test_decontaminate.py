@@ -71,3 +71,13 @@ def test_proximity_spans_against_brute_force():
                     good.append((a, b))
         least = [s for s in good if not any(t != s and s[0] <= t[0] and t[1] <= s[1] for t in good)]
         assert covered(least) <= covered(D.proximity_runs(tokens, w, slop)) <= covered(good)
+
+
+def test_null_item_ids_and_clashing_columns(frame):
+    phrase = "one two three four five six seven eight nine ten"
+    docs = frame("doc_id long, text string, _id long, _hash string, __id long", [{"doc_id": 1, "text": phrase, "_id": 2, "_hash": "a"}, {"doc_id": 2, "text": "clean", "_id": 1, "_hash": "b", "__id": 5}])
+    benchmark = frame("item_id string, text string", [{"text": phrase}, {"item_id": "x", "text": phrase}])
+    found = {r.doc_id: (r.n_items, r["items"], r.contaminated) for r in D.report(docs, benchmark).collect()}
+    assert found == {1: (2, ["", "x"], True), 2: (0, [], False)}
+    kept = D.keep_uncontaminated(docs, benchmark)
+    assert [tuple(r) for r in kept.collect()] == [(2, "clean", 1, "b", 5)]

@@ -108,3 +108,9 @@ def test_bands_follow_the_threshold(spark):
     for threshold in (0.5, 0.3):
         assert (1 - threshold ** J.banding(threshold)[1]) ** J.banding(threshold)[0] <= J.MISS
         assert got(J.classes(docs, threshold)) == brute(rows, threshold)
+
+
+def test_clashing_columns_come_back_as_they_were(frame):
+    text = "one two three four five six seven eight nine ten"
+    docs = frame("doc_id long, text string, _id long, _hash string, __HASH string", [{"doc_id": i, "text": text, "_id": 9 - i, "_hash": f"h{i}", "__HASH": "k"} for i in (3, 1, 2)])
+    assert [tuple(r) for r in J.deduplicate(docs).collect()] == [(1, text, 8, "h1", "k")]

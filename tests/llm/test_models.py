@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from levelgrid.llm import langid, queries, toxicity
 
@@ -103,3 +104,15 @@ def test_toxicity_cases(spark, frame, edge_docs, no_docs):
     rows, share = toxicity.sample(edge_docs, labels)
     assert share == 1.0 and {t for t, _ in rows} == {"one two three"}
     assert toxicity.sample(no_docs, labels)[0] == [] and toxicity.sample(edge_docs, labels.limit(0)) == ([], None)
+
+
+def test_stages_raise_where_nothing_was_learned(edge_docs, no_docs):
+    blank = langid.train([])
+    with pytest.raises(ValueError, match="no language"):
+        langid.keep_known(edge_docs, blank)
+    assert langid.keep_known(no_docs, blank).collect() == []
+    one_kind = toxicity.train([("a b c", 1)])
+    with pytest.raises(ValueError, match="both kinds"):
+        toxicity.keep_clean(edge_docs, one_kind)
+    assert toxicity.keep_clean(no_docs, one_kind).collect() == []
+    assert toxicity.keep_clean(edge_docs, toxicity.train([])).count() == 7

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import random
 
@@ -83,3 +84,42 @@ def test_files_are_plain_records(spark, frame):
     warc.write_archives(frame(PAGES, ROWS[:4]).coalesce(1), path)
     lines = spark.read.text(path).filter(F.col("value").startswith("WARC/1.1")).count()
     assert lines == 4
+
+
+def foreign(n, body=b"hello", version=b"WARC/1.0", length=None, kind=b"resource"):
+    size = b"%d" % len(body) if length is None else length
+    return version + b"\r\nWARC-Type: " + kind + b"\r\nWARC-Record-ID: <urn:x:%d>\r\nContent-Length: " % n + size + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def store(spark, name, data):
+    """A file written the way a crawler would, not by Spark."""
+    folder = f"{workspace(spark)}/warc-test/{random.random()}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/deep/{name}")
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(data))
+    out.close()
+    return folder
+
+
+@pytest.mark.parametrize("name", ["crawl-0001.warc.gz", "part-1.warc"])
+def test_members_versions_and_names(spark, name):
+    records = [foreign(1), foreign(2, b"", b"WARC/1.1"), foreign(3, b"WARC/1.0\r\nnot one\r\n\r\n" * 3)]
+    data = b"".join(gzip.compress(r) for r in records) if name.endswith("gz") else b"".join(records)
+    found = warc.reassemble(warc.read_archives(spark, store(spark, name, data))).collect()
+    assert sorted((r.record_id, r.record_type, len(r.block), r.complete) for r in found) == [
+        ("<urn:x:1>", "resource", 5, True), ("<urn:x:2>", "resource", 0, True), ("<urn:x:3>", "resource", 63, True)
+    ]
+
+
+def test_bad_lengths_are_incomplete_records(spark):
+    data = foreign(1, length=b"many") + foreign(2) + foreign(3, length=b"") + foreign(4) + foreign(5, length=b"999")
+    found = warc.payloads(warc.reassemble(warc.read_archives(spark, store(spark, "a.warc", data)))).collect()
+    assert sorted(r.complete for r in found) == [False, False, False, True, True]
+
+
+def test_archives_read_together(spark, frame):
+    base = f"{workspace(spark)}/warc-test/{random.random()}"
+    for i in (1, 2):
+        warc.write_archives(frame(PAGES, [{"page_id": i, "html": f"{i}" * 40_000}]), f"{base}/{i}")
+    found = warc.payloads(warc.reassemble(warc.read_archives(spark, base))).collect()
+    assert sorted((r.page_id, bytes(r.payload) == b"%d" % r.page_id * 40_000, r.complete) for r in found) == [(1, True, True), (2, True, True)]
