@@ -17,6 +17,7 @@ not read.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,8 +35,8 @@ from levelgrid.session import attach, settle
 MIN_DOCS = 3
 TOP = 200
 # Rows and text bytes of a block.
-BLOCK_ROWS = 8192
-BLOCK_BYTES = 8 << 20
+BLOCK_ROWS = 1 << 15
+BLOCK_BYTES = 32 << 20
 # A group's terms are ranked in so many parts before the best of all parts are.
 PARTS = 32
 # Pairs of entries that are looked at in one go.
@@ -44,7 +45,7 @@ CHUNK = 1 << 20
 # Bytes to terms: A-Z are lower-cased, all other ASCII but a-z separates, bytes over 0x7F stay.
 TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
-_BLOCKS = "block long, lang string, doc_ids array<long>, sources array<string>, starts array<int>, ids array<int>, counts array<int>, terms array<binary>, docs array<int>, total array<long>"
+_BLOCKS = "block long, lang string, doc_ids array<long>, sources array<string>, starts array<int>, ids binary, counts binary, terms array<binary>, docs array<int>, total array<long>"
 _VECTORS = "doc_id long, lang string, source string, indices array<int>, counts array<int>"
 
 
@@ -52,18 +53,26 @@ def _one_list(values, kind) -> pa.Array:
     return pa.array([values], pa.list_(kind))
 
 
+def _pack(values: np.ndarray) -> pa.Array:
+    return pa.array([pa.compress(values.tobytes(), "zstd", asbytes=True)], pa.binary())
+
+
+def _unpack(blob: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob, 4 * size, "zstd"), np.int32)
+
+
 class _Block:
     """Documents of one language with numbers of their own for its terms."""
 
     def __init__(self):
         self.doc_ids, self.sources, self.starts = [], [], [0]
-        self.ids, self.counts, self.numbers = [], [], {}
+        self.ids, self.counts, self.numbers = array("i"), array("i"), {}
 
     def add(self, doc_id, source, text: bytes):
         numbers = self.numbers
         found = Counter(text.translate(TERM_BYTES).split())
-        self.ids += [numbers.setdefault(w, len(numbers)) for w in found]
-        self.counts += found.values()
+        self.ids.extend([numbers.setdefault(w, len(numbers)) for w in found])
+        self.counts.extend(found.values())
         self.starts.append(len(self.ids))
         self.doc_ids.append(doc_id)
         self.sources.append(source)
@@ -75,7 +84,7 @@ class _Block:
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([block], pa.int64()), pa.array([lang]), _one_list(self.doc_ids, pa.int64()), _one_list(self.sources, pa.string()),
-                _one_list(np.array(self.starts, np.int32), pa.int32()), _one_list(ids, pa.int32()), _one_list(counts, pa.int32()),
+                _one_list(np.array(self.starts, np.int32), pa.int32()), _pack(ids), _pack(counts),
                 _one_list(list(self.numbers), pa.binary()), _one_list(np.bincount(ids, minlength=len(total)).astype(np.int32), pa.int32()), _one_list(total, pa.int64()),
             ],
             ["block", "lang", "doc_ids", "sources", "starts", "ids", "counts", "terms", "docs", "total"],
@@ -129,8 +138,8 @@ def _transform(table: pa.Table, found: pa.Table) -> pa.Table:
     """The count vectors of one block, given the vocabulary's numbers of its terms."""
     out = []
     for row in range(table.num_rows):
-        take = lambda name: table.column(name)[row].values.to_numpy(zero_copy_only=False)
-        starts, ids, counts = take("starts"), take("ids"), take("counts")
+        starts = table.column("starts")[row].values.to_numpy(zero_copy_only=False)
+        ids, counts = (_unpack(table.column(c)[row].as_py(), int(starts[-1])) for c in ("ids", "counts"))
         number = np.full(int(ids.max(initial=-1)) + 1, -1, np.int32)
         number[found.column("at").to_numpy()] = found.column("index").to_numpy()
         doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
@@ -273,7 +282,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFram
     groups = seen.join(rows, ["lang", "source"], "left").join(sizes.select("lang", "size"), "lang", "left").na.fill(0, ["rows", "size"])
     groups = settle(groups.withColumn("none", share(F.lit(0).cast("long"), F.col("rows"), F.col("size"))))
     held = attach(sums, groups, ["lang", "source"])
-    held = settle(held.select("lang", "source", "index", share(F.col("n"), F.col("rows"), F.col("size")).alias("p"), "none"))
+    held = held.select("lang", "source", "index", share(F.col("n"), F.col("rows"), F.col("size")).alias("p"), "none")
     pairs = pair_values(groups, held)
     ranked = F.row_number().over(W.partitionBy("lang", "source").orderBy(F.desc("value"), F.asc("item")))
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value", ranked.alias("rank"))

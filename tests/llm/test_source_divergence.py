@@ -6,7 +6,6 @@ from collections import Counter, defaultdict
 import numpy as np
 
 from levelgrid.llm import source_divergence as S
-from levelgrid.llm import text as T
 from tests.llm.conftest import DOCS
 
 
@@ -46,6 +45,7 @@ def test_matches_plain_arithmetic(spark, frame, monkeypatch):
     rows += [("solo", "only", "one two"), ("dry", "p", "1 2"), ("dry", "q", None), rows[3], rows[3]]
     df = frame(DOCS, [{"doc_id": i if i % 7 else None, "lang": a, "source": s, "text": t, "key": "clash"} for i, (a, s, t) in enumerate(rows)]).repartition(5)
     monkeypatch.setattr(S, "CHUNK", 50)
+    monkeypatch.setattr(S, "BLOCK_ROWS", 20)
     for top in (200, 3):
         assert sorted(map(tuple, S.audit(df, 3, top).collect())) == brute(rows, 3, top)
 
@@ -59,7 +59,6 @@ def test_vectors_are_exact(spark, frame):
     assert found == {0: ([0, 1], [1, 2]), 1: ([0, 1], [1, 1]), 2: ([0, 1], [1, 1]), 3: ([], []), 4: ([0], [1])}
 
 
-def test_cases(spark, edge_docs, no_docs, monkeypatch):
+def test_cases(edge_docs, no_docs):
     assert S.audit(no_docs).collect() == []
     assert S.audit(edge_docs).collect() == []  # one group without language, and no kept term that it holds more of
-    assert T.BATCH_BYTES >= S.BLOCK_BYTES
