@@ -108,7 +108,7 @@ def test_rounds_never_lose(spark):
     table = H.blocks(docs, F.lit(False))
     words = H.counts(table)
     share, norm = H.class_shares(words)
-    every, model, before = H.training(H.coded(table, words)), H.blank(share, norm, 4), -np.inf
+    every, model, before = H.coded(table, words), H.blank(share, norm, 4), -np.inf
     for _ in range(4):
         model, now = H.improved(every, model)
         assert now > before - 1
