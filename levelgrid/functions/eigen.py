@@ -36,16 +36,22 @@ def add_moments() -> list[Column]:
 def with_origin(points: DataFrame, keys: list[str]) -> DataFrame:
     """Adds ox, oy, oz, a whole-metre point near the middle of each key's rows, and x_, y_, z_ measured from it.
 
-    Squares of map coordinates leave no digits for the millimetres of a plane; squares of these do.
+    Squares of map coordinates leave no digits for the millimetres of a plane; squares of these do. They are
+    whole nanometres, so that their sums are exact.
     """
     middle = points.groupBy(*keys).agg(*[F.floor(F.avg(c)).cast("double").alias(f"o{c}") for c in "xyz"])
     out = attach(points, middle, list(keys))
-    return out.withColumns({f"{c}_": F.col(c) - F.col(f"o{c}") for c in "xyz"})
+    return out.withColumns({f"{c}_": F.rint((F.col(c) - F.col(f"o{c}")) * 1e9) / 1e9 for c in "xyz"})
 
 
 def local_moments() -> list[Column]:
-    """Moment sums measured from the rows' origin, with the origin itself (one per group)."""
-    return [*moment_sums("x_", "y_", "z_"), *[F.first(f"o{c}").alias(f"o{c}") for c in "xyz"]]
+    """Moment sums measured from the rows' origin, with the origin itself (one per group).
+
+    The first sums are added up as whole nanometres, so that a centre is the nearest number to its exact value.
+    """
+    whole = [(F.sum(F.rint(F.col(f"{c}_") * 1e9).cast("long")) / 1e9).alias(f"s{c}") for c in "xyz"]
+    count, _, _, _, *second = moment_sums("x_", "y_", "z_")
+    return [count, *whole, *second, *[F.first(f"o{c}").alias(f"o{c}") for c in "xyz"]]
 
 
 def with_scatter(df: DataFrame) -> DataFrame:

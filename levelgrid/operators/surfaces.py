@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +31,11 @@ MERGE_COS = 0.99
 MERGE_OFFSET = 0.03
 MERGE_GAP = 0.15
 HULL_NEAR = 0.08
+GROW_COS = math.cos(math.radians(PLANE_ANGLE))
+# Least patch, and how many mean gaps it spans: so many points lie as close as the 31 nearest of one.
+PATCH = 0.12
+PATCH_GAPS = math.sqrt(31 / math.pi)
+PATCH_CELL = 0.5
 
 LEVEL = ["scan_id", "level_index"]
 
@@ -51,51 +58,113 @@ def curvature(neighbours: DataFrame, keys=LEVEL) -> DataFrame:
     return fit.select(*keys, "id", F.col("eig").alias("curvature"))
 
 
-def plane_segments(points: DataFrame, keys=LEVEL, min_points: int = MIN_POINTS, patch: float = 0.12) -> DataFrame:
-    """Points of vertical planes with a `plane` id.
+def _patch_size(points: DataFrame, keys: list[str], patch: float | None) -> DataFrame:
+    """Adds _patch: the given size, or as many mean gaps between a storey's points as its neighbours reach."""
+    if patch is not None:
+        return points.withColumn("_patch", F.lit(float(patch)))
+    cells = points.groupBy(*keys, *[F.floor(F.col(c) / PATCH_CELL).alias(f"_{c}") for c in "xyz"]).agg(F.count(F.lit(1)).alias("_n"))
+    gap = PATCH_CELL / F.sqrt(F.avg("_n"))
+    return attach(points, cells.groupBy(*keys).agg(F.greatest(F.lit(PATCH), PATCH_GAPS * gap).alias("_patch")), keys)
 
-    Points fall into bins of direction and offset, on two grids shifted by
-    half a bin; patches of a bin that touch belong together, and so do the
-    patches two grids share through a point. Components of that patch graph
-    are the planes. No seed order is involved.
-    """
-    keys = list(keys)
+
+def _with_patches(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds the patch of every point on two grids of direction, offset and place that are shifted by half a bin."""
     angle = F.pmod(F.degrees(F.atan2("ny", "nx")), F.lit(360.0))
     turns = int(360 / PLANE_ANGLE)
-    tagged = points
     for grid, shift in ((0, 0.0), (1, 0.5)):
         a = F.pmod(F.rint(angle / PLANE_ANGLE + shift), F.lit(turns)).cast("int")
         facing = F.radians((a - shift) * PLANE_ANGLE)
         offset = F.col("x") * F.cos(facing) + F.col("y") * F.sin(facing)
         along = F.col("y") * F.cos(facing) - F.col("x") * F.sin(facing)
-        node = F.struct(
-            *[F.col(k) for k in keys],
-            F.lit(grid).alias("g"),
-            a.alias("a"),
-            F.rint(offset / (2 * PLANE_DIST) + shift).cast("int").alias("o"),
-            F.floor(along / patch).cast("int").alias("t"),
-            F.floor(F.col("z") / patch).cast("int").alias("v"),
-        )
-        tagged = tagged.withColumn(f"_node{grid}", node)
-    tagged = settle(tagged)
-    n0 = tagged.select(F.col("_node0").alias("id"))
-    n1 = tagged.select(F.col("_node1").alias("id"))
-    nodes = settle(n0.unionByName(n1).distinct())
-    shared = tagged.select(F.col("_node0").alias("u"), F.col("_node1").alias("v")).distinct()
-    # Half of the eight neighbours reach every touching pair once.
-    steps = F.array(*[F.struct(F.lit(dt).alias("t"), F.lit(dv).alias("v")) for dt, dv in ((1, 0), (0, 1), (1, 1), (1, -1))])
+        bins = {
+            "a": a,
+            "o": F.rint(offset / (2 * PLANE_DIST) + shift).cast("int"),
+            "t": F.floor(along / F.col("_patch")).cast("int"),
+            "v": F.floor(F.col("z") / F.col("_patch")).cast("int"),
+        }
+        points = points.withColumn(f"_bin{grid}", F.struct(*[c.alias(n) for n, c in bins.items()]))
+        points = points.withColumn(f"_u{grid}", F.xxhash64(*keys, F.lit(grid), f"_bin{grid}"))
+    return points
+
+
+def _patch_components(points: DataFrame, keys: list[str]) -> DataFrame:
+    """id, component of the patches that touch and face alike, or share a point across the grids."""
+    side = lambda grid: points.select(*keys, F.lit(grid).alias("_g"), F.col(f"_bin{grid}").alias("_bin"), F.col(f"_u{grid}").alias("id"))
+    nodes = settle(side(0).unionByName(side(1)).dropDuplicates(["id"]))
+    shared = points.select(F.col("_u0").alias("u"), F.col("_u1").alias("v")).distinct()
+    # A wall that is slanted against its bin crosses offsets, so touching patches of the next offset belong together
+    # too; what does not lie in one plane is parted later. Half of the 26 neighbours reach every pair once.
+    ahead = [s for s in itertools.product((-1, 0, 1), repeat=3) if s > (0, 0, 0)]
+    steps = F.array(*[F.struct(*[F.lit(d).alias(c) for c, d in zip("otv", s)]) for s in ahead])
     near = nodes.withColumn("_s", F.explode(steps))
-    moved = F.struct(
-        *[F.col(f"id.{k}") for k in keys], F.col("id.g"), F.col("id.a"), F.col("id.o"),
-        (F.col("id.t") + F.col("_s.t")).alias("t"), (F.col("id.v") + F.col("_s.v")).alias("v"),
-    )
-    near = near.select(F.col("id").alias("u"), moved.alias("v"))
-    touching = near.join(nodes.select(F.col("id").alias("v")), "v").select("u", "v")
-    label = connected_components(touching.unionByName(shared), nodes)
-    names = label.select(F.col("id").alias("_node0"), F.xxhash64("component").alias("plane"))
-    out = tagged.join(names, "_node0").drop("_node0", "_node1")
-    sizes = out.groupBy(*keys, "plane").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_points)
-    return attach(out, sizes.select(*keys, "plane"), [*keys, "plane"])
+    moved = F.struct(F.col("_bin.a"), *[(F.col(f"_bin.{c}") + F.col(f"_s.{c}")).alias(c) for c in "otv"])
+    near = near.select(F.col("id").alias("u"), F.xxhash64(*keys, "_g", moved).alias("v"))
+    touching = near.join(nodes.select(F.col("id").alias("v")), "v", "left_semi").select("u", "v")
+    return connected_components(touching.unionByName(shared), nodes.select("id"))
+
+
+def _on_seed_plane(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds _in: within reach of the plane that is fitted to what lies on the seed of the point's component `_c`.
+
+    The seed is the patch with most points: its centre and mean normal are the first hypothesis.
+    """
+    of = [*keys, "_c"]
+    patches = points.groupBy(*of, "_u0").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"s{c}") for c in ("x", "y", "z", "nx", "ny")])
+    seed = patches.groupBy(*of).agg(F.max(F.struct("n", F.xxhash64("_u0").alias("mix"), F.col("_u0").alias("seed"), "sx", "sy", "sz", "snx", "sny")).alias("s"))
+    x, y = _horizontal(F.col("s.snx"), F.col("s.sny"))
+    seed = settle(seed.select(*of, F.col("s.seed").alias("_seed"), F.col("s.sx").alias("_sx"), F.col("s.sy").alias("_sy"), F.col("s.sz").alias("_sz"), x.alias("_fx"), y.alias("_fy")))
+    near = attach(points, seed, of)
+    # Measured from the seed, so that planes far from the origin keep their digits.
+    near = near.withColumns({f"d{c}": F.col(c) - F.col(f"_s{c}") for c in "xyz"})
+    close = lambda x, y, offset: (F.col("nx") * x + F.col("ny") * y >= GROW_COS) & (F.abs(F.col("dx") * x + F.col("dy") * y - offset) <= PLANE_DIST)
+    first = near.filter(close(F.col("_fx"), F.col("_fy"), F.lit(0.0)))
+    moments = first.groupBy(*of).agg(*eigen.moment_sums("dx", "dy", "dz"), F.sum("nx").alias("hx"), F.sum("ny").alias("hy"))
+    fit = fit_normals(moments, snap=False).select(*of, F.col("nx").alias("_px"), F.col("ny").alias("_py"), F.col("offset").alias("_po"))
+    near = attach(near, seed.select(*of).join(fit, of, "left"), of)
+    inside = F.coalesce(close(F.col("_px"), F.col("_py"), F.col("_po")), F.lit(False))
+    names = [c for c in points.columns]
+    return near.withColumns({"_in": inside, "_first": F.col("_u0") == F.col("_seed")}).select(*names, "_in", "_first")
+
+
+def plane_segments(points: DataFrame, keys=LEVEL, min_points: int = MIN_POINTS, patch: float | None = None) -> DataFrame:
+    """Points of vertical planes with a `plane` id.
+
+    Patches of points that touch and face alike are joined to components. Each component then grows one plane a
+    round: a hypothesis from its fullest patch is fitted anew to the points within PLANE_DIST and PLANE_ANGLE of it,
+    and the largest connected part of those within reach of the fit is the plane. What is left is joined anew and
+    goes on, in all components at once, until fewer than `min_points` hang together. A flat wall is done in
+    the first round, a curved one falls apart into planes that each fit.
+
+    Left out, as by growth from single seeds: parts under `min_points`. Without `patch`, patches follow the gaps
+    between the points of a storey.
+    """
+    keys = list(keys)
+    names = points.columns
+    opened = settle(_with_patches(_patch_size(points, keys, patch), keys))
+    planes, round_ = [], 0
+    while True:
+        label = _patch_components(opened, keys).select(F.col("id").alias("_u0"), F.col("component").alias("_c"))
+        named = settle(opened.join(label, "_u0"))
+        of = [*keys, "_c"]
+        large = named.groupBy(*of).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_points)
+        named = settle(_on_seed_plane(settle(attach(named, large.select(*of), of)), keys))
+        counts = named.groupBy(*of).agg(F.count(F.lit(1)).alias("_n"), F.count_if("_in").alias("_m"))
+        # Where nothing is in reach, the seed goes, so that every round ends smaller.
+        named = attach(named, counts, of).withColumn("_in", F.col("_in") | ((F.col("_m") == 0) & F.col("_first")))
+        planes.append(named.filter("_n = _m").select(*names, F.xxhash64("_c", F.lit(round_)).alias("plane")))
+        split = settle(named.filter("_n <> _m").drop("_n", "_m", "_first"))
+        if split.isEmpty():
+            break
+        parts = _patch_components(split.filter("_in"), keys).select(F.col("id").alias("_u0"), F.col("component").alias("_p"))
+        split = settle(split.join(parts, "_u0", "left").withColumn("_p", F.when(F.col("_in"), F.col("_p"))))
+        sizes = split.filter("_in").groupBy(*of, "_p").agg(F.count(F.lit(1)).alias("_n"))
+        best = sizes.groupBy(*of).agg(F.max(F.struct("_n", "_p")).alias("_best"))
+        split = settle(attach(split, best, of).withColumn("_taken", F.col("_in") & (F.col("_p") == F.col("_best._p"))))
+        grown = split.filter(F.col("_taken") & (F.col("_best._n") >= min_points))
+        planes.append(grown.select(*names, F.xxhash64("_p", F.lit(round_ + 1)).alias("plane")))
+        opened = settle(split.filter("not _taken").drop("_c", "_p", "_best", "_taken", "_in"))
+        round_ += 2
+    return reduce(DataFrame.unionByName, planes)
 
 
 def _horizontal(x: Column, y: Column) -> tuple[Column, Column]:

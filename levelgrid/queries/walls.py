@@ -75,10 +75,28 @@ _CLASS = "CASE WHEN nx > 0.5 THEN 3 WHEN nx < -0.5 THEN 5 WHEN ny > 0.5 THEN 4 E
 
 @query("plane_segments", f"SELECT scan_id, level_index, n FROM (SELECT scan_id, level_index, {_CLASS} AS c, count(*) AS n FROM ({_SP}) p WHERE abs(nz) <= 0.25 GROUP BY 1, 2, 3) q WHERE n >= 200")
 def plane_segments(spark, sf):
-    p = S.plane_segments(S.vertical_points(storey_points(spark, sf)), patch=1.2)
+    """Every scan turned by another angle, so that its walls are slanted, and standing far from the origin."""
+    p = S.vertical_points(storey_points(spark, sf))
+    a = F.radians(F.substring("scan_id", 2, 9).cast("int") * 17.0)
+    turn = lambda x, y: (F.col(x) * F.cos(a) - F.col(y) * F.sin(a), F.col(x) * F.sin(a) + F.col(y) * F.cos(a))
+    (x, y), (nx, ny) = turn("x", "y"), turn("nx", "ny")
+    p = S.plane_segments(p.withColumns({"x": x + 1000.0, "y": y - 2000.0, "nx": nx, "ny": ny}))
     return p.groupBy("scan_id", "level_index", "plane").agg(F.count(F.lit(1)).alias("n")).drop("plane")
 
 
+# No SQL: where a plane ends depends on those before it. tests/test_planes.py holds the rules.
+@query("curved_planes")
+def curved_planes(spark, sf):
+    """The long walls bent to arcs of a radius of 4 to 11 m: planes of an arc, their points and lengths."""
+    p = S.vertical_points(storey_points(spark, sf)).filter("ny <> 0")
+    r = 4.0 + F.substring("scan_id", 2, 9).cast("int")
+    a, far = F.col("x") / r, r + F.col("y") * F.signum("ny")
+    bent = {"x": far * F.cos(a), "y": far * F.sin(a), "nx": F.cos(a), "ny": F.sin(a)}
+    p = settle(S.plane_segments(p.withColumns(bent), min_points=40))
+    f = S.fit_planes(p, snap=False, min_area=0.0)
+    return f.select("scan_id", "level_index", "n", clean(F.col("along1") - F.col("along0"), 2).alias("length"))
+
+
 def cut_planes(spark, sf):
     """Wall points of the scans cut into strips of 2 m: planes that belong together."""
     p = S.vertical_points(storey_points(spark, sf))
