@@ -20,6 +20,7 @@ from levelgrid.queries.walls import PLAN, WALLS, _LONG, lay, long_lines
 from levelgrid.session import settle, workspace
 from levelgrid.sources import tables
 from levelgrid.streaming import jobs as S
+from levelgrid.streaming import keyed as K
 
 MAGIC = b"LGPTS\0\0\1"
 num = lambda c="plan_id": F.substring(c, 2, 9).cast("int")
@@ -306,3 +307,38 @@ def stream_stalled(spark, sf):
 def stream_scan_stats(spark, sf):
     e = stream(spark, sf, "events").select(F.col("event_type").alias("scan_id"), F.col("event_id").alias("point_id"), F.col("ts").cast("timestamp").alias("ts"))
     return run(spark, S.stream_scan_stats(e), "append").select("scan_id", stamp("start").alias("start"), "points")
+
+
+# Keyed state that ends: all rows come in one batch, then the timers that the watermark has passed.
+_JOB_FEED = f"""WITH e AS (SELECT user_id AS job_id, event_id AS seq, ts, {_ES} AS state, value AS progress FROM events),
+    f AS (SELECT job_id, min(seq) FILTER (state <> 'running') AS fin FROM e GROUP BY 1), k AS (SELECT e.*, fin FROM e JOIN f USING (job_id) WHERE fin IS NULL OR seq <= fin),
+    j AS (SELECT job_id, arg_max(state, seq) AS state, arg_max(progress, seq) AS progress, count(*) AS updates, max(fin) IS NOT NULL AS over, epoch_ms(max(ts)) + 3600000 <= (SELECT epoch_ms(max(ts)) - 600000 FROM events) AS quiet FROM k GROUP BY 1)"""
+
+
+@query("stream_job_feed", _JOB_FEED + f" SELECT job_id, CASE WHEN NOT over AND quiet THEN 'error' ELSE state END AS state, {r('progress', 'progress')}, updates, over OR quiet AS finished FROM j")
+def stream_job_feed(spark, sf):
+    out = run(spark, K.stream_job_feed(job_events(spark, sf), idle="1 hour"), "update", ["job_id"])
+    return out.select("job_id", "state", clean(F.col("progress")).alias("progress"), "updates", "finished")
+
+
+@query("stream_transfer_feed", """WITH e AS (SELECT o_custkey AS transfer_id, o_orderkey AS seq, o_orderstatus = 'F' AS last, o_orderdate AS ts, sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS total FROM orders),
+    f AS (SELECT transfer_id, min(seq) FILTER (last OR total > 60000) AS fin FROM e GROUP BY 1), k AS (SELECT e.*, fin FROM e JOIN f USING (transfer_id) WHERE fin IS NULL OR seq <= fin)
+    SELECT transfer_id, CAST(max(total) AS BIGINT) AS bytes, count(*) AS chunks, max(total) > 60000 AS rejected, max(fin) IS NOT NULL OR epoch_ms(max(ts)::TIMESTAMP) + 86400000 <= (SELECT epoch_ms(max(o_orderdate)::TIMESTAMP) - 600000 FROM orders) AS finished FROM k GROUP BY 1""")
+def stream_transfer_feed(spark, sf):
+    o = stream(spark, sf, "orders").select(F.col("o_custkey").alias("transfer_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderkey").alias("bytes"), (F.col("o_orderstatus") == "F").alias("last"), F.col("o_orderdate").cast("timestamp").alias("ts"))
+    return run(spark, K.stream_transfer_feed(o, 60000), "update", ["transfer_id"])
+
+
+# A scan is over with its last urgent order; those that the watermark has passed are given out.
+_OVER = "SELECT concat('S', CAST(o_custkey % 40 AS STRING)) AS scan_id, max(o_orderdate) AS ended FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1"
+
+
+@query("stream_scan_voxels", f"""SELECT scan_id, vx, vy, vz, n, {r('sx', 'x', 9)} FROM ({_SV.replace('% 4', '% 40')}) q JOIN ({_OVER}) o USING (scan_id)
+    WHERE epoch_ms(ended::TIMESTAMP) + 600000 <= (SELECT epoch_ms(max(o_orderdate)::TIMESTAMP) - 600000 FROM orders)""")
+def stream_scan_voxels(spark, sf):
+    o = stream(spark, sf, "orders")
+    k = lambda e: (F.expr(e) / 1000.0).cast("double")
+    scan, ts = F.concat(F.lit("S"), (F.col("o_custkey") % 40).cast("string")).alias("scan_id"), F.col("o_orderdate").cast("timestamp").alias("ts")
+    p = o.select(scan, k("(o_orderkey * 137) % 8000").alias("x"), k("(o_orderkey * 7919 + o_custkey) % 6000").alias("y"), k("(o_orderkey * 31) % 2700").alias("z"), ts)
+    out = run(spark, K.stream_scan_voxels(p, o.filter("o_orderpriority = '1-URGENT'").select(scan, ts), 0.5, 4), "append")
+    return out.select("scan_id", "vx", "vy", "vz", "n", clean(F.col("x"), 9).alias("x"))

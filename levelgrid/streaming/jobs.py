@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from levelgrid.operators.normalize import micro
 
@@ -87,7 +88,7 @@ def run_to_table(df: DataFrame, mode: str, folder: str, keys: list[str] | None =
     spark.createDataFrame([], df.schema).write.parquet(f"{out}/batch=-1")
     query = df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    rows = spark.read.schema(df.schema.add("batch", "long")).parquet(out)
+    rows = spark.read.schema(StructType([*df.schema.fields, StructField("batch", LongType())])).parquet(out)
     if not keys:
         return rows.drop("batch")
     rest = [c for c in df.columns if c not in keys]
