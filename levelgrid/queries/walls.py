@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from levelgrid.functions import arrangement as arr
 from levelgrid.functions import geometry as g
-from levelgrid.functions import graph, hulls, tiles
+from levelgrid.functions import graph, hulls, splits, tiles
 from levelgrid.functions.geometry import clean
 from levelgrid.operators import fixtures as X, normalize as N, openings as O, surfaces as S, wallgraph as G
 from levelgrid.queries.inputs import DUCK, SPARK, load, plan_sql, points_m, sql, wall_segments
@@ -50,6 +50,16 @@ def knn(spark, sf):
     return tiles.knn(sql(spark, sf, _CP), 8, ["scan_id"], 2.0).select("scan_id", "id", "nid", "rank", r6("gap").alias("gap"))
 
 
+# One scan with nine tenths of its points in one corner, a thousandth of its side wide.
+_CORNER = """SELECT 'D' AS scan_id, c_custkey AS id, x * s AS x, y * s AS y, z * s AS z FROM (SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0.001 AS DOUBLE) END AS s,
+    CAST((c_custkey * 37) % 1999 AS DOUBLE) / CAST(100 AS DOUBLE) AS x, CAST((c_custkey * 53) % 2111 AS DOUBLE) / CAST(100 AS DOUBLE) AS y, CAST((c_custkey * 71) % 2239 AS DOUBLE) / CAST(100 AS DOUBLE) AS z FROM {customer}) c"""
+
+
+@query("knn_dense_corner", f"SELECT scan_id, id, nid, CAST(rank AS INT) AS rank, {r('gap', 'gap', 9)} FROM ({_KNN.replace(CP, _CORNER.format(customer='customer'))}) q")
+def knn_dense_corner(spark, sf):
+    return splits.knn(sql(spark, sf, _CORNER), 8, ["scan_id"]).select("scan_id", "id", "nid", "rank", clean(F.col("gap"), 9).alias("gap"))
+
+
 # The sheets crumpled by up to 2 m. The least eigenvalue of a neighbourhood's scatter in closed form.
 _CRUMPLED = f"SELECT scan_id, id, x + (id * 29) % 17 / 10.0 AS x, y + (id * 31) % 19 / 10.0 AS y, z + (id * 23) % 13 / 10.0 AS z FROM ({_CP}) c"
 _NEAR = _KNN.replace(CP, _CRUMPLED.format(customer="customer"))
