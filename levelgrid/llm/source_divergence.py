@@ -1,7 +1,7 @@
 """Audit of how the sources of a language differ from each other in their words.
 
 Each language gets a count vectorizer of its own: a vocabulary of the terms that stand in enough of its documents
-(minDF), of any size, numbered by frequency, and an exact sparse count vector of every document. Sums of these
+(minDF), of any size, and an exact sparse count vector of every document. Sums of these
 vectors over a group (language, source) give smoothed shares p in billionths, and two groups are held against each
 other by f = floor((p - q)^2 / q), summed over the vocabulary.
 
@@ -28,7 +28,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from levelgrid.functions.numbering import number_rows
 from levelgrid.llm import text as T
 from levelgrid.session import attach, settle
 
@@ -46,7 +45,6 @@ CHUNK = 1 << 20
 TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 _BLOCKS = "block long, lang string, doc_ids array<long>, sources array<string>, starts array<int>, ids binary, counts binary, terms array<binary>, docs array<int>, total array<long>"
-_VECTORS = "doc_id long, lang string, source string, indices array<int>, counts array<int>"
 
 
 def _one_list(values, kind) -> pa.Array:
@@ -126,50 +124,89 @@ def _block_terms(table: DataFrame) -> DataFrame:
     return each.select("block", "lang", "at", F.col("e.terms").cast("string").alias("term"), F.col("e.docs").alias("docs"), F.col("e.total").alias("total"))
 
 
-def vocabulary(table: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """lang, term, index (from 0, most frequent first, ties by the term's bytes), docs and total of all kept terms."""
-    sums = _block_terms(table).groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("total").alias("total"))
-    kept = sums.filter(F.col("docs") >= min_docs).withColumn("_less", -F.col("total"))
-    numbered = number_rows(kept, ["lang"], ["_less", "term"], "_n")
-    return settle(numbered.select("lang", "term", (F.col("_n") - 1).alias("index"), "docs", "total"))
+def numbered(table: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """block, lang, at, index of the kept terms of every block; term, docs and total stand in one row of each term.
+
+    A term has one row a block, so one deal of them by term gives its sums and its number (that of its least row:
+    numbers are unique, of any size, and have gaps).
+    """
+    each = _block_terms(table).withColumn("_row", F.monotonically_increasing_id())
+    own = W.partitionBy("lang", "term")
+    summed = each.withColumns({"docs": F.sum("docs").over(own), "total": F.sum("total").over(own), "index": F.min("_row").over(own)})
+    once = lambda c: F.when(F.col("_row") == F.col("index"), F.col(c)).alias(c)
+    return settle(summed.filter(F.col("docs") >= min_docs).select("block", "lang", "at", "index", once("term"), once("docs"), once("total")))
+
+
+def vocabulary(marked: DataFrame) -> DataFrame:
+    """lang, term, index, docs and total of all kept terms."""
+    return marked.filter("term is not null").select("lang", "term", "index", "docs", "total")
 
 
-def _transform(table: pa.Table, found: pa.Table) -> pa.Table:
-    """The count vectors of one block, given the vocabulary's numbers of its terms."""
+def _counted(row: int, table: pa.Table, found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The count vectors of a block as triples (document, index, count), in order, and the number of documents."""
+    starts = table.column("starts")[row].values.to_numpy(zero_copy_only=False)
+    ids, counts = (_unpack(table.column(c)[row].as_py(), int(starts[-1])) for c in ("ids", "counts"))
+    number = np.full(int(ids.max(initial=-1)) + 1, -1, np.int64)
+    number[found.column("at").to_numpy()] = found.column("index").to_numpy()
+    doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    index = number[ids]
+    kept = np.flatnonzero(index >= 0)
+    return doc[kept], index[kept], counts[kept].astype(np.int64), len(starts) - 1
+
+
+def _per_document(table: pa.Table, found: pa.Table) -> pa.Table:
     out = []
     for row in range(table.num_rows):
-        starts = table.column("starts")[row].values.to_numpy(zero_copy_only=False)
-        ids, counts = (_unpack(table.column(c)[row].as_py(), int(starts[-1])) for c in ("ids", "counts"))
-        number = np.full(int(ids.max(initial=-1)) + 1, -1, np.int32)
-        number[found.column("at").to_numpy()] = found.column("index").to_numpy()
-        doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-        index = number[ids]
-        kept = np.flatnonzero(index >= 0)
-        kept = kept[np.lexsort((index[kept], doc[kept]))]
-        offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc[kept], minlength=len(starts) - 1))]), pa.int32())
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(v[kept], pa.int32())) for v in (index, counts)]
-        sources, doc_ids = table.column("sources")[row].values, table.column("doc_ids")[row].values
-        lang = pa.array([table.column("lang")[row].as_py()] * len(doc_ids), pa.string())
-        out.append(pa.table([doc_ids, lang, sources, *lists], names=["doc_id", "lang", "source", "indices", "counts"]))
-    return pa.concat_tables(out) if out else pa.table({n: pa.array([], t) for n, t in _EMPTY.items()})
-
-
-_EMPTY = {"doc_id": pa.int64(), "lang": pa.string(), "source": pa.string(), "indices": pa.list_(pa.int32()), "counts": pa.list_(pa.int32())}
-
-
-def vectors(table: DataFrame, words: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the sparse count vector (indices ascending, counts) of every document."""
-    asked = _block_terms(table).select("block", "lang", "at", "term").join(words.select("lang", "term", "index"), ["lang", "term"])
-    asked = asked.select(F.col("block").alias("b"), F.col("lang").alias("l"), "at", "index")
+        doc, index, counts, docs = _counted(row, table, found)
+        order = np.lexsort((index, doc))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=docs))]), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(v[order])) for v in (index, counts)]
+        lang = pa.array([table.column("lang")[row].as_py()] * docs, pa.string())
+        out.append(pa.table([table.column("doc_ids")[row].values, lang, table.column("sources")[row].values, *lists], names=list(_VECTOR)))
+    return pa.concat_tables(out) if out else pa.table({n: pa.array([], t) for n, t in _VECTOR.items()})
+
+
+def _per_source(table: pa.Table, found: pa.Table) -> pa.Table:
+    """The document vectors of a block added up by source, sparse."""
+    out = []
+    for row in range(table.num_rows):
+        doc, index, counts, _ = _counted(row, table, found)
+        coded = table.column("sources")[row].values.dictionary_encode()
+        names, source = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        terms, term = np.unique(index, return_inverse=True)
+        cells, cell = np.unique(source[doc] * max(len(terms), 1) + term, return_inverse=True)
+        sums = np.zeros(len(cells), np.int64)
+        np.add.at(sums, cell, counts)
+        ends = np.searchsorted(cells // max(len(terms), 1), np.arange(len(names) + 1))
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v)) for v in (terms[cells % max(len(terms), 1)] if len(cells) else cells, sums)]
+        out.append(pa.table([pa.array([table.column("lang")[row].as_py()] * len(names), pa.string()), names, *lists], names=list(_SUMS)))
+    return pa.concat_tables(out) if out else pa.table({n: pa.array([], t) for n, t in _SUMS.items()})
+
+
+_VECTOR = {"doc_id": pa.int64(), "lang": pa.string(), "source": pa.string(), "indices": pa.list_(pa.int64()), "counts": pa.list_(pa.int64())}
+_SUMS = {n: _VECTOR[n] for n in ("lang", "source", "indices", "counts")}
+
+
+def _met(table: DataFrame, marked: DataFrame, run, schema: str) -> DataFrame:
+    """Every block with the numbers of its terms."""
+    asked = marked.select(F.col("block").alias("b"), F.col("lang").alias("l"), "at", "index")
     slim = table.select("block", "lang", "doc_ids", "sources", "starts", "ids", "counts")
-    return slim.groupBy("block", "lang").cogroup(asked.groupBy("b", "l")).applyInArrow(_transform, _VECTORS)
+    return slim.groupBy("block", "lang").cogroup(asked.groupBy("b", "l")).applyInArrow(run, schema)
+
+
+def vectors(table: DataFrame, marked: DataFrame) -> DataFrame:
+    """doc_id, lang, source and the sparse count vector (indices ascending, counts) of every document."""
+    return _met(table, marked, _per_document, "doc_id long, lang string, source string, indices array<long>, counts array<long>")
 
 
-def group_sums(found: DataFrame) -> DataFrame:
-    """lang, source, index and n: the sums of the document vectors of every group, sparse."""
-    entry = F.explode(F.arrays_zip("indices", "counts")).alias("e")
-    each = found.select("lang", "source", entry).select("lang", "source", F.col("e.indices").alias("index"), F.col("e.counts").cast("long").alias("n"))
-    return each.groupBy("lang", "source", "index").agg(F.sum("n").alias("n"))
+def group_sums(table: DataFrame, marked: DataFrame) -> DataFrame:
+    """lang, source, index and n: the sums of the document vectors of every group, sparse.
+
+    Vectors are added up in their block first, so that a group costs a row per block and term.
+    """
+    found = _met(table, marked, _per_source, "lang string, source string, indices array<long>, counts array<long>")
+    each = found.select("lang", "source", F.explode(F.arrays_zip("indices", "counts")).alias("e"))
+    return each.groupBy("lang", "source", F.col("e.indices").alias("index")).agg(F.sum("e.counts").alias("n"))
 
 
 def share(count: Column, rows: Column, size: Column) -> Column:
@@ -273,8 +310,9 @@ def term_values(held: DataFrame, words: DataFrame, sizes: DataFrame, top: int =
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
     """lang, source, part (`pair`, `term`), item, value and rank."""
     table = blocks(docs)
-    words = vocabulary(table, min_docs)
-    sums = settle(group_sums(vectors(table, words)))
+    marked = numbered(table, min_docs)
+    words = vocabulary(marked)
+    sums = settle(group_sums(table, marked))
     # One row a language, and one a group.
     sizes = settle(words.groupBy("lang").agg(F.sum("total").alias("rows"), F.count(F.lit(1)).alias("size")))
     rows = sums.groupBy("lang", "source").agg(F.sum("n").alias("rows"))

@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from levelgrid.llm import source_divergence as S
 from tests.llm.conftest import DOCS
@@ -35,7 +36,7 @@ def brute(rows, min_docs, top):
     return sorted(out)
 
 
-def test_matches_plain_arithmetic(spark, frame, monkeypatch):
+def test_matches_plain_arithmetic(spark, frame):
     rng = np.random.default_rng(5)
     words = np.array([*"a b c d e f g h".split(), "É", "é", "naïve", "the", "THE", "x1y", "日本", "ﬀ", "q"])
     rows = []
@@ -44,8 +45,6 @@ def test_matches_plain_arithmetic(spark, frame, monkeypatch):
         rows.append((lang, source, None if i % 19 == 0 else " ".join(rng.choice(words, rng.integers(0, 12)))))
     rows += [("solo", "only", "one two"), ("dry", "p", "1 2"), ("dry", "q", None), rows[3], rows[3]]
     df = frame(DOCS, [{"doc_id": i if i % 7 else None, "lang": a, "source": s, "text": t, "key": "clash"} for i, (a, s, t) in enumerate(rows)]).repartition(5)
-    monkeypatch.setattr(S, "CHUNK", 50)
-    monkeypatch.setattr(S, "BLOCK_ROWS", 20)
     for top in (200, 3):
         assert sorted(map(tuple, S.audit(df, 3, top).collect())) == brute(rows, 3, top)
 
@@ -53,10 +52,25 @@ def test_matches_plain_arithmetic(spark, frame, monkeypatch):
 def test_vectors_are_exact(spark, frame):
     rows = [{"doc_id": i, "lang": "en", "source": "s", "text": t} for i, t in enumerate(["b a b", "a b", "a B c", None, "a"])]
     table = S.blocks(frame(DOCS, rows))
-    words = S.vocabulary(table, 3)
-    assert sorted((r.term, r["index"], r.docs, r.total) for r in words.collect()) == [("a", 0, 4, 4), ("b", 1, 3, 4)]
-    found = {r.doc_id: (r.indices, r.counts) for r in S.vectors(table, words).collect()}
-    assert found == {0: ([0, 1], [1, 2]), 1: ([0, 1], [1, 1]), 2: ([0, 1], [1, 1]), 3: ([], []), 4: ([0], [1])}
+    marked = S.numbered(table, 3)
+    number = {r.term: r["index"] for r in S.vocabulary(marked).collect()}
+    assert sorted((r.term, r.docs, r.total) for r in S.vocabulary(marked).collect()) == [("a", 4, 4), ("b", 3, 4)] and len(set(number.values())) == 2
+    found = {r.doc_id: dict(zip(r["indices"], r.counts)) for r in S.vectors(table, marked).collect()}
+    a, b = number["a"], number["b"]
+    assert found == {0: {a: 1, b: 2}, 1: {a: 1, b: 1}, 2: {a: 1, b: 1}, 3: {}, 4: {a: 1}}
+    assert sorted((r["index"], r.n) for r in S.group_sums(table, marked).collect()) == sorted([(a, 4), (b, 4)])
+
+
+def test_pairs_in_any_chunks(monkeypatch):
+    """Sums over the terms that two sources hold do not depend on how many are looked at in one go."""
+    rng = np.random.default_rng(4)
+    held = [("en", [{"source": f"s{i}", "p": int(rng.integers(1, 10**6)), "none": 7 + i} for i in sorted(rng.choice(6, rng.integers(2, 6), False))]) for _ in range(50)]
+    kind = pa.list_(pa.struct([("source", pa.string()), ("p", pa.int64()), ("none", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([h[0] for h in held]), pa.array([h[1] for h in held], kind)], ["lang", "e"])
+    run = lambda: sorted(map(str, next(S._both_hold(iter([batch.slice(0, 20), batch.slice(20)]))).to_pylist()))
+    whole = run()
+    monkeypatch.setattr(S, "CHUNK", 10)
+    assert run() == whole and len(whole) == 30
 
 
 def test_cases(edge_docs, no_docs):
