@@ -44,3 +44,22 @@ def running(df: DataFrame, keys: list[str], order: str, value: str, name: str, a
     local = fold(value).over(W.partitionBy(*keys, "_range").orderBy(turned(order)).rowsBetween(W.unboundedPreceding, -1))
     out = attach(ranged.withColumn("_local", local), other, [*keys, "_range"])
     return out.withColumn(name, best("_local", "_other")).drop("_local", "_other", "_range")
+
+
+def nearest(rows: DataFrame, sites: DataFrame, keys: list[str], at: str, value: str, item: str, id: str) -> DataFrame:
+    """keys, id, gap, item, value of the site whose value is nearest to a row's `at` (ties: the least item).
+
+    An as-of join to both sides: values and rows are sorted together, and the last value below and the first
+    above are carried to each row, over range borders too. A value counts once, however many sites share it, so the
+    work is linear in rows and sites.
+    """
+    keys = list(keys)
+    alone = settle(sites.groupBy(*keys, F.col(value).alias("_v")).agg(F.min(item).alias("_item")))
+    marks = alone.select(*keys, F.col("_v").alias("_at"), "_v", F.lit(None).cast(rows.schema[id].dataType).alias("_id"))
+    marks = marks.unionByName(rows.select(*keys, F.col(at).alias("_at"), F.lit(None).cast("double").alias("_v"), F.col(id).alias("_id")))
+    near = running(running(marks, keys, "_at", "_v", "_below"), keys, "_at", "_v", "_above", ahead=True).filter("_id is not null")
+    # A site at the row's own place is neither before nor after it.
+    tried = near.select(*keys, "_id", "_at", F.explode(F.array_distinct(F.array("_below", "_above", "_at"))).alias("_v"))
+    met = tried.join(alone, [*keys, "_v"]).withColumn("_gap", F.abs(F.col("_at") - F.col("_v")))
+    best = met.groupBy(*keys, "_id").agg(F.min(F.struct("_gap", "_item", "_v")).alias("_b"))
+    return best.select(*keys, F.col("_id").alias(id), F.col("_b._gap").alias("gap"), F.col("_b._item").alias("item"), F.col("_b._v").alias("value"))

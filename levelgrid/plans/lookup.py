@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from levelgrid.functions import arrangement as arr
 from levelgrid.functions import geometry as g
 from levelgrid.functions import tiles
+from levelgrid.functions.numbering import nearest
 from levelgrid.plans.documents import PLAN, PlanTables
 from levelgrid.plans.rooms import wall_lines, wall_polygons
 from levelgrid.session import settle
@@ -165,10 +166,8 @@ def snap(points: DataFrame, t: PlanTables, pixels_per_meter: float, grid: float
     ext = take(m.filter("_t <= 0 or _t >= 1").filter((past > 0) & (past <= EXTENSION)), "extension", foot, F.col("wall_id"))
 
     def guide(axis):
-        cells = v.select(*PLAN, F.col("vertex_id").alias("item"), F.col(axis).alias("q"))
-        cells = cells.withColumn("_c", F.explode(F.sequence(tiles.cell("q", tol) - 1, tiles.cell("q", tol) + 1)))
-        hit = cur.withColumn("_c", tiles.cell(axis, tol)).join(cells, [*PLAN, "_c"]).withColumn("_g", F.abs(F.col(axis) - F.col("q"))).filter(F.col("_g") <= tol)
-        return hit.groupBy("id").agg(F.min(F.struct("_g", "item", "q")).alias(f"_{axis}"))
+        hit = nearest(cur, v, PLAN, axis, axis, "vertex_id", "id").filter(F.col("gap") <= tol)
+        return hit.select("id", F.struct(F.col("gap").alias("_g"), "item", F.col("value").alias("q")).alias(f"_{axis}"))
 
     al = cur.join(guide("x"), "id", "left").join(guide("y"), "id", "left").filter("_x is not null or _y is not null")
     aq = g.P(F.coalesce(F.col("_x.q"), F.col("x")), F.coalesce(F.col("_y.q"), F.col("y")))

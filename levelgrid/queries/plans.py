@@ -354,16 +354,18 @@ def lookup(spark, sf):
     return hits.filter("rank = 1").select("plan_id", "point_id", "kind", "item", r6("distance").alias("distance"))
 
 
-@query("snap", f"""SELECT plan_id, point_id, kind, x, y FROM (SELECT plan_id FROM ({BASE}) b) b, (VALUES (1, 'vertex', 0.0::DOUBLE, 0.0::DOUBLE), (2, 'foot', 4.0, 0.0), (3, 'alignment', 5.0, 1.5), (4, 'grid', 1.23, 1.46), (5, 'angle', 1.5, 1.5)) v(point_id, kind, x, y)""")
+# Cursors on all walls and vertices of every plan: 1 a corner, 2 a wall, 3 the inner or right outer wall at x = 5,
+# 4 nothing but the grid, 5 a turned ray, 6 below the plan and out of reach of any extension, 7 left of the south wall,
+# 8 its middle, where a quarter of the plans have a vertex (u1, on one line with v1), 9 and 10 one guide each.
+@query("snap", f"""SELECT plan_id, point_id, CASE WHEN point_id = 8 AND s % 4 = 1 THEN 'vertex' ELSE kind END AS kind, x, y, CASE WHEN point_id IN (8, 10) AND s % 4 = 1 THEN 'u1' WHEN point_id = 3 THEN concat('w', CAST(nx * (ny + 1) + 2 AS STRING)) ELSE item END AS item FROM (SELECT plan_id, s, nx, ny FROM ({BASE}) b) b,
+    (VALUES (1, 'vertex', 0.0::DOUBLE, 0.0::DOUBLE, 'v1'), (2, 'foot', 4.0, 0.0, 'w1'), (3, 'foot', 5.0, 1.5, ''), (4, 'grid', 1.23, 1.46, '-'), (5, 'angle', 1.5, 1.5, '-'), (6, 'alignment', 5.0, -2.5, 'v2'), (7, 'extension', -1.0, 0.0, 'w1'), (8, 'midpoint', 2.5, 0.0, 'w1'), (9, 'alignment', 5.0, -2.5, 'v2'), (10, 'alignment', -2.5, 0.0, 'v1')) v(point_id, kind, x, y, item)""")
 def snap(spark, sf):
     t = plan_tables(spark, sf)
-    t = t.with_(vertices=t.vertices.filter("vertex_id like 'v%'"))
-    none = F.lit(None).cast("double")
-    at = lambda i, x, y, d=none: F.struct(F.lit(i).alias("point_id"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(0.5).alias("px"), F.lit(0.5).alias("py"), d.alias("dir_x"), d.alias("dir_y"))
-    q = t.levels.select(*PLAN, F.explode(F.array(at(1, 0.03, 0.04), at(2, 4.0, 0.05), at(3, 4.96, 1.5), at(4, 1.2321, 1.4621), at(5, 1.502, 1.498, F.lit(1.0)))).alias("p")).select(*PLAN, "p.*")
-    # Alignment at 4.96 meets the wall on x = 5 in plans where it runs there; those give a foot instead.
-    s = L.snap(q, t.with_(walls=t.walls.filter("wall_id = 'w1'")), 100.0)
-    return s.select("plan_id", "point_id", "kind", r6("x").alias("x"), r6("y").alias("y"))
+    at = lambda i, x, y, d=None: F.struct(F.lit(i).alias("point_id"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(0.5).alias("px"), F.lit(0.5).alias("py"), F.lit(d).cast("double").alias("dir_x"), F.lit(d).cast("double").alias("dir_y"))
+    spots = [(0.03, 0.04), (4.0, 0.05), (4.96, 1.5), (1.2321, 1.4621), (1.502, 1.498, 1.0), (4.96, -2.5), (-1.0, 0.04), (2.46, 0.03), (5.07, -2.5), (-2.5, 0.06)]
+    q = t.levels.select(*PLAN, F.explode(F.array(*[at(i, *p) for i, p in enumerate(spots, 1)])).alias("p")).select(*PLAN, "p.*")
+    s = L.snap(q, t, 100.0)
+    return s.select("plan_id", "point_id", "kind", r6("x").alias("x"), r6("y").alias("y"), F.coalesce("item", F.lit("-")).alias("item"))
 
 
 _SHAPES = f"""SELECT plan_id, 'vertex' AS kind, vertex_id AS item, x AS x0, y AS y0, x AS x1, y AS y1 FROM ({VERTS}) v UNION ALL SELECT plan_id, 'fixture', fixture_id, CASE WHEN rotation_deg = 90 THEN x - depth / 2 ELSE x - width / 2 END, CASE WHEN rotation_deg = 90 THEN y - width / 2 ELSE y - depth / 2 END,
