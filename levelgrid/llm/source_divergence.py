@@ -59,17 +59,24 @@ def _unpack(blob: bytes, size: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(blob, 4 * size, "zstd"), np.int32)
 
 
+class _Numbers(dict):
+    """Numbers terms in the order in which they are first asked for."""
+
+    def __missing__(self, term: bytes) -> int:
+        self[term] = number = len(self)
+        return number
+
+
 class _Block:
     """Documents of one language with numbers of their own for its terms."""
 
     def __init__(self):
         self.doc_ids, self.sources, self.starts = [], [], [0]
-        self.ids, self.counts, self.numbers = array("i"), array("i"), {}
+        self.ids, self.counts, self.numbers = array("i"), array("i"), _Numbers()
 
     def add(self, doc_id, source, text: bytes):
-        numbers = self.numbers
         found = Counter(text.translate(TERM_BYTES).split())
-        self.ids.extend([numbers.setdefault(w, len(numbers)) for w in found])
+        self.ids.extend(map(self.numbers.__getitem__, found))
         self.counts.extend(found.values())
         self.starts.append(len(self.ids))
         self.doc_ids.append(doc_id)

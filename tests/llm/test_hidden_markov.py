@@ -130,7 +130,10 @@ def test_cases(spark, edge_docs, no_docs):
     assert len(unlearned) == 7 and all(r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0 and math.isfinite(r.score) for r in unlearned)
 
 
-def test_long_words_are_held_by_digest():
-    a, b = H.tokens(b"x" * 5000), H.tokens(b"x" * 5001)
-    assert a != b and len(a) == 2 and len(a[0]) == 65 and a[0][:1] == H.END and a[1] == H.END
+def test_long_words_are_held_by_digest(frame):
+    a, b = H.held(b"x" * 5000), H.held(b"x" * 5001)
+    assert a != b and len(a) == 65 and a[:1] == H.END and H.held(b"x" * 64) == b"x" * 64
     assert H.tokens("É Ab\x0bC\x1cd".encode()) == ["É".encode(), b"ab", b"c\x1cd", b" "]
+    docs = frame("doc_id long, text string", [{"doc_id": 1, "text": "y" * 70 + " " + "y" * 70}, {"doc_id": 2, "text": "y" * 71}])
+    found = {bytes(r.term): r.n for r in H.counts(H.blocks(docs, F.lit(False))).collect()}
+    assert found == {H.held(b"y" * 70): 2, H.held(b"y" * 71): 1, H.END: 2}
