@@ -2,8 +2,8 @@
 
 Every operator takes plan tables and an ops table (plan_id, level_id, seq and
 its own columns) and returns (tables, rejects). A rejected op changes nothing.
-Operators expect at most one op per plan in a call; `apply_ops` splits longer
-lists into rounds.
+Operators expect ops of one call to be independent of each other; `apply_ops`
+deals longer lists to rounds of such ops.
 """
 
 from __future__ import annotations
@@ -585,23 +585,42 @@ ARGS = (
 )
 
 
+def op_rounds(parsed: DataFrame) -> DataFrame:
+    """Adds _k, the round of every op (plan, level, seq, op, target): the longest chain of ops that it has to follow.
+
+    Ops on one element follow each other. A wall move changes the geometry of its level, so it follows the moves
+    before it and the opening edits since, which measure walls; these follow the move before them. All
+    other ops stand alone, and a level's moves are all that can make its rounds many.
+    """
+    order = ["seq", "op", "target"]
+    move, opening = F.col("op") == "move_wall", F.col("op") == "set_opening"
+    before = W.partitionBy(*PLAN).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    out = parsed.withColumn("_epoch", F.when(move | opening, F.coalesce(F.sum(move.cast("int")).over(before), F.lit(0))).otherwise(F.lit(-1)))
+    out = settle(out.withColumn("_turn", F.row_number().over(W.partitionBy(*PLAN, "op", "target", "_epoch").orderBy(*order))))
+    # What an epoch takes: its opening edits, the longest list on one opening, and the move that ends it.
+    epochs = out.filter("_epoch >= 0").groupBy(*PLAN, "_epoch").agg(F.coalesce(F.max(F.when(opening, F.col("_turn"))), F.lit(0)).alias("_depth"))
+    past = W.partitionBy(*PLAN).orderBy("_epoch").rowsBetween(W.unboundedPreceding, -1)
+    epochs = epochs.withColumn("_start", F.coalesce(F.sum(F.col("_depth") + 1).over(past), F.lit(0)))
+    out = attach(out, epochs, [*PLAN, "_epoch"], "left")
+    k = F.when(opening, F.col("_start") + F.col("_turn")).when(move, F.col("_start") + F.col("_depth") + 1).otherwise(F.col("_turn"))
+    return out.withColumn("_k", k.cast("int")).drop("_epoch", "_turn", "_depth", "_start")
+
+
 def apply_ops(t: PlanTables, ops: DataFrame) -> tuple[PlanTables, DataFrame]:
     """Typed ops (plan_id, level_id, seq, op, args JSON) in order, all or nothing per plan.
 
-    Round k applies the k-th op of every plan at once, so the number of
-    rounds is the longest op list, not the number of ops. Only plans with ops
-    are rewritten by the rounds.
+    A round applies all ops that wait for no other one, in all plans at once, so the number of rounds is the
+    longest chain of ops that depend on each other. Only plans with ops are rewritten by the rounds.
     """
     parsed = ops.withColumn("_a", F.from_json("args", ARGS)).select(*PLAN, "seq", "op", "_a.*")
-    parsed = settle(number_rows(parsed, ["plan_id"], ["seq"], "_k"))
     target = F.when(F.col("op") == "set_room_name", F.col("roomId")).when(F.col("op") == "set_opening", F.col("openingId")).otherwise(F.col("wallId"))
-    parsed = parsed.withColumn("target", target)
+    parsed = settle(parsed.withColumn("target", target))
     known = ["set_wall_thickness", "move_wall", "set_opening", "set_room_name"]
     required = F.col("target").isNotNull() & F.when(F.col("op") == "set_wall_thickness", F.col("thickness").isNotNull()).when(F.col("op") == "move_wall", F.col("dx").isNotNull() & F.col("dy").isNotNull()).when(
         F.col("op") == "set_room_name", F.col("name").isNotNull()).otherwise(F.lit(True))
     bad = parsed.filter(~F.coalesce(F.col("op").isin(*known) & required, F.lit(False)))
     rejects = [_reject(bad, F.concat(F.lit("Not an op: "), F.coalesce("op", F.lit("null"))))]
-    parsed = settle(parsed.join(bad.select(*PLAN, "seq"), [*PLAN, "seq"], "left_anti"))
+    parsed = settle(op_rounds(parsed.join(bad.select(*PLAN, "seq"), [*PLAN, "seq"], "left_anti")))
     present = parsed.groupBy("_k", "op").count().collect()  # one row per round and op kind
     rounds = sorted({r["_k"] for r in present})
     # Rounds see the plans with ops only; all others pass through untouched.
@@ -609,7 +628,7 @@ def apply_ops(t: PlanTables, ops: DataFrame) -> tuple[PlanTables, DataFrame]:
     work = t.map(lambda _name, df: settle(attach(df, touched, ["plan_id"])))
     now = work
     for k in rounds:
-        mine = parsed.filter(F.col("_k") == k)
+        last, mine = now, parsed.filter(F.col("_k") == k)
         for op in [r["op"] for r in present if r["_k"] == k]:
             part = mine.filter(F.col("op") == op)
             if op == "set_wall_thickness":
@@ -622,7 +641,8 @@ def apply_ops(t: PlanTables, ops: DataFrame) -> tuple[PlanTables, DataFrame]:
                 payload = [F.col(c).alias(f"p_{n}") for c, n in (("kind", "kind"), ("offset", "offset"), ("width", "width"), ("sill", "sill"), ("head", "head"), ("swing", "swing"), ("swingSide", "swing_side"), ("confidence", "confidence"))]
                 now, rej = set_openings(now, part.select(*PLAN, "seq", "target", *payload))
             rejects.append(settle(rej))
-        now = now.with_(walls=settle(now.walls), vertices=settle(now.vertices), openings=settle(now.openings), rooms=settle(now.rooms))
+        # Only what the round changed is written.
+        now = now.map(lambda name, df: df if df is getattr(last, name) else settle(df))
     from levelgrid.plans.validate import validate
 
     refused = settle(reduce(DataFrame.unionByName, rejects))

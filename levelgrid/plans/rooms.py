@@ -247,8 +247,11 @@ def match_rooms(faces: DataFrame, seeds: DataFrame, keys=PLAN) -> tuple[DataFram
     )
     lost = seeds.join(rooms.select(*keys, "room_id"), [*keys, "room_id"], "left_anti")
     shared = rooms.groupBy(*keys, "face").agg(F.count(F.lit(1)).alias("_n"), F.min("room_id").alias("room_id")).filter("_n > 1")
+    # An id has at most 32 characters; a longer one ends in a digest of the whole, so that long room ids stay apart.
+    full = lambda code: F.concat(F.lit(f"i-{code}-"), "room_id")
+    short = lambda name: F.when(F.length(name) <= 32, name).otherwise(F.concat(F.substring(name, 1, 15), F.lit("-"), F.substring(F.sha2(name, 256), 1, 16)))
     issue = lambda df, code, message: df.select(
-        *keys, F.col("room_id").alias("element_id"), F.substring(F.concat(F.lit(f"i-{code}-"), "room_id"), 1, 32).alias("issue_id"),
+        *keys, F.col("room_id").alias("element_id"), short(full(code)).alias("issue_id"),
         F.lit("warning").alias("severity"), F.lit(code).alias("code"), F.lit(message).alias("message"),
     )
     issues = issue(lost, "room_seed_lost", "The room seed is not inside a free face.").unionByName(

@@ -183,7 +183,13 @@ def consolidate_issues(raw: DataFrame) -> DataFrame:
     )
 
 
+# Fields of an export record, shapes of URLs and tokens that it may not hold, and its messages.
 EXPORT_FIELDS = ["fileId", "versionId", "folderId", "name", "savedAt"]
+URL_SHAPE = r"(?i)://|[?&#]|=|\bbearer\b"
+TOKEN_SHAPE = r"[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"
+NOT_A_TIME = "savedAt must be an ISO date and time."
+HOLDS_SECRET = "The export record cannot hold a URL or a token ({})."
+LACKS_VALUE = "The export record needs a value for {}."
 
 
 def check_exports(records: DataFrame) -> DataFrame:
@@ -194,11 +200,11 @@ def check_exports(records: DataFrame) -> DataFrame:
     """
     reason = F.lit(None).cast("string")
     iso = F.try_to_timestamp(F.col("savedAt")).isNotNull() & F.col("savedAt").rlike(r"^\d{4}-?\d{2}-?\d{2}")
-    reason = F.when(~iso, F.lit("savedAt must be an ISO date and time."))
+    reason = F.when(~iso, F.lit(NOT_A_TIME))
     for f in reversed(EXPORT_FIELDS):
         c = F.col(f)
-        secret = c.rlike(r"(?i)://|[?&#]|=|\bbearer\b") | c.rlike(r"[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
-        reason = F.when(secret, F.lit(f"The export record cannot hold a URL or a token ({f}).")).otherwise(reason)
+        secret = c.rlike(URL_SHAPE) | c.rlike(TOKEN_SHAPE)
+        reason = F.when(secret, F.lit(HOLDS_SECRET.format(f))).otherwise(reason)
         empty = c.isNull() | (F.length(F.trim(c)) == 0) | (F.length(c) > 300)
-        reason = F.when(empty, F.lit(f"The export record needs a value for {f}.")).otherwise(reason)
+        reason = F.when(empty, F.lit(LACKS_VALUE.format(f))).otherwise(reason)
     return records.withColumn("reason", reason)

@@ -87,14 +87,19 @@ def thickness_mae(spark, sf):
     return m.select("plan_id", r6("mae").alias("mae"), "walls")
 
 
-@query("wall_iou", f"SELECT plan_id, CASE WHEN s % 2 = 0 THEN TRUE ELSE FALSE END AS equal, CASE WHEN s % 2 = 0 THEN TRUE ELSE abs(0.02 / (t + 0.02) - 0.02 / (t + 0.02)) < 0.05 END AS near FROM ({BASE}) b")
+# Area of a lattice of walls of thickness t: the bars, less what crossings, T joints and corners count twice, and the
+# four round outer corners.
+_LATTICE = lambda t: f"((ny + 1) * 5 * nx * ({t}) + (nx + 1) * 4 * ny * ({t}) - ({t}) * ({t}) * ((nx - 1) * (ny - 1) + (nx - 1) + (ny - 1) + 1) + pi() * ({t}) * ({t}) / 4)"
+
+
+@query("wall_area", f"SELECT plan_id, {r(_LATTICE('t'), 'area')} FROM ({BASE}) b")
+def wall_area(spark, sf):
+    return Q.wall_area(wall_segments(spark, sf), PLAN).select("plan_id", r6("area").alias("area"))
+
+
+@query("wall_iou", f"SELECT plan_id, {r('CASE WHEN s % 2 = 0 THEN 1 ELSE ' + _LATTICE('t') + ' / ' + _LATTICE('t + 0.02') + ' END', 'iou')} FROM ({BASE}) b")
 def wall_iou(spark, sf):
-    m = Q.wall_iou(shifted_walls(spark, sf), wall_segments(spark, sf), 0.02, PLAN)
-    b = lay(spark, sf, "base").select("plan_id", F.col("t").cast("double").alias("t"))
-    m = m.join(b, "plan_id")
-    # Thickening by d leaves about t / (t + d) in common; the grid costs a cell on each side.
-    want = F.when(num() % 2 == 0, 1.0).otherwise(F.col("t") / (F.col("t") + 0.02))
-    return m.select("plan_id", (F.col("iou") == 1.0).alias("equal"), (F.abs(F.col("iou") - want) < 0.12).alias("near"))
+    return Q.wall_iou(shifted_walls(spark, sf), wall_segments(spark, sf), PLAN).select("plan_id", r6("iou").alias("iou"))
 
 
 def truth_rooms(spark, sf):

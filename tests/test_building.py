@@ -39,7 +39,7 @@ def test_walls(spark, found):
     assert walls.groupBy(*LEVEL).count().orderBy("level_index").collect()[0]["count"] == 5
     mae = metrics.thickness_mae(walls.withColumn("pred_id", F.col("wall_id")), truth).collect()
     assert all(m.mae <= 0.02 and m.walls == 5 for m in mae)
-    iou = metrics.wall_iou(walls, truth, 0.02).collect()
+    iou = metrics.wall_iou(walls, truth).collect()
     assert all(v.iou >= 0.90 for v in iou)
 
 
