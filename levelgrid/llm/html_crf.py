@@ -329,8 +329,14 @@ def labelled(pages: list[str]) -> list[tuple[list[Block], np.ndarray]]:
 
 def sample(pages: DataFrame, rows: int = SAMPLE_PAGES, chars: int = SAMPLE_CHARS) -> list[str]:
     """At most `rows` of the pages with an element that names main text, chosen by a hash of page_id."""
-    usable = pages.filter((F.length("html") <= chars) & F.col("html").rlike(f"(?i)<({'|'.join(sorted(MAIN))})[\\s/>]")).select("html", F.xxhash64("page_id").alias("at"))
-    return sorted(r["html"] for r in usable.orderBy("at").limit(rows).collect())
+    usable = pages.filter((F.length("html") <= chars) & F.col("html").rlike(f"(?i)<({'|'.join(sorted(MAIN))})[\\s/>]"))
+    marked = usable.select("html", F.struct(F.xxhash64("page_id").alias("id"), F.xxhash64("html").alias("html")).alias("at"))
+    # The marks alone find the bound; then only the chosen pages are moved.
+    last = marked.select("at").orderBy("at").limit(rows).agg(F.max("at")).first()[0]
+    if last is None:
+        return []
+    chosen = marked.filter(F.col("at") <= F.struct(F.lit(last["id"]).alias("id"), F.lit(last["html"]).alias("html")))
+    return sorted(r["html"] for r in chosen.orderBy("at").limit(rows).collect())
 
 
 def learn(pages: DataFrame) -> Crf:
