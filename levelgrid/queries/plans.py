@@ -357,7 +357,8 @@ def lookup(spark, sf):
 # Cursors on all walls and vertices of every plan: 1 a corner, 2 a wall, 3 the inner or right outer wall at x = 5,
 # 4 nothing but the grid, 5 a turned ray, 6 below the plan and out of reach of any extension, 7 left of the south wall,
 # 8 its middle, where a quarter of the plans have a vertex (u1, on one line with v1), 9 and 10 one guide each.
-@query("snap", f"""SELECT plan_id, point_id, CASE WHEN point_id = 8 AND s % 4 = 1 THEN 'vertex' ELSE kind END AS kind, x, y, CASE WHEN point_id IN (8, 10) AND s % 4 = 1 THEN 'u1' WHEN point_id = 3 THEN concat('w', CAST(nx * (ny + 1) + 2 AS STRING)) ELSE item END AS item FROM (SELECT plan_id, s, nx, ny FROM ({BASE}) b) b,
+# Of vertices on one guide the least id is named.
+@query("snap", f"""SELECT plan_id, point_id, CASE WHEN point_id = 8 AND s % 4 = 1 THEN 'vertex' ELSE kind END AS kind, x, y, CASE WHEN point_id IN (8, 10) AND s % 4 = 1 THEN 'u1' WHEN point_id = 3 THEN concat('w', CAST(nx * (ny + 1) + 2 AS STRING)) WHEN point_id IN (6, 9) THEN least('v2', concat('v', CAST(nx + 3 AS STRING)), CASE WHEN ny = 2 THEN concat('v', CAST(2 * nx + 4 AS STRING)) ELSE 'v2' END) ELSE item END AS item FROM (SELECT plan_id, s, nx, ny FROM ({BASE}) b) b,
     (VALUES (1, 'vertex', 0.0::DOUBLE, 0.0::DOUBLE, 'v1'), (2, 'foot', 4.0, 0.0, 'w1'), (3, 'foot', 5.0, 1.5, ''), (4, 'grid', 1.23, 1.46, '-'), (5, 'angle', 1.5, 1.5, '-'), (6, 'alignment', 5.0, -2.5, 'v2'), (7, 'extension', -1.0, 0.0, 'w1'), (8, 'midpoint', 2.5, 0.0, 'w1'), (9, 'alignment', 5.0, -2.5, 'v2'), (10, 'alignment', -2.5, 0.0, 'v1')) v(point_id, kind, x, y, item)""")
 def snap(spark, sf):
     t = plan_tables(spark, sf)
