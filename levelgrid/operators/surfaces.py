@@ -122,8 +122,7 @@ def _on_seed_plane(points: DataFrame, keys: list[str]) -> DataFrame:
     fit = fit_normals(moments, snap=False).select(*of, F.col("nx").alias("_px"), F.col("ny").alias("_py"), F.col("offset").alias("_po"))
     near = attach(near, seed.select(*of).join(fit, of, "left"), of)
     inside = F.coalesce(close(F.col("_px"), F.col("_py"), F.col("_po")), F.lit(False))
-    names = [c for c in points.columns]
-    return near.withColumns({"_in": inside, "_first": F.col("_u0") == F.col("_seed")}).select(*names, "_in", "_first")
+    return near.withColumns({"_in": inside, "_first": F.col("_u0") == F.col("_seed")}).select(*points.columns, "_in", "_first")
 
 
 def plane_segments(points: DataFrame, keys=LEVEL, min_points: int = MIN_POINTS, patch: float | None = None) -> DataFrame:
