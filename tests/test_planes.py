@@ -83,3 +83,14 @@ def test_order_and_partitions_do_not_matter(spark):
     points = spark.createDataFrame(rows, COLUMNS)
     sizes = lambda df: sorted(r["count"] for r in S.plane_segments(df, min_points=50).groupBy("plane").count().collect())
     assert sizes(points.repartition(3)) == sizes(points.orderBy(F.rand(3)).coalesce(1))
+
+
+def test_last_millimetres_of_a_wall(spark):
+    """Points above each other, 2 mm apart across the wall: the plane faces as they do and joins the wall."""
+    strip = [("S", 0, 8.0, 0.001 * (k % 3), 0.1 * k, 0.0, 1.0, 0.0) for k in range(15)]
+    p = spark.createDataFrame(flat("S", 6.0, 0.0, 8.0, 0.0) + strip, COLUMNS).withColumn("plane", F.when(F.col("x") < 7.999, 1).otherwise(2).cast("bigint"))
+    p = settle(p)
+    fitted = {r.plane: (round(r.nx, 3), round(r.ny, 3)) for r in S.fit_planes(p, min_area=0.0).collect()}
+    assert fitted == {1: (0.0, 1.0), 2: (0.0, 1.0)}
+    merged = S.merge_planes(S.fit_planes(p, min_area=0.0), p)[0].collect()
+    assert [(r.n, round(r.along1 - r.along0, 3)) for r in merged] == [(p.count(), 2.0)]
