@@ -94,3 +94,14 @@ def test_last_millimetres_of_a_wall(spark):
     assert fitted == {1: (0.0, 1.0), 2: (0.0, 1.0)}
     merged = S.merge_planes(S.fit_planes(p, min_area=0.0), p)[0].collect()
     assert [(r.n, round(r.along1 - r.along0, 3)) for r in merged] == [(p.count(), 2.0)]
+
+
+def test_axis_planes_leave_edges_out(spark):
+    """A voxel on the edge of two walls has a mean normal within the bin of one of them."""
+    from levelgrid.operators import normalize as N
+
+    wall = [("S", 0, 1.025 + 0.05 * k, 0.02, 0.025, 0.0, 1.0, 0.0) for k in range(80)]
+    edge = [("S", 0, 0.976, 0.02, 0.025, 0.0, 1.0, 0.0)] * 199 + [("S", 0, 0.999, 0.01, 0.025, 1.0, 0.0, 0.0)]
+    p = spark.createDataFrame(wall + edge, COLUMNS)
+    n = lambda **k: [r.n for r in N.coarse_planes(p, ["scan_id"], 60, **k).collect()]
+    assert n() == [81] and n(axis_share=0.9999999) == [80]
