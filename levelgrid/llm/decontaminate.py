@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,8 @@ WINDOW = 10
 # Test vocabularies up to this size go to every task, which then keeps the postings of test terms only. A larger
 # one is not sent: the index then has all terms, and joins find the test terms. Results are the same.
 SENT_TERMS = 200_000
+# Words compared at once: alignments times words of a test.
+CELLS = 1 << 18
 
 _POSTINGS = pa.list_(pa.struct([("term", pa.string()), ("positions", pa.list_(pa.int32()))]))
 _INDEX_SQL = "row_id long, doc_id long, text_hash long, n_words long, postings array<struct<term:string,positions:array<int>>>"
@@ -46,6 +49,12 @@ def tests(benchmark: DataFrame) -> DataFrame:
     return settle(items.filter("size(words) > 0").distinct().withColumn("item", F.monotonically_increasing_id()))
 
 
+def _bounds(lists: pa.Array) -> np.ndarray:
+    """Where each list begins and the last one ends in the flat values."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+
+
 def _ints(values: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(values) if values else np.zeros(0, np.int64)
 
@@ -127,26 +136,30 @@ def _verify(index: DataFrame, items: DataFrame, tries: DataFrame, check) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            # Terms are numbered once a batch; what a row takes of the flat arrays are slices.
+            n_words = batch.column(1).to_numpy(zero_copy_only=False)
+            terms, positions = batch.column(2).flatten().flatten()
+            coded = terms.dictionary_encode()
+            of_row, of_term = _bounds(batch.column(2)), _bounds(positions)
+            places = positions.flatten().to_numpy(zero_copy_only=False)
+            codes = np.repeat(coded.indices.to_numpy(zero_copy_only=False), np.diff(of_term))
+            item_ids, words, starts = batch.column(3).flatten().flatten()
+            tries_of, words_of, starts_of = _bounds(batch.column(3)), _bounds(words), _bounds(starts)
+            # A word that no row of the batch has is equal to no token.
+            wanted = pc.fill_null(pc.index_in(words.flatten(), value_set=coded.dictionary), -2).to_numpy(zero_copy_only=False)
+            begins = starts.flatten().to_numpy(zero_copy_only=False)
             out = []
-            for i in range(len(batch)):
-                row_id, n_words = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                number: dict[str, int] = {}
-                attempts = batch.column(3)[i].as_py()
-                for t in attempts:
-                    for w in t["words"]:
-                        number.setdefault(w, len(number))
-                tokens = np.full(n_words, -1, np.int64)
-                for p in batch.column(2)[i]:
-                    code = number.get(p["term"].as_py())
-                    if code is not None:
-                        tokens[p["positions"].values.to_numpy()] = code
-                covered, found = np.zeros(n_words + 1, np.int64), set()
-                for t in attempts:
-                    for begin, end in check(tokens, np.array([number[w] for w in t["words"]]), t["starts"]):
+            for i, row_id in enumerate(batch.column(0).to_pylist()):
+                tokens = np.full(n_words[i], -1, np.int64)
+                own = slice(of_term[of_row[i]], of_term[of_row[i + 1]])
+                tokens[places[own]] = codes[own]
+                covered, found = np.zeros(n_words[i] + 1, np.int64), set()
+                for t in range(tries_of[i], tries_of[i + 1]):
+                    for begin, end in check(tokens, wanted[words_of[t] : words_of[t + 1]], begins[starts_of[t] : starts_of[t + 1]]):
                         covered[begin] += 1
                         covered[end] -= 1
-                        found.add(t["item_id"])
-                out.append((row_id, int((np.cumsum(covered) > 0).sum()), sorted(found)))
+                        found.add(item_ids[t].as_py())
+                out.append((row_id, int((np.cumsum(covered) > 0).sum()) if found else 0, sorted(found)))
             columns = list(zip(*out)) if out else [(), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.string()))], ["row_id", "n_hit", "items"]
@@ -155,16 +168,26 @@ def _verify(index: DataFrame, items: DataFrame, tries: DataFrame, check) -> Data
     return met.select("row_id", "n_words", "postings", "tries").mapInArrow(run, "row_id long, n_hit long, items array<string>")
 
 
-def phrase_runs(tokens: np.ndarray, words: np.ndarray, starts: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
+def phrase_runs(tokens: np.ndarray, words: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
     """Spans of the document where a window of the test stands, at the given alignments."""
     size, out = min(window, len(words)), []
-    for start in starts:
-        low, high = max(0, -start), min(len(words), len(tokens) - start)
-        if high - low < size:
+    starts, at = np.asarray(starts, np.int64), np.arange(len(words))
+    if not len(tokens):
+        return out
+    # All alignments at once, in blocks of bounded cells.
+    block = max(1, CELLS // len(words))
+    for k in range(0, len(starts), block):
+        begin = starts[k : k + block]
+        place = begin[:, None] + at
+        same = (tokens.take(place, mode="clip") == words) & (place >= 0) & (place < len(tokens))
+        some = np.flatnonzero(same.sum(axis=1) >= size)
+        if not len(some):
             continue
-        same = np.concatenate([[0], np.cumsum(tokens[start + low : start + high] == words[low:high])])
-        for s in np.flatnonzero(same[size:] - same[:-size] == size).tolist():
-            out.append((start + low + s, start + low + s + size))
+        total = np.zeros((len(some), len(words) + 1), np.int64)
+        np.cumsum(same[some], axis=1, out=total[:, 1:])
+        for r, s in np.argwhere(total[:, size:] - total[:, :-size] == size).tolist():
+            low = int(begin[some[r]]) + s
+            out.append((low, low + size))
     return out
 
 

@@ -81,3 +81,20 @@ def test_null_item_ids_and_clashing_columns(frame):
     assert found == {1: (2, ["", "x"], True), 2: (0, [], False)}
     kept = D.keep_uncontaminated(docs, benchmark)
     assert [tuple(r) for r in kept.collect()] == [(2, "clean", 1, "b", 5)]
+
+
+def test_alignments_in_blocks(monkeypatch):
+    """All alignments of a test are compared at once, in blocks; what is found stays what single ones give."""
+    rng = np.random.default_rng(5)
+    for k in range(300):
+        monkeypatch.setattr(D, "CELLS", int(rng.integers(1, 60)))
+        tokens, words = rng.integers(-1, 2, rng.integers(0, 40)), rng.integers(0, 2, rng.integers(1, 25))
+        starts, window = rng.integers(-15, 42, rng.integers(0, 9)), int(rng.integers(1, 7))
+        size = min(window, len(words))
+        want = [
+            (s + o, s + o + size)
+            for s in starts.tolist()
+            for o in range(len(words) - size + 1)
+            if 0 <= s + o and s + o + size <= len(tokens) and (tokens[s + o : s + o + size] == words[o : o + size]).all()
+        ]
+        assert D.phrase_runs(tokens, words, starts, window) == want
