@@ -49,10 +49,12 @@ def _outline(w: DataFrame) -> DataFrame:
     return w.withColumn("e", F.explode(parts)).filter((F.col("len") > 0) | F.col("e.arc"))
 
 
-def _covered(pairs: DataFrame) -> Column:
-    """Stretches (from, to in 0..1) of the outline part `e` that lie inside the other capsule (columns with o_).
+def _covered(parts: DataFrame) -> DataFrame:
+    """Stretches `_s` (a, b in 0..1) of the outline part `e` that lie inside the other capsule (columns with o_).
 
     A stretch on the other's outline with the inside on the same side counts once: it is covered by the lesser id.
+    Each step is a column of its own, and each stretch a row, as nested functions on arrays would compute every place
+    where outlines meet once for each of its uses.
     """
     e, h, r = (lambda c: F.col(f"e.{c}")), F.col("h"), F.col("o_h")
     place = lambda t: (
@@ -81,22 +83,22 @@ def _covered(pairs: DataFrame) -> Column:
         open_ = F.when(F.abs(lean) <= 1, F.acos(lean))
         toward = F.atan2(-fy, -fx)
         marks += [F.when(e("arc"), part(toward + open_)).otherwise((-half - root) / F.nullif(size, F.lit(0.0))), F.when(e("arc"), part(toward - open_)).otherwise((-half + root) / F.nullif(size, F.lit(0.0)))]
-    inner = F.filter(F.array(*marks), lambda t: (t > 0) & (t < 1))
-    cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0)), inner, F.array(F.lit(1.0)))))
-    spans = F.zip_with(F.slice(cuts, F.lit(1), F.size(cuts) - 1), F.slice(cuts, F.lit(2), F.size(cuts) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-
-    def inside(s):
-        # ... what lies between two such places is inside or outside as a whole.
-        t = (s["a"] + s["b"]) / 2.0
-        x, y = place(t)
-        along = F.greatest(F.lit(0.0), F.least(F.col("o_len"), (x - F.col("o_ax")) * F.col("o_dx") + (y - F.col("o_ay")) * F.col("o_dy")))
-        ux, uy = x - F.col("o_ax") - along * F.col("o_dx"), y - F.col("o_ay") - along * F.col("o_dy")
-        deep = F.sqrt(sq(ux) + sq(uy)) - r
-        nx = F.when(e("arc"), x - e("px")).otherwise(e("sy"))
-        ny = F.when(e("arc"), y - e("py")).otherwise(-e("sx"))
-        return (deep < -SAME_LINE) | ((deep <= SAME_LINE) & (nx * ux + ny * uy > 0) & (F.col("o_id") < F.col("id")))
-
-    return F.filter(spans, inside)
+    cut = parts.withColumn("_marks", F.array(*marks))
+    inner = F.filter("_marks", lambda t: (t > 0) & (t < 1))
+    cut = cut.withColumn("_cuts", F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0)), inner, F.array(F.lit(1.0)))))).drop("_marks")
+    n = F.size("_cuts") - 1
+    spans = F.zip_with(F.slice("_cuts", F.lit(1), n), F.slice("_cuts", F.lit(2), n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    out = cut.withColumn("_s", F.explode(spans)).drop("_cuts")
+    # ... what lies between two such places is inside or outside as a whole.
+    x, y = place((F.col("_s.a") + F.col("_s.b")) / 2.0)
+    out = out.withColumns({"_x": x, "_y": y})
+    along = (F.col("_x") - F.col("o_ax")) * F.col("o_dx") + (F.col("_y") - F.col("o_ay")) * F.col("o_dy")
+    out = out.withColumn("_along", F.greatest(F.lit(0.0), F.least(F.col("o_len"), along)))
+    out = out.withColumns({"_ux": F.col("_x") - F.col("o_ax") - F.col("_along") * F.col("o_dx"), "_uy": F.col("_y") - F.col("o_ay") - F.col("_along") * F.col("o_dy")})
+    deep = F.sqrt(sq(F.col("_ux")) + sq(F.col("_uy"))) - r
+    nx = F.when(e("arc"), F.col("_x") - e("px")).otherwise(e("sy"))
+    ny = F.when(e("arc"), F.col("_y") - e("py")).otherwise(-e("sx"))
+    return out.filter((deep < -SAME_LINE) | ((deep <= SAME_LINE) & (nx * F.col("_ux") + ny * F.col("_uy") > 0) & (F.col("o_id") < F.col("id"))))
 
 
 def wall_area(walls: DataFrame, keys=LEVEL) -> DataFrame:
@@ -113,7 +115,7 @@ def wall_area(walls: DataFrame, keys=LEVEL) -> DataFrame:
     other = tiled.select(*keys, *tiles.TILE, *[F.col(c).alias(f"o_{c}") for c in cols])
     # Walls that touch share a tile; a pair that shares several is looked at once.
     pairs = tiled.join(other, [*keys, *tiles.TILE]).filter("id <> o_id").drop(*tiles.TILE).dropDuplicates([*keys, "id", "o_id"])
-    held = _outline(pairs).withColumn("_s", F.explode(_covered(pairs))).select(*keys, "id", F.col("e.k").alias("k"), "_s.a", "_s.b")
+    held = _covered(_outline(pairs)).select(*keys, "id", F.col("e.k").alias("k"), "_s.a", "_s.b")
     whole = settle(_outline(w))
     ends = whole.select(*keys, "id", F.col("e.k").alias("k"), F.lit(1.0).alias("a"), F.lit(1.0).alias("b"))
     before = W.partitionBy(*keys, "id", "k").orderBy("a", "b").rowsBetween(W.unboundedPreceding, -1)

@@ -61,3 +61,10 @@ def test_iou(spark):
     found = {r.scan_id: r.iou for r in M.wall_iou(pred, truth).collect()}
     assert found == pytest.approx({"a": 1.0, "b": 0.0, "c": 1.0, "d": (0.4 + ROUND) / (0.8 + ROUND)}, abs=1e-7)
     assert M.wall_iou(pred.limit(0), truth.limit(0)).collect() == []
+
+
+def test_places_where_outlines_meet_are_computed_once(spark):
+    df = spark.createDataFrame(rows("cross", CASES["cross"][0]), SCHEMA)
+    plan = M.wall_area(df)._jdf.queryExecution().optimizedPlan().toString()
+    # Two sides of the other wall, each with two places on an arc.
+    assert 0 < plan.count("ASIN(") <= 4
