@@ -41,9 +41,8 @@ STATES = 8
 OWN = 20_000
 SHARED = 4096
 ENDING = 3
-# Rounds on the sampled documents, which only choose where to start, and on all training documents.
-FIRST_ROUNDS = 8
-SAMPLE_DOCS = 4000
+# Rounds of Baum-Welch, each over all training documents: so many from the corpus shares, then so many more.
+FIRST_ROUNDS = 5
 ROUNDS = 3
 # Pseudo-counts: of a known word, of each transition, and of the class shares of the corpus in each state.
 ADD = 0.1
@@ -391,23 +390,6 @@ def _chosen(classes: np.ndarray, starts: np.ndarray, take: np.ndarray) -> tuple[
     return classes[np.repeat(take, size)], np.concatenate([[0], np.cumsum(size[take])])
 
 
-def sampled(table: DataFrame, share: float) -> DataFrame:
-    """The blocks with about a share of their training documents, chosen by a hash of block and place, settled."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, at, classes, starts in _rows(batches):
-            take = ~np.array(batch.column("held")[at].as_py(), bool)
-            if share < 1:
-                seed = np.uint64(batch.column("block")[at].as_py()) << np.uint64(20)
-                take &= T.mix(np.arange(len(take), dtype=np.uint64) + seed) < np.uint64(share * 2**64)
-            classes, starts = _chosen(classes, starts, take)
-            if len(classes):
-                none = _one_list(np.zeros(len(starts) - 1, bool), pa.bool_())
-                yield pa.RecordBatch.from_arrays([none, _one_list(starts, pa.int32()), pa.array([len(classes)], pa.int64()), _pack(classes.astype(np.uint16))], ["held", "starts", "size", "classes"])
-
-    return settle(table.select("block", "held", "starts", "size", "classes").mapInArrow(run, "held array<boolean>, starts array<int>, size long, classes binary"))
-
-
 def improved(table: DataFrame, model: Model) -> tuple[Model, float]:
     """One round of Baum-Welch over the training documents of all blocks, and their log likelihood before it."""
     k, c = len(model.start), len(model.emit)
@@ -436,18 +418,15 @@ def improved(table: DataFrame, model: Model) -> tuple[Model, float]:
     return maximized(model, sums[c + k], sums[c : c + k], sums[:c]), float(sums[c + k + 1, 0])
 
 
-def train(table: DataFrame, words: DataFrame, states: int = STATES, own: int = OWN, rounds: int = ROUNDS, first_rounds: int = FIRST_ROUNDS, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Baum-Welch over all training documents, started from rounds on a bounded sample of them."""
+def train(table: DataFrame, words: DataFrame, states: int = STATES, own: int = OWN, rounds: int = ROUNDS, first_rounds: int = FIRST_ROUNDS) -> Model:
+    """Baum-Welch over all training documents in every round."""
     share, norm = class_shares(words, own)
     model = blank(share, norm, states)
     flags = F.aggregate("held", F.lit(0).cast("long"), lambda n, h: n + F.when(h, 0).otherwise(1))
     docs = table.select(F.sum(flags).alias("n")).first()["n"] or 0
     if not docs:
         return model
-    sample = sampled(table, min(1.0, sample_docs / docs))
-    for _ in range(first_rounds):
-        model, _ = improved(sample, model)
-    for _ in range(rounds):
+    for _ in range(first_rounds + rounds):
         model, _ = improved(table, model)
     return model
 
