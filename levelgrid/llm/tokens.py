@@ -8,8 +8,9 @@ import re
 import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
-# Pieces remembered by one Python worker; beyond it the memo starts anew, so memory stays bounded.
-MEMO = 1_200_000
+# Pieces remembered by one Python worker, some 50 MB; beyond it the memo starts anew. A worker keeps it after its
+# task, and an executor has a worker for each of its cores.
+MEMO = 250_000
 
 # A Latin-1 word with closing marks (no quote, no angle bracket). Such letters are composed already and
 # lower-case one by one; the marks are one token run of their own.
