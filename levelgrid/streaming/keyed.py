@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -93,46 +94,127 @@ def stream_job_feed(events: DataFrame, grace: str = "10 minutes", idle: str = "1
     )
 
 
-class _Transfers(_Ending):
-    schema = "bytes long, chunks long, rejected boolean"
+# Parts that transfers are dealt to. A part is one key of the stream: its transfers lie in one row of state, by columns.
+PARTS = 4096
+HELD = {"id": "object", "bytes": "int64", "chunks": "int64", "rejected": "bool", "over": "bool", "seen": "int64"}
+
+
+class _Transfers(StatefulProcessor):
+    """The transfers of a part, all at once, and one timer for the first of them that ends or is to be forgotten."""
 
     def __init__(self, limit: int, grace: int, idle: int):
-        super().__init__(grace, idle)
-        self.limit = limit
+        self.limit, self.grace, self.idle = limit, grace, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "rows binary, due long")
+
+    def close(self) -> None:
+        pass
+
+    def held(self) -> tuple[pd.DataFrame, int | None]:
+        kept = self.state.get()
+        if kept is None:
+            return pd.DataFrame({c: pd.Series([], dtype=t) for c, t in HELD.items()}), None
+        return pa.ipc.open_stream(kept[0]).read_all().to_pandas().astype(HELD), int(kept[1])
+
+    def due(self, rows: pd.DataFrame) -> np.ndarray:
+        return rows["seen"].to_numpy() + np.where(rows["over"].to_numpy(), self.grace, self.idle)
+
+    def keep(self, rows: pd.DataFrame, before: int | None) -> None:
+        first = int(self.due(rows).min()) if len(rows) else None
+        if before is not None and first != before:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+        if first is None:
+            self.state.clear()
+            return
+        if first != before:
+            self.handle.registerTimer(first)
+        table = pa.table([pa.array(rows["id"], pa.string())] + [pa.array(rows[c].to_numpy()) for c in list(HELD)[1:]], list(HELD))
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, table.schema) as writer:
+            writer.write_table(table)
+        self.state.update((out.getvalue().to_pybytes(), first))
+
+    def news(self, rows: pd.DataFrame) -> pd.DataFrame:
+        return rows[["id", "bytes", "chunks", "rejected"]].assign(finished=rows["over"])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        chunk = pd.concat(list(rows)).sort_values(["seq", "ts"], kind="stable")
-        old = self.state.get() if self.state.exists() else (0, 0, False, False, 0)
-        if old[3]:
+        chunk = pd.concat(list(rows), ignore_index=True)
+        old, before = self.held()
+        codes, ids = pd.factorize(np.concatenate([old["id"].to_numpy(object), chunk["id"].to_numpy(object)]), use_na_sentinel=False)
+        spent = np.zeros(len(ids), bool)
+        bytes_, chunks, seen = (np.zeros(len(ids), np.int64) for _ in range(3))
+        was = codes[: len(old)]
+        spent[was] = old["over"]
+        bytes_[was], chunks[was], seen[was] = old["bytes"], old["chunks"], old["seen"]
+        of = codes[len(old) :]
+        # A transfer that has ended takes no more rows.
+        order = chunk.assign(_of=of)[~spent[of]].sort_values(["_of", "unordered", "seq", "at"], kind="stable")
+        if not len(order):
             return
-        size = chunk["bytes"].fillna(0).astype("int64")
-        total = int(old[0]) + size.cumsum().to_numpy()
+        of, size, at = order["_of"].to_numpy(), order["bytes"].to_numpy(np.int64), order["at"].to_numpy(np.int64)
+        starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        own = of[starts]
+        group = np.cumsum(np.r_[True, of[1:] != of[:-1]]) - 1
+        run = np.cumsum(size)
+        total = run - (run[starts] - size[starts] - bytes_[own])[group]
         # The first chunk that passes the limit, or is marked as the last one, ends the transfer.
-        ends = np.flatnonzero((total > self.limit) | chunk["last"].fillna(False).astype(bool).to_numpy())
-        taken = int(ends[0]) + 1 if len(ends) else len(chunk)
-        now = (int(total[taken - 1]), int(old[1]) + taken, bool(total[taken - 1] > self.limit))
-        self.keep(now, bool(len(ends)), max(int(old[4]), _millis(chunk["ts"].iloc[:taken])))
-        yield pd.DataFrame([(key[0], *now, bool(len(ends)))], columns=["transfer_id", "bytes", "chunks", "rejected", "finished"])
+        place = np.arange(len(of))
+        ends = np.where((total > self.limit) | order["last"].to_numpy(bool), place, len(of))
+        first = np.minimum.reduceat(ends, starts)
+        stop = np.minimum(first, np.r_[starts[1:], len(of)] - 1)
+        late = np.where((place <= stop[group]) & (at != NEVER), at // 1000, 0)
+        new = pd.DataFrame(
+            {
+                "id": ids[own], "bytes": total[stop], "chunks": chunks[own] + stop - starts + 1, "rejected": total[stop] > self.limit,
+                "over": first < len(of), "seen": np.maximum(seen[own], np.maximum.reduceat(late, starts)),
+            }
+        )
+        untouched = np.ones(len(ids), bool)
+        untouched[own] = False
+        rest = old[untouched[was]]
+        self.keep(pd.concat([rest, new], ignore_index=True).astype(HELD) if len(rest) else new, before)
+        yield self.news(new)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        size, chunks, rejected, over, _ = self.state.get()
-        self.state.clear()
-        if not over:
-            yield pd.DataFrame([(key[0], size, chunks, rejected, True)], columns=["transfer_id", "bytes", "chunks", "rejected", "finished"])
+        rows, before = self.held()
+        due = self.due(rows)
+        gone = due <= max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        self.keep(rows[~gone], before)
+        silent = rows[gone & ~rows["over"].to_numpy()]
+        if len(silent):
+            yield self.news(silent.assign(over=True))
+
+
+# A time after all others, of a chunk that has none.
+NEVER = (1 << 63) - 1
 
 
-def stream_transfer_feed(chunks: DataFrame, limit: int, grace: str = "10 minutes", idle: str = "1 day", watermark: str = "10 minutes") -> DataFrame:
+def stream_transfer_feed(
+    chunks: DataFrame, limit: int, grace: str = "10 minutes", idle: str = "1 day", watermark: str = "10 minutes", parts: int = PARTS
+) -> DataFrame:
     """transfer_id, bytes, chunks, rejected, finished: a row for every change of a transfer, until it ends.
 
     `chunks` has transfer_id, seq, bytes, last and ts. A transfer ends with the first chunk beyond the limit or
-    with its last one; later chunks change nothing, and its state is cleared `grace` after (update mode).
+    with its last one; later chunks change nothing, and its state is cleared `grace` after (update mode). Transfers are
+    dealt to `parts` keys, as a call for each transfer and each of its timers takes milliseconds.
     """
     use_keyed_state(chunks.sparkSession)
-    rows = chunks.select("transfer_id", "seq", F.col("bytes").cast("long").alias("bytes"), "last", "ts").withWatermark("ts", watermark)
-    of = rows.schema["transfer_id"].dataType.simpleString()
-    return rows.groupBy("transfer_id").transformWithStateInPandas(
-        _Transfers(limit, _span(grace), _span(idle)), f"transfer_id {of}, bytes long, chunks long, rejected boolean, finished boolean", "Update", "EventTime"
+    of = chunks.schema["transfer_id"].dataType.simpleString()
+    seq = chunks.schema["seq"].dataType
+    # Ids go as strings and numbers without nulls, so that pandas makes no floats of them.
+    rows = chunks.select(
+        F.pmod(F.xxhash64("transfer_id"), F.lit(parts)).cast("int").alias("part"), F.col("transfer_id").cast("string").alias("id"),
+        F.col("seq").isNull().alias("unordered"), F.coalesce("seq", F.lit(0).cast(seq)).alias("seq"),
+        F.coalesce(F.col("bytes").cast("long"), F.lit(0).cast("long")).alias("bytes"), F.coalesce("last", F.lit(False)).alias("last"),
+        F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(NEVER)).alias("at"), "ts",
+    ).withWatermark("ts", watermark)
+    out = rows.groupBy("part").transformWithStateInPandas(
+        _Transfers(limit, _span(grace), _span(idle)), "id string, bytes long, chunks long, rejected boolean, finished boolean", "Update", "EventTime"
     )
+    return out.select(F.col("id").cast(of).alias("transfer_id"), "bytes", "chunks", "rejected", "finished")
 
 
 # Voxels of a brick along each axis: a value of the map state holds at most the cube of it.
