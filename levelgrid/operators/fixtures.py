@@ -75,14 +75,18 @@ def thin(points: DataFrame, size: float = 0.05, id: str | None = None, keys=LEVE
 def cluster_points(points: DataFrame, eps: float = 0.15, keys=LEVEL, least: int = 12, span: float = 0.30) -> DataFrame:
     """Thinned points with their single-linkage cluster; small clusters are dropped."""
     keys = list(keys)
-    p = settle(points.withColumn("id", F.struct(*keys, "x", "y", "z")))
-    label = tiles.eps_components(p, keys, ["x", "y", "z"], eps)
-    named = settle(p.join(label, "id").withColumnRenamed("component", "cluster").drop("id"))
-    size = named.groupBy("cluster").agg(
-        F.count(F.lit(1)).alias("_n"), (F.max("x") - F.min("x")).alias("_sx"), (F.max("y") - F.min("y")).alias("_sy")
-    )
-    good = size.filter((F.col("_n") >= least) & ((F.col("_sx") >= span) | (F.col("_sy") >= span)))
-    return named.join(good.select("cluster"), "cluster", "left_semi")
+    at = ["x", "y", "z"]
+    part, names = tiles.eps_parts(points, keys, at, eps)
+    # A part that is linked over no border is a cluster; the others are put together by their sizes and boxes.
+    box = [f(c).alias(n) for c in "xy" for f, n in ((F.min, f"_0{c}"), (F.max, f"_1{c}"))]
+    shared = tiles.with_names(part.select("_part", "_open", "x", "y"), names).filter(F.col("component").isNotNull())
+    parts = settle(shared.groupBy("_part").agg(F.first("component").alias("component"), F.count(F.lit(1)).alias("_m"), *box))
+    whole = parts.groupBy("component").agg(F.sum("_m").alias("_m"), *[(F.max(f"_1{c}") - F.min(f"_0{c}")).alias(f"_s{c}") for c in "xy"])
+    rows = tiles.with_names(part, settle(parts.select("_part", "component").join(whole, "component")))
+    named = F.col("component").isNotNull()
+    wide = lambda i, c: F.when(named, F.col(f"_s{c}")).otherwise(F.col("_high")[i] - F.col("_low")[i])
+    good = (F.coalesce("_m", "_n") >= least) & ((wide(0, "x") >= span) | (wide(1, "y") >= span))
+    return rows.filter(good).select(F.coalesce("component", tiles.closed_name(keys, at)).alias("cluster"), *points.columns)
 
 
 def cluster_height(clusters: DataFrame, level_points: DataFrame, levels: DataFrame, keys=LEVEL) -> DataFrame:
