@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -32,7 +34,10 @@ def crossings(segments: DataFrame, keys: list[str], size: float = 2.0) -> DataFr
     tiled = settle(tiles.tile_segment(s, g.xy("x1", "y1"), g.xy("x2", "y2"), 1e-5, size))
     left = tiled.select(*keys, *tiles.TILE, F.col("seg").alias("sa"), *[F.col(c).alias(f"a{c}") for c in ENDS])
     right = tiled.select(*keys, *tiles.TILE, F.col("seg").alias("sb"), *[F.col(c).alias(f"b{c}") for c in ENDS])
-    pairs = left.join(right, [*keys, *tiles.TILE]).filter("sa < sb").drop(*tiles.TILE)
+    # Segments that meet have boxes that meet, which is quickly seen; a centimetre is far more than TOUCH and rounding ask for.
+    low, high = lambda s, c: F.least(f"{s}{c}1", f"{s}{c}2"), lambda s, c: F.greatest(f"{s}{c}1", f"{s}{c}2")
+    boxes = reduce(lambda p, q: p & q, [low(s, c) <= high(o, c) + 0.01 for s, o in ("ab", "ba") for c in "xy"])
+    pairs = left.join(right, [*keys, *tiles.TILE]).filter("sa < sb").filter(boxes).drop(*tiles.TILE)
     a, b, c, d = g.xy("ax1", "ay1"), g.xy("ax2", "ay2"), g.xy("bx1", "by1"), g.xy("bx2", "by2")
     t, _u = g.segment_params(a, b, c, d)
     pairs = pairs.withColumn("_t", t)
